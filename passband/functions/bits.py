@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def floor_div(number: Column, divisor: int) -> Column:
+    """Exact integer floor division; ``/`` would go through a double and lose large instants."""
+    return F.call_function("div", number - F.pmod(number, F.lit(divisor)), F.lit(divisor))
+
+
 def _octets(b: Column, first: int | Column, count: int) -> Column:
     """``count`` octets from zero-based offset ``first`` as an unsigned number, up to seven as BIGINT."""
     start = F.lit(first + 1) if isinstance(first, int) else first + F.lit(1)

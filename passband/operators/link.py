@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passband.functions.bits import floor_div
 from passband.operators.channels import ONLY_IDLE_DATA
 from passband.operators.ordered import DEFAULT_WIDTH, carry
 
@@ -127,7 +128,7 @@ def counter_ticks(
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Cumulative byte and packet counters, one reading per half second that had traffic."""
-    tick = F.floor(F.col(at_us) / F.lit(int(RATE_SAMPLE_SECONDS * 1e6))).cast("bigint")
+    tick = floor_div(F.col(at_us), int(RATE_SAMPLE_SECONDS * 1e6))
     per_tick = arrivals.groupBy(*keys, tick.alias("tick")).agg(
         F.sum(F.col(length).cast("bigint")).alias("_bytes"), F.count(F.lit(1)).alias("_packets")
     )
@@ -158,7 +159,7 @@ def rates(ticks: DataFrame, keys: Sequence[str] = (), *, width: int = 86_400) ->
     span = int(RATE_WINDOW_SECONDS / RATE_SAMPLE_SECONDS)
     if width <= span:
         raise ValueError("a slice must be longer than the rate window")
-    home = F.floor(F.col("tick") / F.lit(width)).cast("bigint")
+    home = floor_div(F.col("tick"), width)
     spread = F.when(
         F.pmod(F.col("tick"), F.lit(width)) >= width - span, F.array(home, home + 1)
     ).otherwise(F.array(home))

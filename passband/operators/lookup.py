@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passband.session import pin
+
 #: A definition has some ten thousand parameters; a million short rows is still ~100 MB.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def dimension(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` hinted for broadcast if it holds at most ``max_rows`` rows, else unhinted.
+    """``df`` written once and hinted for broadcast if it holds at most ``max_rows`` rows.
 
-    The check stops reading at ``max_rows + 1``.  Beyond the bound the join is left to Spark,
-    which shuffles both sides and splits skewed keys at run time.
+    The check stops reading at ``max_rows + 1``.  Beyond the bound ``df`` is returned as it is
+    and the join is left to Spark, which shuffles both sides and splits skewed keys at run time.
     """
-    held = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if held <= max_rows else df
+    held = pin(df.limit(max_rows + 1))
+    return F.broadcast(held) if held.count() <= max_rows else df

@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passband.functions.bits import floor_div
+
 #: Ordinals per slice.  A million rows sort inside one task's memory; an archive of 10^13
 #: packets has 10^7 slices, whose totals are scanned per key in well under a task.
 DEFAULT_WIDTH = 1 << 20
@@ -30,7 +32,7 @@ def slice_of(order: str, width: int = DEFAULT_WIDTH) -> Column:
     """The slice an arrival ordinal falls in (floor division, also for negatives)."""
     if width < 1:
         raise ValueError(f"slice width must be at least 1, got {width}")
-    return F.floor(F.col(order) / F.lit(width)).cast("long")
+    return floor_div(F.col(order), width).cast("bigint")
 
 
 def carry(
@@ -41,6 +43,7 @@ def carry(
     previous: Mapping[str, str] | None = None,
     sums: Mapping[str, Column] | None = None,
     highs: Mapping[str, Column] | None = None,
+    highs_before: Mapping[str, Column] | None = None,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Add values carried along ``order`` within ``keys``.
@@ -48,17 +51,21 @@ def carry(
     ``previous``: new column -> column whose value on the preceding row is wanted
     (null on the first row of a key).
     ``sums``: new column -> expression; running total up to and including the row.
-    ``highs``: new column -> expression; greatest non-null value up to and including the row.
+    ``highs``: new column -> expression; greatest non-null value up to and including the row;
+    ``highs_before``: the same, the row itself left out.
     """
     previous, sums, highs = previous or {}, sums or {}, highs or {}
-    base = df.withColumn(SLICE, slice_of(order, width))
+    highs_before = highs_before or {}
+    marks = {**highs, **highs_before}
+    # A caller that chains carries adds the slice once, so that they share one partitioning.
+    base = df if SLICE in df.columns else df.withColumn(SLICE, slice_of(order, width))
     group = [*keys, SLICE]
 
     # One narrow pass over the input: the state each slice hands to the next one.
     edges = base.groupBy(*group).agg(
         *[F.max_by(F.col(c), F.col(order)).alias(f"_p_{n}") for n, c in previous.items()],
         *[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()],
-        *[F.max(e).alias(f"_h_{n}") for n, e in highs.items()],
+        *[F.max(e).alias(f"_h_{n}") for n, e in marks.items()],
     )
     along = Window.partitionBy(*keys).orderBy(SLICE)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -66,13 +73,13 @@ def carry(
         *group,
         *[F.lag(f"_p_{n}").over(along).alias(f"_p_{n}") for n in previous],
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums],
-        *[F.max(f"_h_{n}").over(before).alias(f"_h_{n}") for n in highs],
+        *[F.max(f"_h_{n}").over(before).alias(f"_h_{n}") for n in marks],
     )
 
     local = Window.partitionBy(*group).orderBy(order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = base.join(carried, group, "left")
-    columns = [F.col(c) for c in df.columns]
+    columns = [F.col(c) for c in df.columns]  # keeps the slice where the caller added it
     if previous:
         first = F.row_number().over(local) == 1
         columns += [
@@ -87,6 +94,11 @@ def carry(
     columns += [
         F.greatest(F.max(e).over(upto), F.col(f"_h_{n}")).alias(n) for n, e in highs.items()
     ]
+    past = local.rowsBetween(Window.unboundedPreceding, -1)
+    columns += [
+        F.greatest(F.max(e).over(past), F.col(f"_h_{n}")).alias(n)
+        for n, e in highs_before.items()
+    ]
     return out.select(*columns)
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from passband.plans.registry import PLANS, Plan
 
-SUBJECTS = ("quality",)
+SUBJECTS = ("quality", "values")
 
 
 def load() -> dict[str, Plan]:

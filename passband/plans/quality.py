@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.functions.bits import floor_div
 from passband.operators import channels, gaps, link
 from passband.plans.registry import plan
 from passband.sources import views
@@ -315,7 +316,7 @@ TICKS_SQL = """
 def rates(spark: SparkSession, folder: str) -> DataFrame:
     """Rates of the archive played back 500 times faster than it was received."""
     arrivals = views.table(spark, folder, "events").select(
-        F.floor(micros("ts") / 500).alias("at_us"), (F.length("props") + 7).alias("pkt_len")
+        floor_div(micros("ts"), 500).alias("at_us"), (F.length("props") + 7).alias("pkt_len")
     )
     ticks = link.counter_ticks(arrivals, at_us="at_us", length="pkt_len")
     return link.rates(ticks)

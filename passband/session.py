@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +21,23 @@ RUNTIME = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply :data:`RUNTIME` to a session somebody else built."""
+    """Apply :data:`RUNTIME` to a session somebody else built, and send it this package."""
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        # Python workers import the small kernels of this package by name.
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="passband-", dir="/tmp")) / "passband"
+        context.addPyFile(
+            shutil.make_archive(str(archive), "zip", package.parent, package.name)
+        )
+        _shipped.add(context.applicationId)
     return spark
 
 

@@ -1,0 +1,82 @@
+"""Packets of the given tables laid out as frames and as a marked byte stream.
+
+The framing jobs need octets to work on; here they are derived row by row from the packet view,
+so their amount grows with the tables.  They stand for recordings that exist as files, so they
+are written once (``pin``) and read by the jobs like one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passband.functions.bits import floor_div, to_octets
+from passband.functions.checksum import crc16
+from passband.operators.chunks import recut
+from passband.operators.ordered import DEFAULT_WIDTH, carry
+from passband.session import pin
+from passband.sources import views
+
+PACKET = 11
+DATA = 50
+SPACECRAFT = 42
+MARKER = "1ACFFC1D"
+CAPTURE_KEYS = ("capture_id", "epoch")
+
+
+def packet_streams(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Each channel's packets end to end, padded with one idle packet to whole frames."""
+    packets = views.packet_bytes(spark, folder, width).select(
+        (F.col("apid") % 4).alias("capture_id"),
+        "epoch",
+        (floor_div(F.col("apid"), 4) % 8).cast("int").alias("vcid"),
+        "pkt_no",
+        F.col("bytes").alias("octets"),
+    )
+    channel = [*CAPTURE_KEYS, "vcid"]
+    numbered = carry(packets, channel, "pkt_no", sums={"_k": F.lit(1)}, width=width)
+    placed = numbered.select(*channel, ((F.col("_k") - 1) * PACKET).alias("offset"), "octets")
+    total = packets.groupBy(*channel).agg((F.count(F.lit(1)) * PACKET).alias("_total"))
+    short = F.lit(DATA) - F.col("_total") % DATA
+    pad = F.when(short < 7, short + DATA).otherwise(short)
+    fill = F.concat(
+        F.unhex(F.lit("0FFFC000")),
+        to_octets(F.col("_pad") - 7, 2),
+        F.unhex(F.repeat(F.lit("00"), (F.col("_pad") - 6).cast("int"))),
+    )
+    idle = total.withColumn("_pad", pad).select(
+        *channel, F.col("_total").alias("offset"), fill.alias("octets")
+    )
+    return pin(placed.unionByName(idle))
+
+
+def frames(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Transfer frames with checksum; every 23rd is removed, so counts jump and packets break."""
+    channel = [*CAPTURE_KEYS, "vcid"]
+    stream = packet_streams(spark, folder, width)
+    data = recut(stream, channel, DATA)
+    first = stream.groupBy(*channel, floor_div(F.col("offset"), DATA).alias("cell")).agg(
+        (F.min("offset") % DATA).alias("_pointer")
+    )
+    number = F.col("cell") * 8 + F.col("vcid")
+    headed = data.join(first, [*channel, "cell"], "left").withColumn("frame_no", number)
+    pointer = F.coalesce(F.col("_pointer"), F.lit(0x7FF))
+    body = F.concat(
+        to_octets(F.lit(SPACECRAFT << 4) + F.col("vcid") * 2, 2),
+        to_octets(F.col("frame_no") % 256, 1),
+        to_octets(F.col("cell") % 256, 1),
+        to_octets(pointer + (3 << 11), 2),
+        F.col("octets"),
+    )
+    kept = headed.filter(F.col("frame_no") % 23 != 7).select(
+        *CAPTURE_KEYS, "frame_no", body.alias("_body")
+    )
+    stamped = kept.withColumn("frame", F.concat("_body", to_octets(crc16("_body"), 2)))
+    return pin(
+        stamped.select(
+            *CAPTURE_KEYS,
+            "frame_no",
+            F.timestamp_seconds(F.col("frame_no")).alias("received"),
+            "frame",
+        )
+    )
