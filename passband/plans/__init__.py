@@ -6,7 +6,7 @@ import importlib
 
 from passband.plans.registry import PLANS, Plan
 
-SUBJECTS = ("quality", "values")
+SUBJECTS = ("quality", "values", "decoding")
 
 
 def load() -> dict[str, Plan]:
