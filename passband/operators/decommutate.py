@@ -86,6 +86,17 @@ def calibrate(calibrator: Calibrator, x: Column) -> Column:
     return F.when((x >= points[0][0]) & (x <= points[-1][0]), out)
 
 
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once, however often later stages use them.
+
+    A stacked projection would be merged with the ones above it and every use expanded in
+    place; a generator of exactly one row is not.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 class Decommutator:
     """Column expressions for every container under one root.
 
@@ -236,8 +247,8 @@ class Decommutator:
                     test = test & ~fits[other]
             chosen.append(F.when(test, F.lit(name)))
         found = F.array_compact(F.array(*chosen))
-        read = packets.withColumns(reads) if reads else packets
-        counted = read.withColumn("_fits", found).drop(*reads)
+        read = staged(packets, reads) if reads else packets
+        counted = staged(read, {"_fits": found}).drop(*reads)
         refusal = F.when(F.size("_fits") == 0, REFUSALS["unrecognized"]).when(
             F.size("_fits") > 1, REFUSALS["ambiguous"]
         )
@@ -283,7 +294,8 @@ class Decommutator:
         size = F.length(self.octets).cast("bigint") * 8
         described = self._per_container(lambda n: F.lit(self.described_bits(n)))
         short = size < described
-        stage = matched.withColumns(
+        stage = staged(
+            matched,
             {
                 "reason": F.when(short, REFUSALS["short_field"]).otherwise(F.col("reason")),
                 "trailing_bits": size - described,
@@ -291,7 +303,7 @@ class Decommutator:
                 "_reals": self._per_container(lambda n: numbers(n, True, "double"))
                 if any(f.kind.ieee for fields in layouts.values() for f in fields)
                 else F.array().cast("array<double>"),
-            }
+            },
         )
 
         def engineering(name: str) -> Column:
@@ -314,8 +326,9 @@ class Decommutator:
                 ]
             )
 
-        stage = stage.withColumns(
-            {"_eng": self._per_container(engineering), "_labels": self._per_container(labels)}
+        stage = staged(
+            stage,
+            {"_eng": self._per_container(engineering), "_labels": self._per_container(labels)},
         )
 
         def refusal(name: str) -> Column:
@@ -328,7 +341,9 @@ class Decommutator:
                     out = F.when(F.get("_eng", F.lit(i)).isNull(), REFUSALS["calibration"]).otherwise(out)
             return out
 
-        stage = stage.withColumn("reason", F.coalesce("reason", self._per_container(refusal)))
+        stage = staged(
+            stage, {"reason": F.coalesce(F.col("reason"), self._per_container(refusal))}
+        )
 
         def sample(i: int, f: Field, value: Value) -> Column:
             raw = self._raw_value(f, value)

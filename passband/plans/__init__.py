@@ -6,7 +6,7 @@ import importlib
 
 from passband.plans.registry import PLANS, Plan
 
-SUBJECTS = ("quality", "values", "decoding")
+SUBJECTS = ("quality", "values", "decoding", "plotting")
 
 
 def load() -> dict[str, Plan]:
