@@ -70,6 +70,17 @@ def derandomise(octets: pd.Series) -> pd.Series:
     return pd.Series(derandomise_of(octets))
 
 
+@pandas_udf(BinaryType())
+def combine(left: pd.Series, right: pd.Series) -> pd.Series:
+    """XOR of two octet columns of equal length, row by row."""
+    a, starts, lengths = ragged(left)
+    b, _, others = ragged(right)
+    if not np.array_equal(lengths, others):
+        raise ValueError("octet columns of different lengths cannot be combined")
+    mixed = (a ^ b).tobytes()
+    return pd.Series([mixed[s : s + n] for s, n in zip(starts, lengths)])
+
+
 @cache
 def _multiply() -> np.ndarray:
     antilog, log, _ = field()

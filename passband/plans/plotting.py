@@ -56,8 +56,8 @@ def _by_system(spark: SparkSession, folder: str) -> DataFrame:
         """SELECT parameter, part, idx, seq_no, t, v FROM (
                SELECT parameter, 1 AS part, idx, seq_no, t, v FROM b
                WHERE idx = lo OR idx = hi
-               UNION ALL SELECT parameter, 0, idx, seq_no, t, v FROM b WHERE idx = 0
-               UNION ALL SELECT parameter, 2, idx, seq_no, t, v FROM b WHERE idx = n - 1) u""",
+               UNION ALL SELECT parameter, 0, idx, seq_no, t, v FROM p WHERE idx = 0
+               UNION ALL SELECT parameter, 2, idx, seq_no, t, v FROM p WHERE idx = n - 1) u""",
         p="""SELECT space_system AS parameter, pkt_no AS seq_no, CAST(epoch_us(received) AS DOUBLE) / 1e6 AS t, eng AS v,
                     row_number() OVER (PARTITION BY space_system ORDER BY pkt_no) - 1 AS idx,
                     count(*) OVER (PARTITION BY space_system) AS n FROM tlm_sample""",
