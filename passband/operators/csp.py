@@ -41,7 +41,10 @@ def parse(messages: DataFrame, version: int = 1, *, octets: str = "bytes") -> Da
         raise ValueError(f"no such header version: {version}")
     b, head = F.col(octets), HEADER_BYTES[version]
     size = F.length(b)
-    fields = {n: unsigned(b, at, bits).cast("int") for n, (at, bits) in LAYOUTS[version].items()}
+    fields = {
+        n: F.when(size >= head, unsigned(b, at, bits)).cast("int")
+        for n, (at, bits) in LAYOUTS[version].items()
+    }
     split = F.greatest(size - CRC_BYTES, F.lit(head))
     parsed = messages.withColumns(fields).withColumns(
         {

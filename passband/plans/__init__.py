@@ -6,7 +6,7 @@ import importlib
 
 from passband.plans.registry import PLANS, Plan
 
-SUBJECTS = ("quality", "values", "decoding", "plotting", "framing")
+SUBJECTS = ("quality", "values", "decoding", "plotting", "framing", "live")
 
 
 def load() -> dict[str, Plan]:

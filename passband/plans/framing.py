@@ -24,14 +24,14 @@ TEXT_MARKER = b"<p"
 WIRE_SQL = {
     "tlm_placed": """
         SELECT apid % 4 AS capture_id, epoch, CAST(apid // 4 % 8 AS INTEGER) AS vcid, pkt_no, apid, seq_count,
-               (row_number() OVER (PARTITION BY apid % 4, epoch, apid // 4 % 8 ORDER BY pkt_no) - 1) * 11 AS at, 11 AS size
+               (row_number() OVER (PARTITION BY apid % 4, epoch, apid // 4 % 8 ORDER BY pkt_no) - 1) * 11 AS place, 11 AS size
         FROM tlm_packet_lossy""",
     "tlm_channel": """
         SELECT capture_id, epoch, vcid, count(*) * 11 AS total,
                CASE WHEN 50 - count(*) * 11 % 50 < 7 THEN 100 - count(*) * 11 % 50 ELSE 50 - count(*) * 11 % 50 END AS pad
         FROM tlm_placed GROUP BY capture_id, epoch, vcid""",
     "tlm_unit": """
-        SELECT capture_id, epoch, vcid, pkt_no, apid, seq_count, at, size, false AS idle FROM tlm_placed
+        SELECT capture_id, epoch, vcid, pkt_no, apid, seq_count, place, size, false AS idle FROM tlm_placed
         UNION ALL SELECT capture_id, epoch, vcid, NULL, 2047, 0, total, pad, true FROM tlm_channel""",
     "tlm_frames": """
         SELECT capture_id, epoch, vcid, k, k * 8 + vcid AS frame_no
@@ -39,13 +39,13 @@ WIRE_SQL = {
         WHERE (k * 8 + vcid) % 23 <> 7""",
     "tlm_piece": """
         SELECT u.*, f.frame_no, f.frame_no IS NOT NULL AS kept, c.k AS cell,
-               least((c.k + 1) * 50, u.at + u.size) - greatest(c.k * 50, u.at) AS octets
-        FROM (SELECT *, unnest(range(at // 50, (at + size - 1) // 50 + 1)) AS k FROM tlm_unit) c
-        JOIN tlm_unit u ON u.capture_id = c.capture_id AND u.epoch = c.epoch AND u.vcid = c.vcid AND u.at = c.at
+               least((c.k + 1) * 50, u.place + u.size) - greatest(c.k * 50, u.place) AS octets
+        FROM (SELECT *, unnest(range(place // 50, (place + size - 1) // 50 + 1)) AS k FROM tlm_unit) c
+        JOIN tlm_unit u ON u.capture_id = c.capture_id AND u.epoch = c.epoch AND u.vcid = c.vcid AND u.place = c.place
         LEFT JOIN tlm_frames f ON f.capture_id = c.capture_id AND f.epoch = c.epoch AND f.vcid = c.vcid AND f.k = c.k""",
     "tlm_fate": """
-        SELECT capture_id, epoch, vcid, pkt_no, apid, seq_count, idle, at, size, bool_and(kept) AS whole,
-               bool_or(kept AND cell = at // 50) AS begun, max(frame_no) AS frame_no,
+        SELECT capture_id, epoch, vcid, pkt_no, apid, seq_count, idle, place, size, bool_and(kept) AS whole,
+               bool_or(kept AND cell = place // 50) AS begun, max(frame_no) AS frame_no,
                sum(CASE WHEN kept THEN octets ELSE 0 END) AS held
         FROM tlm_piece GROUP BY ALL""",
 }
@@ -417,7 +417,7 @@ def message_residuals(spark: SparkSession, folder: str) -> DataFrame:
 @plan(
     "stream_packets",
     "F15 F17",
-    wire_oracle("SELECT capture_id * 8 + vcid AS stream, CAST(at AS BIGINT) AS at, size AS octets FROM tlm_unit WHERE NOT idle"),
+    wire_oracle("SELECT capture_id * 8 + vcid AS stream, CAST(place AS BIGINT) AS place, size AS octets FROM tlm_unit WHERE NOT idle"),
 )
 def stream_packets(spark: SparkSession, folder: str) -> DataFrame:
     """Back-to-back packets of every channel's recording, in chunks of 64 octets."""
@@ -429,7 +429,7 @@ def stream_packets(spark: SparkSession, folder: str) -> DataFrame:
     whole, _ = stream_split.split(cut, keys=("stream", "epoch"))
     named = packets.header(whole)
     return named.filter(~packets.is_idle(F.col("apid"))).select(
-        F.col("stream").cast("int").alias("stream"), F.col("offset").alias("at"), F.length("bytes").alias("octets")
+        F.col("stream").cast("int").alias("stream"), F.col("offset").alias("place"), F.length("bytes").alias("octets")
     )
 
 
@@ -451,7 +451,7 @@ def csp_messages(spark: SparkSession, folder: str) -> DataFrame:
     flags = F.when(n % 11 == 0, csp.HMAC).when(n % 7 == 0, csp.RDP | csp.CRC32).otherwise(csp.CRC32)
     word = (F.col("user_id") % 32) * (1 << 25) + flags
     head, body = to_octets(word, 4), F.encode("props", "UTF-8")
-    covered = F.when(n % 2 == 0, body).otherwise(F.concat("head", "body"))
+    covered = F.when(n % 2 == 0, F.col("body")).otherwise(F.concat("head", "body"))
     events = views.table(spark, folder, "events").select("event_id", head.alias("head"), body.alias("body"))
     summed = events.withColumn("crc", crc32c(covered))
     wrong = F.when(n % 5 == 0, F.pmod(F.col("crc") + 1, F.lit(1 << 32))).otherwise(F.col("crc"))
