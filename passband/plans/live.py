@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.functions.bits import floor_div
 from passband.operators import frames as tm
 from passband.plans.framing import FRAME, LAYOUT, STREAM_SQL, recording, wire_oracle
 from passband.plans.quality import _dropout_sql
@@ -144,8 +145,8 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     "R9",
     oracle(
         """SELECT w AS start_us, CAST(sum(pkt_len) AS DOUBLE) / 5 AS bytes_per_second, CAST(count(*) AS DOUBLE) / 5 AS packets_per_second
-           FROM (SELECT unnest(range(at // 500000 * 500000 - 4500000, at // 500000 * 500000 + 1, 500000)) AS w, pkt_len
-                 FROM (SELECT epoch_us(ts) // 500 AS at, CAST(7 + length(props) AS INTEGER) AS pkt_len FROM events) e) x
+           FROM (SELECT unnest(range(us // 500000 * 500000 - 4500000, us // 500000 * 500000 + 1, 500000)) AS w, pkt_len
+                 FROM (SELECT epoch_us(ts) // 500 AS us, CAST(7 + length(props) AS INTEGER) AS pkt_len FROM events) e) x
            GROUP BY w HAVING w + 5000000 <= (SELECT max(epoch_us(ts) // 500) FROM events) - 10000000"""
     ),
 )
@@ -153,7 +154,7 @@ def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Sliding windows of the archive played back 500 times faster; windows the watermark closed."""
     arrivals = views.table(spark, folder, "events").select(
         F.col("event_id").alias("pkt_no"),
-        F.timestamp_micros(status_time()).alias("received"),
+        F.timestamp_micros(floor_div(views.micros("ts"), 500)).alias("received"),
         (F.length("props") + 7).cast("int").alias("pkt_len"),
     )
     place, rows = _stream_of(spark, arrivals, "pkt_no")
@@ -161,10 +162,6 @@ def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
     return made.select(F.unix_micros("window.start").alias("start_us"), "bytes_per_second", "packets_per_second")
 
 
-def status_time():
-    return views.floor_div(views.micros("ts"), 500)
-
-
 @plan(
     "restart_epochs",
     "R5",
