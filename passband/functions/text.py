@@ -84,9 +84,14 @@ def float_text(number: Column) -> Column:
     # format_string would need a precision; a double's own digits come from its string cast,
     # and only exponents have to be written out.
     plain = F.regexp_replace(number.cast("string"), r"\.0$", "")
-    wide = F.regexp_replace(
-        F.regexp_replace(number.cast("decimal(38,17)").cast("string"), r"0+$", ""), r"\.$", ""
+    size = F.abs(number)
+    digits = (
+        F.when(size >= 1e20, number.try_cast("decimal(38,0)").cast("string"))
+        .when(size < 1e-3, number.try_cast("decimal(38,37)").cast("string"))
+        .otherwise(number.try_cast("decimal(38,17)").cast("string"))
     )
+    trimmed = F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", "")
+    wide = F.when(digits.contains("."), trimmed).otherwise(digits)
     special = F.when(F.isnan(number), "NaN").when(number == float("inf"), "inf").when(
         number == float("-inf"), "-inf"
     )

@@ -82,23 +82,24 @@ def combine(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 @cache
-def _multiply() -> np.ndarray:
-    antilog, log, _ = field()
-    product = antilog[log[:, None] + log[None, :]]
-    product[0, :] = product[:, 0] = 0
-    return product.astype(np.uint8)
+def _contributions(parity: int) -> np.ndarray:
+    """What a dual-basis symbol at each position adds to all syndromes, eight to a word."""
+    antilog, log, conventional = field()
+    exponent = ROOT_SPACING * (FIRST_ROOT[parity] + np.arange(parity)) % CODEWORD
+    place = (exponent[None, :] * np.arange(CODEWORD - 1, -1, -1)[:, None]) % CODEWORD
+    symbol = log[conventional]
+    each = antilog[symbol[None, :, None] + place[:, None, :]].astype(np.uint8)
+    each[:, conventional == 0, :] = 0
+    return np.ascontiguousarray(each).view(np.uint64)
 
 
 def syndrome_weights(codewords: np.ndarray, parity: int) -> np.ndarray:
     """Non-zero syndromes of each row of an (n, 255) array of dual-basis symbols."""
-    antilog, _, conventional = field()
-    product = _multiply()
-    roots = antilog[ROOT_SPACING * (FIRST_ROOT[parity] + np.arange(parity)) % CODEWORD]
-    symbols = conventional[codewords].astype(np.uint8)
-    held = np.zeros((len(codewords), parity), dtype=np.uint8)
+    table = _contributions(parity)
+    held = np.zeros((len(codewords), parity // 8), dtype=np.uint64)
     for at in range(CODEWORD):
-        held = product[held, roots[None, :]] ^ symbols[:, at, None]
-    return np.count_nonzero(held, axis=1)
+        held ^= table[at][codewords[:, at]]
+    return np.count_nonzero(held.view(np.uint8), axis=1)
 
 
 def screen(parity: int = 32, interleave: int = 1):

@@ -239,21 +239,25 @@ class Decommutator:
                     seen[parameter] = held[parameter]
             fits[name] = test
         # A container gives way to one that inherits from it and fits as well.
-        chosen = []
+        chosen = {}
         for name in self.concrete:
             test = fits[name]
             for other in self.concrete:
                 if other != name and name in self._chain(other):
                     test = test & ~fits[other]
-            chosen.append(F.when(test, F.lit(name)))
-        found = F.array_compact(F.array(*chosen))
+            chosen[name] = test
+        counts = [F.when(test, 1).otherwise(0) for test in chosen.values()]
+        found = {
+            "_fits": reduce(lambda a, b: a + b, counts),
+            "container": F.coalesce(*[F.when(test, F.lit(name)) for name, test in chosen.items()]),
+        }
         read = staged(packets, reads) if reads else packets
-        counted = staged(read, {"_fits": found}).drop(*reads)
-        refusal = F.when(F.size("_fits") == 0, REFUSALS["unrecognized"]).when(
-            F.size("_fits") > 1, REFUSALS["ambiguous"]
+        refusal = F.when(F.col("_fits") == 0, REFUSALS["unrecognized"]).when(
+            F.col("_fits") > 1, REFUSALS["ambiguous"]
         )
-        return counted.withColumns(
-            {"container": F.when(F.size("_fits") == 1, F.col("_fits")[0]), "reason": refusal}
+        judged = staged(read, found).drop(*reads)
+        return judged.withColumns(
+            {"container": F.when(F.col("_fits") == 1, F.col("container")), "reason": refusal}
         ).drop("_fits")
 
     def _per_container(self, make) -> Column:
