@@ -316,6 +316,8 @@ def frame_starts(
         )
 
     entries = ways.groupBy(*keys).applyInPandas(string, f"{key_schema}, _slice bigint, entry bigint")
+    # The length of the recording joins the few entries, not the many markers.
+    entered = entries.join(totals.select(*keys, "total"), list(keys))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         every = np.unique(pdf["mark"].to_numpy())
@@ -343,8 +345,7 @@ def frame_starts(
         )
 
     walked = (
-        around.join(entries, [*keys, "_slice"])
-        .join(totals.select(*keys, "total"), list(keys))
+        around.join(entered, [*keys, "_slice"])
         .groupBy(*keys, "_slice")
         .applyInPandas(walk, f"{key_schema}, start bigint, bit int, found boolean, lock bigint")
     )

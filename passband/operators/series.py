@@ -74,7 +74,8 @@ def indexed(
     """Add ``idx`` (0-based place in the series) and ``n`` (its length)."""
     placed = carry(points, keys, "seq_no", sums={"_k": F.lit(1)}, width=width)
     counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return placed.withColumn("idx", F.col("_k") - 1).drop("_k").join(counts, list(keys))
+    # One row per series, checked and broadcast: joining by key would gather a long series.
+    return placed.withColumn("idx", F.col("_k") - 1).drop("_k").join(dimension(counts), list(keys))
 
 
 def bucket_of(idx: Column, every: Column) -> Column:

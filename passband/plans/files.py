@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from passband.operators.chunks import recut
 from passband.operators.decommutate import explode_samples
 from passband.plans.decoding import PACKET_SQL, decoded, tables
 from passband.plans.registry import plan
-from passband.plans.values import LATEST_SQL, TABLE_SQL, layout
-from passband.session import shared_folder
-from passband.sources import definition, documents, exports, recording, views
+from passband.plans.values import LATEST_SQL, STATES_SQL, TABLE_SQL, layout
+from passband.session import pin, shared_folder
+from passband.sources import definition, documents, exports, mission, recording, views
 from passband.sources.views import oracle
 
 
@@ -23,59 +24,70 @@ def _place(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/passband-files-{uuid.uuid4().hex}"
 
 
+LIMITS_JSON = json.dumps(
+    {
+        "parameters": {
+            f"/Mission/{kind}": {
+                name: bound for name, bound in zip(limits.BOUNDS, bounds) if bound is not None
+            }
+            for kind, *bounds in views.LIMIT_ROWS
+        }
+    }
+)
+
+
 @plan(
     "limits_file",
-    "S5 J1",
+    "S5 J1 A9",
     oracle(
-        """SELECT parameter, warning_low, warning_high, alarm_low, alarm_high FROM tlm_limits"""
+        """SELECT space_system AS parameter, count(*) AS samples, max(state) AS worst FROM states GROUP BY space_system""",
+        states=STATES_SQL,
     ),
 )
 def limits_file(spark: SparkSession, folder: str) -> DataFrame:
-    """The limits of every parameter as one JSON document, read back through the scan."""
-    entry = F.to_json(F.struct(*limits.BOUNDS))
-    member = F.concat(F.lit('"'), "parameter", F.lit('": '), entry)
-    # One document is one line of text: it is assembled by an aggregate, like any export of it.
-    document = views.limits(spark, folder).agg(
-        F.concat(F.lit('{"parameters": {'), F.array_join(F.collect_list(member), ", "), F.lit("}}")).alias("value")
+    """Limits of whole space systems from a JSON document, applied to every sample of them."""
+    bounds = documents.limits(spark, mission.publish(spark, LIMITS_JSON, "limits", "json"))
+    samples = views.samples(spark, folder).select(F.col("space_system").alias("parameter"), "eng")
+    states = limits.with_state(samples, bounds)
+    return states.groupBy("parameter").agg(
+        F.count(F.lit(1)).alias("samples"), F.max("state").alias("worst")
     )
-    place = _place(spark)
-    document.write.text(place)
-    return documents.limits(spark, place)
+
+
+WATCH_JSON = json.dumps(
+    {
+        "version": 1,
+        "watched": [*(f"/Mission/error/U{k}" for k in range(0, 50, 5)), "/Old/GONE", "FRANCE"],
+        "plots": [
+            {"title": "even", "parameters": [f"/Mission/view/U{k}" for k in range(0, 40, 2)]},
+            {"title": "old", "parameters": ["/Old/GONE", "/Mission/error/U5"]},
+        ],
+        "history_depth": 8192,
+    }
+)
+_NAMED = sorted(
+    {
+        *json.loads(WATCH_JSON)["watched"],
+        *(name for p in json.loads(WATCH_JSON)["plots"] for name in p["parameters"]),
+    }
+)
 
 
 @plan(
     "watch_list_file",
-    "S11 U2",
-    oracle("SELECT name FROM tlm_watch UNION SELECT name FROM tlm_plot"),
+    "S11 J2 J4 U2",
+    oracle(
+        """SELECT s.parameter, count(*) AS points FROM tlm_sample s JOIN (VALUES """
+        + ", ".join(f"('{name}')" for name in _NAMED)
+        + """) n(name) ON n.name = s.parameter GROUP BY 1"""
+    ),
 )
 def watch_list_file(spark: SparkSession, folder: str) -> DataFrame:
-    """Watched and plotted names as a saved layout, read back through the scan."""
-    _, names, groups = layout(spark, folder)
-    plots = groups.groupBy("plot_no").agg(
-        F.struct(
-            F.concat(F.lit("plot "), F.first("plot_no").cast("string")).alias("title"),
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda p: p["name"]
-            ).alias("parameters"),
-        ).alias("p")
-    )
-    both = names.agg(F.sort_array(F.collect_list("name")).alias("watched")).join(
-        plots.agg(F.sort_array(F.collect_list(F.struct("plot_no", "p"))).alias("_p")), F.lit(True)
-    )
-    document = both.select(
-        F.to_json(
-            F.struct(
-                F.lit(1).alias("version"),
-                "watched",
-                F.transform("_p", lambda x: x["p"]).alias("plots"),
-                F.lit(8192).alias("history_depth"),
-            )
-        ).alias("value")
-    )
-    place = _place(spark)
-    document.write.text(place)
-    watched, drawn = documents.watch_list(spark, place)
-    return watch.names_in_use(watched, drawn)
+    """A saved layout read through the scan, resolved, and the samples it keeps."""
+    watched, drawn = documents.watch_list(spark, mission.publish(spark, WATCH_JSON, "watch", "json"))
+    resolved = watch.resolved(watched, drawn, pin(views.definition(spark, folder)))
+    kept = store.watched_samples(views.samples(spark, folder), resolved)
+    return kept.groupBy("parameter").agg(F.count(F.lit(1)).alias("points"))
 
 
 @plan(

@@ -14,7 +14,7 @@ from passband.sources import definition, documents, exports, mission
 from passband.streaming import status
 
 CALIBRATED = """<?xml version="1.0"?>
-<d:SpaceSystem name="Cal" xmlns:d="http://www.omg.org/spec/XTCE/20180204"><d:TelemetryMetaData>
+<d:SpaceSystem name="Cal" xmlns:d="http://example.org/definition"><d:TelemetryMetaData>
 <d:ParameterTypeSet>
 <d:IntegerParameterType name="U8"><d:UnitSet/><d:IntegerDataEncoding sizeInBits="8"/></d:IntegerParameterType>
 <d:IntegerParameterType name="U16"><d:UnitSet><d:Unit>m</d:Unit><d:Unit>s</d:Unit></d:UnitSet><d:IntegerDataEncoding sizeInBits="16"/></d:IntegerParameterType>
