@@ -31,29 +31,20 @@ def _instant(epoch: str | int, nanos: Column) -> Column:
     """Nanoseconds after an epoch, or null outside what 64 bits of nanoseconds can name."""
     seconds = EPOCHS[epoch] if isinstance(epoch, str) else epoch
     total = (nanos + _wide(seconds * NANOS)).cast(WIDE)
-    inside = (total >= _wide(LOWEST)) & (total <= _wide(HIGHEST))
-    return F.when(inside, total.try_cast("bigint"))
+    return total.try_cast("bigint")
 
 
 def _power(bits: int) -> Column:
     return F.lit(1 << bits).cast("decimal(20,0)")
 
 
-def _whole_quotient(value: Column, bits: int) -> Column:
-    """value >> bits for DECIMAL values."""
-    if bits == 0:
-        return value.cast(WIDE)
-    return F.call_function("div", value, _power(bits)).cast(WIDE)
-
-
 def _cuc_nanos(coarse: Column, fine: Column, fine_bytes: int) -> Column:
     if fine_bytes == 0:
         return _wide_product(coarse, NANOS)
     # The fraction is a shift, not a double multiply: truncated to the nanosecond, exactly.
     # fine < 2^56 and 2^56 * 10^9 < 10^38, so the product is exact.
     scaled = _wide_product(fine, NANOS)
-    below = scaled - F.pmod(scaled, F.lit(1 << (8 * fine_bytes)).cast("decimal(20,0)"))
-    fraction = F.call_function("div", below, _power(8 * fine_bytes)).cast(WIDE)
+    fraction = F.call_function("div", scaled, _power(8 * fine_bytes)).cast(WIDE)
     return (_wide_product(coarse, NANOS) + fraction).cast(WIDE)
 
 

@@ -225,15 +225,19 @@ def time_codes(spark: SparkSession, folder: str) -> DataFrame:
     millis = F.when(F.col("event_id") % 10 == 3, F.lit(86_401_000)).otherwise(
         of_day * 1000 + floor_div(sub, 1000)
     )
-    wire = events.select(
-        "event_id",
-        us.alias("us"),
-        fine.alias("fine"),
-        F.concat(to_octets(ccsds, 4), to_octets(fine, 3)).alias("cuc"),
-        (ccsds.cast("decimal(20,0)") * F.lit(1 << 24) + fine).cast("decimal(20,0)").alias("number"),
-        F.concat(to_octets(days, 2), to_octets(millis, 4), to_octets(F.pmod(sub, F.lit(1000)), 2)).alias("cds"),
-        (days * F.lit(1 << 32) + millis).alias("cds_number"),
-        (fine / F.lit(100.0)).alias("seconds"),
+    wire = decommutate.staged(
+        events,
+        {
+            "us": us,
+            "fine": fine,
+            "cuc": F.concat(to_octets(ccsds, 4), to_octets(fine, 3)),
+            "number": (ccsds.cast("decimal(20,0)") * F.lit(1 << 24) + fine).cast("decimal(20,0)"),
+            "cds": F.concat(
+                to_octets(days, 2), to_octets(millis, 4), to_octets(F.pmod(sub, F.lit(1000)), 2)
+            ),
+            "cds_number": days * F.lit(1 << 32) + millis,
+            "seconds": fine / F.lit(100.0),
+        },
     )
     whole_ms = floor_div(F.col("us"), 1000) * 1_000_000
     return wire.select(
