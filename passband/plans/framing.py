@@ -252,6 +252,13 @@ def marker_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _found(spark, folder).select("capture_id", "pos")
 
 
+@plan("bit_slip_scan", "F5 F1")
+def bit_slip_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Markers at all eight bit offsets of every capture, counted per offset."""
+    found = markers.scan(views.captures(spark, folder), TEXT_MARKER, bit_slip=True)
+    return found.groupBy("bit").agg(F.count(F.lit(1)).alias("markers"))
+
+
 @plan(
     "stride_mode",
     "F2",

@@ -27,7 +27,7 @@ def test_randomiser_prefix_and_period():
     assert once[255:260] == bytes(a ^ b for a, b in zip(data[255:260], coding.randomiser()[:5].tobytes()))
 
 
-@pytest.mark.parametrize("parity", [32])
+@pytest.mark.parametrize("parity", [32, 16])
 def test_randomiser_is_a_codeword_and_flips_are_seen(parity):
     """Screening without derandomising is clean, and wrong: the order of stages matters."""
     word = coding.randomiser()
