@@ -65,13 +65,29 @@ def age(seconds: Column) -> Column:
         .otherwise(seconds / 86_400)
     )
     unit = F.when(size < 60, "s").when(size < 3600, "m").when(size < 86_400, "h").otherwise("d")
-    # Decimal text of the exact double, ties to even, which is how the digits are specified.
-    exact = scaled.cast("decimal(38,18)")
-    digits = F.when(F.abs(scaled) < 10, F.bround(exact, 1).cast("decimal(20,1)").cast("string"))
-    digits = digits.otherwise(F.bround(exact, 0).cast("decimal(20,0)").cast("string"))
+    tenths = _exact_tenths(F.abs(scaled))
+    sign = F.when(scaled < 0, "-").otherwise("")
+    digits = F.when(
+        F.abs(scaled) < 10, F.concat(sign, (tenths / 10).cast("decimal(20,1)").cast("string"))
+    ).otherwise(F.rint(scaled).cast("decimal(20,0)").cast("string"))
     return F.coalesce(F.concat(digits, F.lit(" "), unit), F.lit(NEVER))
 
 
+def _exact_tenths(x: Column) -> Column:
+    """Tenths of a double of 0 to 10, rounded by its exact value, ties to even.
+
+    Ten times a double is seldom a double, and its digits as printed are not its value.  The product
+    is taken in two halves that are exact, so that the side of the tie it lies on is known.
+    """
+    high = (x * 134_217_729.0) - ((x * 134_217_729.0) - x)  # the upper half of the digits
+    product = x * 10.0
+    rest = (high * 10.0 - product) + (x - high) * 10.0
+    whole = F.floor(product)
+    side = ((product - whole) - 0.5) + rest
+    up = (side > 0) | ((side == 0) & (whole % 2 == 1))
+    return whole + F.when(up, 1).otherwise(0)
+
+
 def hex_preview(octets: Column, preview: int = CELL_PREVIEW) -> Column:
     """Lower-case hex of the first octets, with the length when some are left out."""
     head = F.lower(F.hex(F.substring(octets, 1, preview)))
@@ -80,22 +96,23 @@ def hex_preview(octets: Column, preview: int = CELL_PREVIEW) -> Column:
 
 
 def float_text(number: Column) -> Column:
-    """Shortest text of a double without exponent or a trailing ``.0``."""
-    # format_string would need a precision; a double's own digits come from its string cast,
-    # and only exponents have to be written out.
-    plain = F.regexp_replace(number.cast("string"), r"\.0$", "")
-    size = F.abs(number)
-    digits = (
-        F.when(size >= 1e20, number.try_cast("decimal(38,0)").cast("string"))
-        .when(size < 1e-3, number.try_cast("decimal(38,37)").cast("string"))
-        .otherwise(number.try_cast("decimal(38,17)").cast("string"))
-    )
-    trimmed = F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", "")
-    wide = F.when(digits.contains("."), trimmed).otherwise(digits)
+    """Shortest text of a double without exponent or a trailing ``.0``; it reads back as the same double."""
+    # A double's own digits come from its string cast; only the exponent has to be written out.
+    text = number.cast("string")
+    plain = F.regexp_replace(text, r"\.0$", "")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)E", 1)
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "0+$", "")
+    power = F.when(plain.contains("E"), F.regexp_extract(text, r"E(-?[0-9]+)$", 1)).cast("int")
+    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0")
+    rest = F.substring(digits, power + 2, F.length(digits))
+    wide = F.when(
+        power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    ).otherwise(F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise("")))
     special = F.when(F.isnan(number), "NaN").when(number == float("inf"), "inf").when(
         number == float("-inf"), "-inf"
     )
-    return F.coalesce(special, F.when(plain.contains("E"), F.coalesce(wide, plain)).otherwise(plain))
+    return F.coalesce(special, F.when(plain.contains("E"), F.concat(sign, wide)).otherwise(plain))
 
 
 def value_text(value: Column, preview: int = EXPORT_PREVIEW) -> Column:

@@ -1,5 +1,6 @@
 """Published check values and identities of the octet kernels."""
 
+import random
 import datetime as dt
 
 import numpy as np
@@ -116,6 +117,22 @@ def test_text_forms(spark):
     assert [r[0] for r in octets.select(text.hex_preview(F.col("b"))).collect()] == ["0001020304050607… (9 bytes)", "ab"]
 
 
+def test_text_of_exact_values(spark):
+    rng = random.Random(3)
+    values = [1.15, 0.95, 0.25, 0.35, 9.95, 9.949999999999999, -0.04, -1.15, 12.5, 13.5, 0.0]
+    values += [rng.randrange(2000) / 200 for _ in range(300)] + [rng.uniform(-60, 60) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    want = [f"{v:.1f} s" if abs(v) < 10 else f"{v:.0f} s" for v in values]
+    got = [r[0] for r in df.select(text.age(F.col("s"))).collect()]
+    assert [g for g, w, v in zip(got, want, values) if g != w] == []
+    values = [1e-40, 1.2345678901234567e-25, 1e40, -1.25e22, 5e-324, 1.7976931348623157e308, 123456789012345680.0, 0.001, 1e7, 1.5e7]
+    df = spark.createDataFrame([(v,) for v in values], "f double")
+    got = [r[0] for r in df.select(text.float_text(F.col("f"))).collect()]
+    for g, v in zip(got, values):
+        assert float(g) == v and "E" not in g and not g.endswith(".0"), (g, v)
+    assert got[0] == "0." + "0" * 39 + "1" and got[2] == "1" + "0" * 40
+
+
 def test_limits_and_nan(spark):
     rows = [(5.0, 0), (60.0, 1), (80.0, 2), (95.0, 3), (float("nan"), 0), (None, 0)]
     df = spark.createDataFrame([(v, s) for v, s in rows[1:]], "v double, s int")
