@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passband.functions.predicates import contains_ascii_fold
 from passband.operators.lookup import dimension
 from passband.operators.ordered import DEFAULT_WIDTH, carry, newest
+from passband.session import pin
 
 UPDATE_CEILING = 4_294_967_295
 MAX_MATCHES = 512
 DEFAULT_DEPTH = 4096
 
-#: Samples per packet that one arrival key can tell apart.
-ORDINALS = 1 << 16
-
 
 def arrival(packet: str = "pkt_no", ordinal: str = "ordinal") -> Column:
-    """Packet and position in it as one number, so that maxima stay in primitive buffers."""
-    return F.col(packet) * F.lit(ORDINALS) + F.col(ordinal)
+    """Packet, then position in it: the order of arrival, for any number of either."""
+    return F.struct(packet, ordinal)
 
 
 def latest(
@@ -153,6 +151,26 @@ def name_search(
     )
 
 
+def with_places(rows: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """``rows`` with ``place``: from 1, their place in the order of ``keys``.
+
+    A range-partitioned sort numbers the rows of each partition, and the partitions' counts say
+    where each begins, so no task sees all rows.
+    """
+    row = F.monotonically_increasing_id()
+    placed = pin(
+        rows.orderBy(*keys)
+        .withColumn("_part", F.shiftright(row, 33))
+        .withColumn("_row", row.bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    place = F.col("_start") + F.col("_row") + 1
+    return placed.join(dimension(starts), "_part").select(*rows.columns, place.alias("place"))
+
+
 def value_table(
     samples: DataFrame, needle: str = "", watch: DataFrame | None = None
 ) -> DataFrame:

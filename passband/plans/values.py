@@ -276,7 +276,7 @@ def value_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def _table_sql(order: str) -> str:
     return oracle(
-        f"SELECT parameter, received, eng, updates, state FROM states ORDER BY {order} LIMIT 25",
+        f"SELECT parameter, received, eng, updates, state, row_number() OVER (ORDER BY {order}) AS place FROM states",
         latest=LATEST_SQL,
         states=TABLE_SQL,
     )
@@ -287,7 +287,7 @@ def _sorted_table(spark: SparkSession, folder: str, sort: str, reverse: bool = F
         store.value_table(views.samples(spark, folder)), views.limits(spark, folder)
     )
     keys = store.sort_keys(sort, reverse)
-    return shown.select("parameter", "received", "eng", "updates", "state").orderBy(*keys).limit(25)
+    return store.with_places(shown.select("parameter", "received", "eng", "updates", "state"), keys)
 
 
 @plan("table_by_name", "O1", _table_sql("parameter"))
