@@ -58,6 +58,35 @@ def find_marker(octets: bytes, marker: bytes, bits: Sequence[int]) -> list[int]:
     return sorted(found)
 
 
+#: Offsets per cell in which the edges of chunks are brought together.
+SEAM_CELL = 4096
+
+
+def seam_markers(
+    begin: int, lows: list[int], chunk_at: list[int], parts: list[bytes], marker: bytes, bits: Sequence[int]
+) -> list[int]:
+    """Bit positions of markers over a seam that begin in the cell at octet ``begin``.
+
+    ``parts`` are edges of chunks in order; where one does not follow the other at once,
+    the octets between lie inside a chunk and no marker over a seam spans them.
+    """
+    found: list[int] = []
+    i = 0
+    while i < len(parts):
+        j = i + 1
+        while j < len(parts) and lows[j] == lows[j - 1] + len(parts[j - 1]):
+            j += 1
+        seams = [lows[k] for k in range(i + 1, j) if lows[k] == chunk_at[k]]
+        if seams:
+            for at in find_marker(b"".join(parts[i:j]), marker, bits):
+                pos = lows[i] + at // 8
+                end = pos + len(marker) + (1 if at % 8 else 0)
+                if begin <= pos < begin + SEAM_CELL and any(pos < s < end for s in seams):
+                    found.append(8 * pos + at % 8)
+        i = j
+    return found
+
+
 def scan(
     chunks: DataFrame,
     marker: bytes = MARKER,
@@ -68,8 +97,8 @@ def scan(
     """Every marker, each once, chunk seams included: keys, ``pos`` (octet), ``bit``.
 
     Chunks are searched in place.  A marker over a seam lies within the last and first few
-    octets of neighbouring chunks; only those are brought together, per chunk number.  Chunks
-    have to be longer than the marker; :func:`passband.operators.chunks.recut` shorter ones.
+    octets of neighbouring chunks; only those are brought together, in cells of offsets, so chunks
+    may be as short as one octet.
     """
     bits = range(8) if bit_slip else range(1)
     reach = len(marker) - 1 + (1 if bit_slip else 0)
@@ -89,52 +118,45 @@ def scan(
     inside = placed(chunks)
     if reach == 0:
         return inside
-    edge = F.struct("chunk_no", "offset", "bytes")
     size = F.length("bytes")
-    # Chunk n lends its last octets to the seam after it and its first ones to the seam before
-    # it; a chunk shorter than a marker is also needed by seams further away.
-    ends = chunks.select(
+    begin = F.col("offset")
+
+    def piece(low: Column, octets: Column) -> Column:
+        return F.struct(low.alias("low"), octets.alias("octets"))
+
+    # The first and last octets of a chunk; all of a short one.
+    head, tail = F.substring("bytes", 1, reach), F.substring(F.col("bytes"), size - reach + 1, F.lit(reach))
+    pieces = chunks.filter(size > 0).select(
         *keys,
+        F.col("offset").alias("chunk_at"),
         F.explode(
-            F.array(
-                F.struct(
-                    (F.col("chunk_no") + 1).alias("seam"),
-                    F.col("chunk_no"),
-                    (F.col("offset") + F.greatest(size - reach, F.lit(0))).alias("offset"),
-                    F.substring(
-                        F.col("bytes"), F.greatest(size - reach, F.lit(0)) + 1, F.lit(reach)
-                    ).alias("bytes"),
-                ),
-                F.struct(
-                    F.col("chunk_no").alias("seam"),
-                    F.col("chunk_no"),
-                    F.col("offset"),
-                    F.substring("bytes", 1, reach).alias("bytes"),
-                ),
+            F.when(size <= 2 * reach, F.array(piece(begin, F.col("bytes")))).otherwise(
+                F.array(piece(begin, head), piece(begin + size - reach, tail))
             )
-        ).alias("_e"),
-    ).select(*keys, "_e.*")
-    joined = ends.groupBy(*keys, "seam").agg(F.sort_array(F.collect_list(edge)).alias("_p"))
-    seams = joined.filter(F.size("_p") == 2).select(
-        *keys,
-        F.col("_p")[0]["offset"].alias("offset"),
-        F.concat(F.col("_p")[0]["bytes"], F.col("_p")[1]["bytes"]).alias("bytes"),
-        F.col("_p")[1]["offset"].alias("_seam_at"),
+        ).alias("_p"),
     )
-    at = F.explode(find("bytes")).alias("_at")
-    crossing = (
-        seams.select(*keys, "offset", "_seam_at", at)
-        .select(
-            *keys,
-            (F.col("offset") + floor_div(F.col("_at"), 8)).alias("pos"),
-            (F.col("_at") % 8).cast("int").alias("bit"),
-            "_seam_at",
-        )
-        .filter(
-            (F.col("pos") < F.col("_seam_at"))
-            & (F.col("pos") + len(marker) + F.when(F.col("bit") > 0, 1).otherwise(0) > F.col("_seam_at"))
+    # A cell needs what markers that begin in it may reach.
+    low, high = F.col("_p.low"), F.col("_p.low") + F.length("_p.octets")
+    spread = pieces.withColumn(
+        "cell", F.explode(F.sequence(floor_div(low - reach, SEAM_CELL), floor_div(high - 1, SEAM_CELL)))
+    )
+    cells = spread.groupBy(*keys, "cell").agg(
+        F.sort_array(F.collect_list(F.struct("_p.low", "chunk_at", "_p.octets"))).alias("_s")
+    )
+    cells = cells.filter(F.size("_s") > 1)
+
+    @pandas_udf("array<bigint>")
+    def across(cell: pd.Series, lows: pd.Series, chunk_at: pd.Series, octets: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                seam_markers(c * SEAM_CELL, list(at), list(starts), [bytes(b) for b in parts], marker, bits)
+                for c, at, starts, parts in zip(cell, lows, chunk_at, octets)
+            ]
         )
-        .drop("_seam_at")
+
+    at = F.explode(across("cell", F.col("_s.low"), F.col("_s.chunk_at"), F.col("_s.octets"))).alias("_at")
+    crossing = cells.select(*keys, at).select(
+        *keys, floor_div(F.col("_at"), 8).alias("pos"), (F.col("_at") % 8).cast("int").alias("bit")
     )
     return inside.unionByName(crossing)
 
