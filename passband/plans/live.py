@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +21,32 @@ from passband.sources.views import oracle
 from passband.streaming import assembly, gaps, status, sync
 
 
-def stage(df: DataFrame, order: str, parts: int = 3) -> str:
-    """Store rows as ``parts`` sets of files, oldest first, for a file stream to pick up in turn."""
-    folder = f"{shared_folder(df.sparkSession)}/passband-stream-{uuid.uuid4().hex}"
-    top = df.agg(F.max(order)).first()[0] + 1
-    for part in range(parts):
-        low, high = top * part // parts, top * (part + 1) // parts
-        chosen = df.filter((F.col(order) >= low) & (F.col(order) < high))
-        chosen.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+#: Micro-batches that the staged queries are cut into, and files of each.
+BATCHES, FILES = 3, 4
+
+
+def stage(df: DataFrame, order: str) -> str:
+    """Store rows as files in arrival order, for a file stream to pick up a few at a time.
+
+    The rows are computed once and range-partitioned.  A file stream takes files by their time, so
+    the files, which are written side by side, get times in the order of their ranges.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/passband-stream-{uuid.uuid4().hex}"
+    ranged = df.repartitionByRange(BATCHES * FILES, order).sortWithinPartitions(order)
+    ranged.write.parquet(f"{folder}/in")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(str(f.getPath()) for f in store.listStatus(path) if "/part-" in str(f.getPath()))
+    now = int(time.time()) * 1000
+    for i, name in enumerate(names):
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        store.setTimes(place, now - 1000 * (len(names) - i), -1)
     return folder
 
 
 def source(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in")
 
 
 def drain(rows: DataFrame, folder: str) -> DataFrame:
@@ -49,6 +63,25 @@ def drain(rows: DataFrame, folder: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
+def newest(rows: DataFrame, folder: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Run an updating stream to its end; the last row of every key, open windows included."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        # Named by batch: a repeated micro-batch replaces what it wrote before.
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = (
+        rows.writeStream.outputMode("update")
+        .foreachBatch(save)
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    written = rows.sparkSession.read.parquet(f"{folder}/out/batch=*")
+    return written.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in values])
+
+
 def _stream_of(spark: SparkSession, df: DataFrame, order: str) -> tuple[str, DataFrame]:
     folder = stage(df, order)
     return folder, source(spark, folder, df.schema)
@@ -66,24 +99,7 @@ def stream_latest_values(spark: SparkSession, folder: str) -> DataFrame:
     """A streaming aggregate in update mode, written once per micro-batch; the newest row wins."""
     samples = views.samples(spark, folder).select("parameter", "pkt_no", "ordinal", "raw", "eng")
     place, rows = _stream_of(spark, samples, "pkt_no")
-    latest = status.store.latest(rows, columns=("raw", "eng"))
-
-    def save(batch: DataFrame, number: int) -> None:
-        # Named by batch: a repeated micro-batch replaces what it wrote before.
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
-
-    query = (
-        latest.writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", f"{place}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    written = spark.read.parquet(f"{place}/out/batch=*")
-    return written.groupBy("parameter").agg(
-        *[F.max_by(c, "_batch").alias(c) for c in ("raw", "eng", "updates")]
-    )
+    return newest(status.store.latest(rows, columns=("raw", "eng")), place, ["parameter"], ["raw", "eng", "updates"])
 
 
 @plan(
@@ -134,7 +150,7 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks replayed from the store and cut into frames as they come, checksums holding."""
     chunks = recording(spark, folder).withColumn("capture_id", F.col("capture_id").cast("bigint"))
     place = stage(chunks, "chunk_no")
-    rows = files.replay(spark, f"{place}/in", files_per_trigger=1)
+    rows = files.replay(spark, f"{place}/in", files_per_trigger=FILES)
     cut = drain(sync.synchronise(rows, FRAME), place)
     good = tm.parse(cut, LAYOUT).filter(F.col("status") == "ok")
     return good.select("capture_id", "start", "found")
@@ -147,19 +163,23 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
         """SELECT w AS start_us, CAST(sum(pkt_len) AS DOUBLE) / 5 AS bytes_per_second, CAST(count(*) AS DOUBLE) / 5 AS packets_per_second
            FROM (SELECT unnest(range(us // 500000 * 500000 - 4500000, us // 500000 * 500000 + 1, 500000)) AS w, pkt_len
                  FROM (SELECT epoch_us(ts) // 500 AS us, CAST(7 + length(props) AS INTEGER) AS pkt_len FROM events) e) x
-           GROUP BY w HAVING w + 5000000 <= (SELECT max(epoch_us(ts) // 500) FROM events) - 10000000"""
+           GROUP BY w"""
     ),
 )
 def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Sliding windows of the archive played back 500 times faster; windows the watermark closed."""
+    """Sliding windows of the archive played back 500 times faster, those still open at its end too."""
     arrivals = views.table(spark, folder, "events").select(
         F.col("event_id").alias("pkt_no"),
         F.timestamp_micros(floor_div(views.micros("ts"), 500)).alias("received"),
         (F.length("props") + 7).cast("int").alias("pkt_len"),
     )
     place, rows = _stream_of(spark, arrivals, "pkt_no")
-    made = drain(status.windowed_rates(rows), place)
-    return made.select(F.unix_micros("window.start").alias("start_us"), "bytes_per_second", "packets_per_second")
+    return newest(
+        status.windowed_rates(rows).select(F.unix_micros("window.start").alias("start_us"), "bytes_per_second", "packets_per_second"),
+        place,
+        ["start_us"],
+        ["bytes_per_second", "packets_per_second"],
+    )
 
 
 @plan(
@@ -186,15 +206,4 @@ def stream_status(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("apid") % 4).alias("capture_id"), "pkt_no", "pkt_len", F.col("received").cast("timestamp").alias("received")
     )
     place, rows = _stream_of(spark, packets, "pkt_no")
-    lines = status.status_lines(rows)
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
-
-    query = (
-        lines.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{place}/state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    written = spark.read.parquet(f"{place}/out/batch=*")
-    return written.groupBy("capture_id").agg(*[F.max_by(c, "_batch").alias(c) for c in ("packets_in", "bytes_in")])
+    return newest(status.status_lines(rows), place, ["capture_id"], ["packets_in", "bytes_in"])
