@@ -357,6 +357,8 @@ def rdp(
     distance = F.when(norm == 0, F.hypot(px - ax, py - ay)).otherwise(
         F.abs((bx - ax) * (ay - py) - (ax - px) * (by - ay)) / norm
     )
+    # Spark ranks NaN above every number; a distance that is none splits nothing.
+    distance = F.when(F.isnan(distance), 0.0).otherwise(distance)
     while True:
         open_points = pin(open_points)
         segment = [*keys, F.col("a.idx").alias("_from")]

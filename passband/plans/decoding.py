@@ -37,11 +37,11 @@ PACKET_SQL = f"""
 _LOW, _MID, _TOP = mission.SPLINE
 _SLOPE1 = (_MID[1] - _LOW[1]) / (_MID[0] - _LOW[0])
 _SLOPE2 = (_TOP[1] - _MID[1]) / (_TOP[0] - _MID[0])
-ENG = f"""CASE WHEN mode = 4 THEN CAST(0.005 AS DOUBLE) * CAST(raw AS DOUBLE) + CAST(12.25 AS DOUBLE)
-    WHEN mode = 0 THEN CAST(-0.02 AS DOUBLE) * CAST(raw AS DOUBLE)
-    WHEN mode = 3 AND raw <= 12800 THEN CAST({_LOW[1]} AS DOUBLE) + CAST({_SLOPE1!r} AS DOUBLE) * (CAST(raw AS DOUBLE) - CAST({_LOW[0]} AS DOUBLE))
+ENG = f"""CASE WHEN mode = 4 THEN CAST(0.0075 AS DOUBLE) * CAST(raw AS DOUBLE) + CAST(3.5 AS DOUBLE)
+    WHEN mode = 0 THEN CAST(-0.015 AS DOUBLE) * CAST(raw AS DOUBLE)
+    WHEN mode = 3 AND raw <= {_MID[0]} THEN CAST({_LOW[1]} AS DOUBLE) + CAST({_SLOPE1!r} AS DOUBLE) * (CAST(raw AS DOUBLE) - CAST({_LOW[0]} AS DOUBLE))
     WHEN mode = 3 THEN CAST({_MID[1]} AS DOUBLE) + CAST({_SLOPE2!r} AS DOUBLE) * (CAST(raw AS DOUBLE) - CAST({_MID[0]} AS DOUBLE))
-    ELSE CAST(0.01 AS DOUBLE) * CAST(raw AS DOUBLE) + CAST(100.0 AS DOUBLE) END"""
+    ELSE CAST(0.01 AS DOUBLE) * CAST(raw AS DOUBLE) + CAST(40.0 AS DOUBLE) END"""
 
 
 @plan(

@@ -2,83 +2,112 @@
 
 import math
 import random
+import struct
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passband.operators import decommutate, series
+from passband.operators import decommutate, series, store
 from passband.session import shared_folder
 from passband.sources import definition, documents, exports, mission
 from passband.streaming import status
 
-CALIBRATED = """<?xml version="1.0"?>
-<d:SpaceSystem name="Cal" xmlns:d="http://example.org/definition"><d:TelemetryMetaData>
-<d:ParameterTypeSet>
-<d:IntegerParameterType name="U8"><d:UnitSet/><d:IntegerDataEncoding sizeInBits="8"/></d:IntegerParameterType>
-<d:IntegerParameterType name="U16"><d:UnitSet><d:Unit>m</d:Unit><d:Unit>s</d:Unit></d:UnitSet><d:IntegerDataEncoding sizeInBits="16"/></d:IntegerParameterType>
-<d:EnumeratedParameterType name="MODE_T"><d:UnitSet/><d:IntegerDataEncoding sizeInBits="8"/><d:EnumerationList>
-<d:Enumeration value="0" label="IDLE"/><d:Enumeration value="1" label="WARM"/><d:Enumeration value="3" label="CAL"/></d:EnumerationList></d:EnumeratedParameterType>
-<d:IntegerParameterType name="SENSOR_T"><d:UnitSet/><d:IntegerDataEncoding sizeInBits="16"><d:DefaultCalibrator><d:PolynomialCalibrator>
-<d:Term coefficient="1.0" exponent="1"/><d:Term coefficient="100.0" exponent="0"/></d:PolynomialCalibrator></d:DefaultCalibrator>
-<d:ContextCalibratorList><d:ContextCalibrator><d:ContextMatch><d:Comparison parameterRef="MODE" value="1" useCalibratedValue="false"/></d:ContextMatch>
-<d:Calibrator><d:PolynomialCalibrator><d:Term coefficient="0.5" exponent="1"/><d:Term coefficient="12.25" exponent="0"/></d:PolynomialCalibrator></d:Calibrator></d:ContextCalibrator></d:ContextCalibratorList>
-</d:IntegerDataEncoding></d:IntegerParameterType>
-<d:IntegerParameterType name="AHEAD_T"><d:UnitSet/><d:IntegerDataEncoding sizeInBits="16"><d:ContextCalibratorList><d:ContextCalibrator>
-<d:ContextMatch><d:Comparison parameterRef="LATER" value="5" useCalibratedValue="false"/></d:ContextMatch>
-<d:Calibrator><d:PolynomialCalibrator><d:Term coefficient="7.0" exponent="0"/></d:PolynomialCalibrator></d:Calibrator></d:ContextCalibrator></d:ContextCalibratorList>
-<d:DefaultCalibrator><d:PolynomialCalibrator><d:Term coefficient="1.0" exponent="1"/></d:PolynomialCalibrator></d:DefaultCalibrator></d:IntegerDataEncoding></d:IntegerParameterType>
-<d:IntegerParameterType name="SPLINE_T"><d:UnitSet/><d:IntegerDataEncoding sizeInBits="8"><d:ContextCalibratorList><d:ContextCalibrator>
-<d:ContextMatch><d:Comparison parameterRef="MODE" value="CAL"/></d:ContextMatch><d:Calibrator><d:SplineCalibrator order="1" extrapolate="true">
-<d:SplinePoint raw="0" calibrated="-40.0"/><d:SplinePoint raw="128" calibrated="0.0"/><d:SplinePoint raw="255" calibrated="85.5"/></d:SplineCalibrator></d:Calibrator></d:ContextCalibrator></d:ContextCalibratorList>
-<d:DefaultCalibrator><d:PolynomialCalibrator><d:Term coefficient="0.25" exponent="1"/></d:PolynomialCalibrator></d:DefaultCalibrator></d:IntegerDataEncoding></d:IntegerParameterType>
-<d:FloatParameterType name="F32"><d:UnitSet/><d:FloatDataEncoding sizeInBits="32"/></d:FloatParameterType>
-</d:ParameterTypeSet>
-<d:ParameterSet><d:Parameter name="APID" parameterTypeRef="U16"/><d:Parameter name="MODE" parameterTypeRef="MODE_T"/>
-<d:Parameter name="SENSOR" parameterTypeRef="SENSOR_T"/><d:Parameter name="AHEAD" parameterTypeRef="AHEAD_T"/>
-<d:Parameter name="SPLINE" parameterTypeRef="SPLINE_T"/><d:Parameter name="LATER" parameterTypeRef="U8"/><d:Parameter name="REAL" parameterTypeRef="F32"/></d:ParameterSet>
-<d:ContainerSet>
-<d:SequenceContainer name="Head" abstract="true"><d:EntryList><d:ParameterRefEntry parameterRef="APID"/></d:EntryList></d:SequenceContainer>
-<d:SequenceContainer name="Tail" abstract="true"><d:EntryList><d:ParameterRefEntry parameterRef="LATER"/></d:EntryList></d:SequenceContainer>
-<d:SequenceContainer name="Payload"><d:EntryList><d:ParameterRefEntry parameterRef="MODE"/><d:ParameterRefEntry parameterRef="SENSOR"/>
-<d:ParameterRefEntry parameterRef="AHEAD"/><d:ParameterRefEntry parameterRef="SPLINE"/><d:ContainerRefEntry containerRef="Tail"/><d:ParameterRefEntry parameterRef="REAL"/></d:EntryList>
-<d:BaseContainer containerRef="Head"><d:RestrictionCriteria><d:BooleanExpression><d:ANDedConditions>
-<d:Condition><d:ParameterInstanceRef parameterRef="APID" useCalibratedValue="false"/><d:ComparisonOperator>==</d:ComparisonOperator><d:Value>300</d:Value></d:Condition>
-</d:ANDedConditions></d:BooleanExpression></d:RestrictionCriteria></d:BaseContainer></d:SequenceContainer>
-</d:ContainerSet></d:TelemetryMetaData></d:SpaceSystem>"""
+def line(*terms):
+    """A polynomial calibrator of (coefficient, exponent) terms."""
+    return "<PolynomialCalibrator>" + "".join(f'<Term coefficient="{c}" exponent="{e}"/>' for c, e in terms) + "</PolynomialCalibrator>"
+
+
+def when(test, calibrator):
+    return f"<ContextCalibrator><ContextMatch><Comparison {test}/></ContextMatch><Calibrator>{calibrator}</Calibrator></ContextCalibrator>"
+
+
+def unsigned(name, bits, contexts="", default="", units=()):
+    listed = "".join(f"<Unit>{u}</Unit>" for u in units)
+    inside = (f"<DefaultCalibrator>{default}</DefaultCalibrator>" if default else "") + (
+        f"<ContextCalibratorList>{contexts}</ContextCalibratorList>" if contexts else ""
+    )
+    return f'<IntegerParameterType name="{name}"><UnitSet>{listed}</UnitSet><IntegerDataEncoding sizeInBits="{bits}">{inside}</IntegerDataEncoding></IntegerParameterType>'
+
+
+def container(name, refs, base=""):
+    each = "".join(f'<{"ContainerRefEntry containerRef" if r.startswith("@") else "ParameterRefEntry parameterRef"}="{r.lstrip("@")}"/>' for r in refs)
+    return f'<SequenceContainer name="{name}"{"" if base else " abstract=\'true\'"}><EntryList>{each}</EntryList>{base}</SequenceContainer>'
+
+
+#: An oven: its warmth by state, a damper that is calibrated by a field yet to come, and a flow curve.
+OVEN_PARAMETERS = {"KIND": "K24", "STATE": "STATE_T", "WARMTH": "WARMTH_T", "DAMPER": "DAMPER_T", "FLOW": "FLOW_T", "DOOR": "B8", "VOLTS": "REAL"}
+OVEN = (
+    '<SpaceSystem name="Oven"><TelemetryMetaData><ParameterTypeSet>'
+    + unsigned("K24", 24, units=("lot", "no"))
+    + unsigned("B8", 8)
+    + '<EnumeratedParameterType name="STATE_T"><UnitSet/><IntegerDataEncoding sizeInBits="8"/><EnumerationList>'
+    + "".join(f'<Enumeration value="{v}" label="{n}"/>' for v, n in ((1, "COLD"), (6, "BAKE"), (9, "VENT")))
+    + "</EnumerationList></EnumeratedParameterType>"
+    + unsigned("WARMTH_T", 24, when('parameterRef="STATE" value="6" useCalibratedValue="false"', line((0.125, 1), (-3.0, 0), (2.0, 2))), line((3.0, 1), (7.0, 0)))
+    + unsigned("DAMPER_T", 8, when('parameterRef="DOOR" value="33" useCalibratedValue="false"', line((1.5, 0))), line((10.0, 1)))
+    + unsigned(
+        "FLOW_T",
+        16,
+        when(
+            'parameterRef="STATE" value="VENT"',
+            '<SplineCalibrator order="1" extrapolate="true">'
+            + "".join(f'<SplinePoint raw="{r}" calibrated="{c}"/>' for r, c in ((10, 1.0), (20, 3.0), (60, 11.0), (100, 9.0)))
+            + "</SplineCalibrator>",
+        ),
+        line((0.75, 1)),
+    )
+    + '<FloatParameterType name="REAL"><UnitSet/><FloatDataEncoding sizeInBits="32"/></FloatParameterType>'
+    + "</ParameterTypeSet><ParameterSet>"
+    + "".join(f'<Parameter name="{n}" parameterTypeRef="{t}"/>' for n, t in OVEN_PARAMETERS.items())
+    + "</ParameterSet><ContainerSet>"
+    + container("Front", ["KIND"])
+    + container("Rear", ["DOOR", "VOLTS"])
+    + container(
+        "Report",
+        ["STATE", "WARMTH", "DAMPER", "FLOW", "@Rear"],
+        '<BaseContainer containerRef="Front"><RestrictionCriteria><BooleanExpression><Condition>'
+        '<ParameterInstanceRef parameterRef="KIND" useCalibratedValue="false"/><ComparisonOperator>==</ComparisonOperator><Value>70001</Value>'
+        "</Condition></BooleanExpression></RestrictionCriteria></BaseContainer>",
+    )
+    + "</ContainerSet></TelemetryMetaData></SpaceSystem>"
+)
 
 
 def test_calibration_contexts(spark):
-    tables = definition.scan(spark, mission.publish(spark, CALIBRATED, "cal", "xml"))
+    tables = definition.scan(spark, mission.publish(spark, OVEN, "oven", "xml"))
     units = {r.leaf: r.units for r in definition.parameter_table(tables).collect()}
-    assert units["APID"] == ["m", "s"] and units["MODE"] == []
+    assert units["KIND"] == ["lot", "no"] and units["STATE"] == []
     decoder = decommutate.Decommutator(definition.compile_definition(tables))
-    assert [f.name for f in decoder.fields("Payload")] == ["APID", "MODE", "SENSOR", "AHEAD", "SPLINE", "LATER", "REAL"]
-
-    def packet(apid, mode, sensor, ahead, spline, later):
-        head = apid.to_bytes(2, "big") + bytes([mode])
-        return bytearray(head + sensor.to_bytes(2, "big") + ahead.to_bytes(2, "big") + bytes([spline, later]) + bytes.fromhex("42280000"))
-
-    rows = [
-        (0, packet(299, 0, 0, 0, 0, 0), 9), (1, packet(300, 0, 8160, 5, 128, 0), 9), (2, packet(300, 1, 10, 6, 0, 5), 9),
-        (3, packet(300, 3, 1, 5, 255, 5), 9), (4, packet(300, 2, 1, 5, 255, 5), 9), (5, packet(300, 0, 1, 5, 255, 5)[:9], 9),
-        (6, packet(300, 3, 1, 5, 64, 5) + b"\0\0", 9),
-    ]
-    df = spark.createDataFrame(rows, "pkt_no bigint, bytes binary, received_ns bigint")
-    out = {r.pkt_no: r for r in decoder.decode(df).collect()}
-    assert out[0].reason == "packet type not described" and out[0].samples is None
-    assert out[4].reason == "value outside its enumeration"
-    assert out[5].reason == "field past the end of the packet"
-
-    def eng(n):
-        return {s.parameter.rsplit("/", 1)[1]: s.eng for s in out[n].samples}
-
-    assert eng(1)["SENSOR"].f == 8260.0 and eng(1)["MODE"].s == "IDLE" and eng(1)["SPLINE"].f == 32.0
-    assert eng(1)["AHEAD"].f == 7.0 and eng(2)["AHEAD"].f == 6.0
-    assert eng(2)["SENSOR"].f == 17.25 and eng(1)["REAL"].f == 42.0 and eng(1)["REAL"].kind == "Float"
-    assert eng(3)["SPLINE"].f == pytest.approx(85.5) and eng(6)["SPLINE"].f == -20.0
-    assert eng(1)["LATER"].kind == "Unsigned" and out[6].trailing_bits == 16
+    assert [f.name for f in decoder.fields("Report")] == list(OVEN_PARAMETERS)
+
+    def packet(kind, state, warmth, damper, flow, door):
+        words = ((kind, 3), (state, 1), (warmth, 3), (damper, 1), (flow, 2), (door, 1))
+        return bytearray(b"".join(w.to_bytes(n, "big") for w, n in words) + struct.pack(">f", -1.25))
+
+    rows = {
+        "cold": packet(70001, 1, 90000, 33, 8, 0), "bake": packet(70001, 6, 16, 4, 8, 33), "vent": packet(70001, 9, 1, 4, 40, 33),
+        "beyond": packet(70001, 9, 1, 4, 120, 33) + b"\7\7\7", "other": packet(70002, 1, 0, 0, 0, 0), "no such state": packet(70001, 2, 0, 0, 0, 0),
+        "short": packet(70001, 1, 0, 0, 0, 0)[:11],
+    }
+    df = spark.createDataFrame([(i, b, 9) for i, b in enumerate(rows.values())], "pkt_no bigint, bytes binary, received_ns bigint")
+    out = dict(zip(rows, sorted(decoder.decode(df).collect(), key=lambda r: r.pkt_no)))
+    assert out["other"].reason == "packet type not described" and out["other"].samples is None
+    assert out["no such state"].reason == "value outside its enumeration"
+    assert out["short"].reason == "field past the end of the packet"
+
+    def eng(name):
+        return {s.parameter.rsplit("/", 1)[1]: s.eng for s in out[name].samples}
+
+    # 3 * 90000 + 7; DOOR is not known yet where DAMPER stands, so its own number is compared
+    assert eng("cold")["WARMTH"].f == 270007.0 and eng("cold")["STATE"].s == "COLD" and eng("cold")["DAMPER"].f == 1.5
+    # 2 * 16 * 16 + 16 / 8 - 3; 3 / 4 of 8
+    assert eng("bake")["WARMTH"].f == 511.0 and eng("bake")["DAMPER"].f == 40.0 and eng("bake")["FLOW"].f == 6.0
+    # halfway from 3 to 11; past the last point along the last slope of -1 / 20
+    assert eng("vent")["FLOW"].f == 7.0 and eng("beyond")["FLOW"].f == 8.0
+    assert eng("vent")["VOLTS"].f == -1.25 and eng("vent")["VOLTS"].kind == "Float"
+    assert eng("bake")["DOOR"].kind == "Unsigned" and out["beyond"].trailing_bits == 24
     with pytest.raises(ValueError):
         decoder.decode(df, decommutate.Clock("NOPE", "cuc"))
 
@@ -159,6 +188,29 @@ def test_rdp_bound_and_long_path_agrees(spark):
     assert series.rdp(points(spark, [1, 2]), 0.1).count() == 2
 
 
+def test_rdp_with_a_number_that_is_none(spark):
+    values = [0, 4, 1, 5, 0, float("nan"), 3, 0, 6, 1, 7, 0, 2, 9, 0]
+    df = points(spark, values)
+    whole = sorted(r.seq_no for r in series.rdp(df, 1.5).collect())
+    split = sorted(r.seq_no for r in series.rdp(df, 1.5, short=2, width=4).collect())
+    assert split == whole and 5 not in whole
+
+
+def test_latest_by_packet_then_place(spark):
+    rows = [("p", 0, 70_000, 1.0), ("p", 1, 0, 2.0), ("p", 1, 1, 3.0), ("q", 1 << 60, 5, 4.0), ("q", 3, 9, 5.0)]
+    df = spark.createDataFrame(rows, "parameter string, pkt_no bigint, ordinal int, eng double")
+    got = {r.parameter: (r.eng, r.updates) for r in store.latest(df, ("eng",)).collect()}
+    assert got == {"p": (3.0, 3), "q": (4.0, 2)}
+
+
+def test_places_over_many_partitions(spark):
+    rows = [(f"p{i:03d}", i * 7 % 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "parameter string, updates int").repartition(9)
+    got = [(r.place, r.parameter) for r in store.with_places(df, store.sort_keys("updates")).collect()]
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert sorted(got) == [(i, name) for i, (name, _) in enumerate(want, 1)]
+
+
 def test_follow_window_falls_back(spark):
     empty = points(spark, [1.0]).filter("v > 5")
     assert tuple(series.follow_window(empty, F.lit(100.0)).first()) == (40.0, 100.0)
