@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from passband.session import pin
 
 #: A definition has some ten thousand parameters; a million short rows is still ~100 MB.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 128 << 20
 
 
-def dimension(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` written once and hinted for broadcast if it holds at most ``max_rows`` rows.
+def dimension(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """``df`` written once and hinted for broadcast if its rows and their bytes are few enough.
 
-    The check stops reading at ``max_rows + 1``.  Beyond the bound ``df`` is returned as it is
-    and the join is left to Spark, which shuffles both sides and splits skewed keys at run time.
+    Beyond the bounds the written copy is joined by Spark, which shuffles both sides and splits
+    skewed keys at run time.
     """
-    held = pin(df.limit(max_rows + 1))
-    return F.broadcast(held) if held.count() <= max_rows else df
+    held = pin(df)
+    size = F.octet_length(F.to_json(F.struct(*held.columns)))
+    rows, octets = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(held) if rows <= max_rows and octets <= max_bytes else held

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passband.schemas import WATCH_LIST
@@ -17,6 +17,17 @@ def _members(text: DataFrame) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "json"))
 
 
+#: Refused names that an error spells out; it counts the rest.
+NAMED = 20
+
+
+def named(refused: DataFrame, name: Column) -> str:
+    """The first refused names in order, and how many more there are; empty if there are none."""
+    first = [r[0] for r in refused.select(name.alias("n")).orderBy("n").limit(NAMED).collect()]
+    more = refused.count() - NAMED if len(first) == NAMED else 0
+    return ", ".join(first) + (f" and {more} more" if more else "")
+
+
 def limits(spark: SparkSession, path: str) -> DataFrame:
     """Name to four optional thresholds; a ``parameters`` wrapper is optional.
 
@@ -29,21 +40,20 @@ def limits(spark: SparkSession, path: str) -> DataFrame:
     top = _members(text)
     names = [r.name for r in top.filter(F.col("name") == WRAPPER).limit(1).collect()]
     if names:
-        beside = [r.name for r in top.filter(F.col("name") != WRAPPER).select("name").limit(20).collect()]
+        beside = named(top.filter(F.col("name") != WRAPPER), F.col("name"))
         if beside:
-            raise ValueError(f"{path}: unknown members beside `{WRAPPER}`: {', '.join(sorted(beside))}")
+            raise ValueError(f"{path}: unknown members beside `{WRAPPER}`: {beside}")
         top = top.select(F.explode(F.from_json("json", "map<string,string>")).alias("name", "json"))
     entries = top.withColumn("_m", F.from_json("json", "map<string,double>"))
     unknown = entries.select("name", F.explode(F.map_keys("_m")).alias("key")).filter(
         ~F.col("key").isin(*BOUNDS)
     )
-    refused = unknown.limit(20).collect()
+    refused = named(unknown, F.concat(F.lit("`"), "key", F.lit("` of `"), "name", F.lit("`")))
     if refused:
-        told = ", ".join(f"`{r.key}` of `{r.name}`" for r in refused)
-        raise ValueError(f"{path}: unknown thresholds: {told}")
-    bad = entries.filter(F.col("_m").isNull()).select("name").limit(20).collect()
+        raise ValueError(f"{path}: unknown thresholds: {refused}")
+    bad = named(entries.filter(F.col("_m").isNull()), F.col("name"))
     if bad:
-        raise ValueError(f"{path}: not limit entries: {', '.join(r.name for r in bad)}")
+        raise ValueError(f"{path}: not limit entries: {bad}")
     return entries.select(
         F.col("name").alias("parameter"), *[F.try_element_at("_m", F.lit(b)).alias(b) for b in BOUNDS]
     )
