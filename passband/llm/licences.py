@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,21 +19,30 @@ from pyspark.sql import functions as F
 
 from passband.llm.common import slices, small, stored
 
-#: Short notices; a template is a parameter, and these are the ones of the registered query.
+#: Per licence its notices and the opening of its text; templates are a parameter, and these are
+#: the ones of the registered query.
 TEMPLATES = {
-    "MIT": "Released under the MIT License. Permission is hereby granted free of charge to any person",
-    "GPL": "This work is licensed under the GNU General Public License, version 3",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD": "Redistribution and use in source and binary forms with or without modification are permitted",
-    "CC-BY": "Licensed under CC BY 4.0 Creative Commons Attribution",
-    "CC-BY-NC": "Licensed under CC BY-NC 4.0 Creative Commons Attribution NonCommercial",
-    "CC-BY-SA": "Licensed under CC BY-SA 4.0 Creative Commons Attribution ShareAlike",
-    "proprietary": "All rights reserved. Confidential and proprietary",
+    "MIT": (
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    ),
+    "GPL": (
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    ),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0",),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted",),
+    "CC-BY": ("Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International"),
+    "CC-BY-NC": ("Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    "proprietary": ("All rights reserved", "Confidential and proprietary"),
 }
 TERM = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-#: Lines of a header, and the cosine from which a line or a whole file matches.
+#: Lines of a header, and as many at a text's end, where some put the notice; and the cosine from
+#: which a line or a whole file matches.
 HEADER_LINES = 5
 LINE_COSINE, FILE_COSINE = 0.6, 0.5
+Templates = Mapping[str, Sequence[str]]
 
 
 def terms(text: str) -> Counter:
@@ -42,16 +51,16 @@ def terms(text: str) -> Counter:
     return Counter([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
 
 
-def template_vectors(templates: Mapping[str, str]) -> dict[str, dict[str, float]]:
-    """term -> {template: weight}: normalised TF-IDF over the given templates."""
-    bags = {name: terms(text) for name, text in templates.items()}
+def template_vectors(templates: Templates) -> dict[str, dict[tuple[str, int], float]]:
+    """term -> {(name, number): weight}: normalised TF-IDF over the given templates."""
+    bags = {(name, k): terms(t) for name, texts in templates.items() for k, t in enumerate(texts)}
     spread = Counter(t for bag in bags.values() for t in bag)
-    out: dict[str, dict[str, float]] = {}
-    for name, bag in bags.items():
+    out: dict[str, dict[tuple[str, int], float]] = {}
+    for template, bag in bags.items():
         weights = {t: n * idf(len(bags), spread[t]) for t, n in bag.items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
         for t, w in weights.items():
-            out.setdefault(t, {})[name] = w / norm
+            out.setdefault(t, {})[template] = w / norm
     return out
 
 
@@ -59,8 +68,8 @@ def idf(n: int, df: int) -> float:
     return math.log((1 + n) / (1 + df)) + 1
 
 
-def best_match(text: str, vectors: Mapping[str, Mapping[str, float]], n: int) -> tuple[str | None, float]:
-    """The template of greatest cosine; the name decides ties.
+def best_match(text: str, vectors: Mapping[str, Mapping], n: int) -> tuple[str | None, float]:
+    """The licence of the template of greatest cosine among ``n``; the name decides ties.
 
     A sparse product: only terms of templates are visited beyond the text's own norm, in which
     terms that no template has weigh as much as one that is in no template.
@@ -70,26 +79,34 @@ def best_match(text: str, vectors: Mapping[str, Mapping[str, float]], n: int) ->
         held = vectors.get(t)
         w = k * (idf(n, len(held)) if held else rare)
         norm += w * w
-        for name, v in (held or {}).items():
-            dots[name] += w * v
+        for template, v in (held or {}).items():
+            dots[template] += w * v
     if not dots:
         return None, 0.0
-    name = min(dots, key=lambda x: (-dots[x], x))
-    return name, dots[name] / math.sqrt(norm)
+    best = min(dots, key=lambda x: (-dots[x], x))
+    return best[0], dots[best] / math.sqrt(norm)
 
 
-def scanned(files: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+def notice_lines(text: str) -> list[str]:
+    """The first and the last lines of a text, each once; a text of few lines is taken whole."""
+    head = text.split("\n", HEADER_LINES)
+    if len(head) <= HEADER_LINES:
+        return head
+    return head[:HEADER_LINES] + head[HEADER_LINES].rsplit("\n", HEADER_LINES)[-HEADER_LINES:]
+
+
+def scanned(files: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """``path``, own licence and its cosine, and whether the file is a licence file, of every file.
 
-    The header's lines are scored one by one, so that a notice above prose is not diluted by it; the
+    Lines at the head and the end are scored one by one, so that prose does not dilute a notice; the
     whole text decides on licence files.  Null and empty texts match nothing.
     """
-    vectors, n = template_vectors(templates), len(templates)
+    vectors, n = template_vectors(templates), sum(map(len, templates.values()))
     hints = {t for t in vectors if " " in t}
 
     def judge(text: str) -> tuple[str | None, float, bool]:
         best: tuple[str | None, float] = (None, 0.0)
-        for line in text.split("\n", HEADER_LINES)[:HEADER_LINES]:
+        for line in notice_lines(text):
             # a matching line shares a pair of words with some template
             words = TERM.findall(line.lower())
             if any(f"{a} {b}" in hints for a, b in zip(words, words[1:])):
@@ -163,6 +180,6 @@ def inherited(found: DataFrame) -> DataFrame:
     )
 
 
-def licences(files: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+def licences(files: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """Licences of ``files`` (doc_id, path, text).  A null path inherits nothing."""
     return inherited(scanned(files, templates))

@@ -55,7 +55,9 @@ def resolved(records: DataFrame, width: int = WIDTH) -> DataFrame:
     joined by it.
     """
     rows = records.filter(F.col("record_id").isNotNull() & F.col("kind").isin("response", "revisit"))
-    rows = rows.withColumn("url", canonical(F.col("url")))
+    rows = rows.select(
+        "record_id", "kind", canonical(F.col("url")).alias("url"), "etag", "last_modified", "headers", "digest"
+    )
     order = rows.select("record_id", "url", "kind").withColumn(
         "_number", F.when(F.col("kind") == "response", F.col("record_id"))
     )

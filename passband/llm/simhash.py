@@ -99,7 +99,7 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bucket_links(written: np.ndarray, looked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join all fingerprints of one key within ``RADIUS`` bits, one per fingerprint at most.
+    """Edges with the components of one key's links within ``RADIUS`` bits, one per fingerprint at most.
 
     All pairs are compared in blocks of bounded size, but only a spanning set is returned: each
     looked-up one with one of its partners, and each written one with the root of its group.
@@ -182,7 +182,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """u, v: links among distinct fingerprints (``fp``) that connect all within ``RADIUS`` bits."""
+    """u, v: edges over distinct fingerprints (``fp``) with the components of all links within ``RADIUS``.
+
+    An edge joins two that are linked, or two that are linked to the same ones under a common key.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
