@@ -18,6 +18,7 @@ REFUSALS = {
     "ambiguous": "ambiguous packet type",
     "enumeration": "value outside its enumeration",
     "calibration": "calibration refused its input",
+    "text": "invalid text",
 }
 
 #: Octets shown of a binary value in a table cell, and in an export.

@@ -343,6 +343,9 @@ class Decommutator:
                     out = F.when(F.get("_labels", F.lit(i)).isNull(), REFUSALS["enumeration"]).otherwise(out)
                 elif _is_calibrated(f):
                     out = F.when(F.get("_eng", F.lit(i)).isNull(), REFUSALS["calibration"]).otherwise(out)
+                elif f.kind.kind == "string":
+                    valid = F.is_valid_utf8(self._octets(f).cast("string"))
+                    out = F.when(~valid, REFUSALS["text"]).otherwise(out)
             return out
 
         stage = staged(
@@ -401,7 +404,7 @@ class Decommutator:
         if f.kind.kind == "boolean":
             return value_struct("Bool", b=value(f) != 0)
         if f.kind.kind == "string":
-            return value_struct("Text", s=F.decode(self._octets(f), "UTF-8"))
+            return value_struct("Text", s=F.try_validate_utf8(self._octets(f).cast("string")))
         if _is_calibrated(f):
             return value_struct("Float", f=F.get("_eng", F.lit(i)))
         return raw

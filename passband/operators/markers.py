@@ -379,14 +379,14 @@ def align(frame: Column, bit: Column) -> Column:
 
     @pandas_udf("binary")
     def shift(octets: pd.Series, bits: pd.Series) -> pd.Series:
-        def one(b: bytes, n: int) -> bytes:
-            if n == 0:
-                return b
-            size = len(b) - 1
-            value = (int.from_bytes(b, "big") << n) >> 8
-            return (value & ((1 << (8 * size)) - 1)).to_bytes(size, "big")
-
-        return pd.Series([one(bytes(b), int(n)) for b, n in zip(octets, bits)])
+        held = [np.frombuffer(b, np.uint8).astype(np.uint16) for b in octets]
+        # two neighbouring octets hold every shifted one
+        return pd.Series(
+            [
+                b.astype(np.uint8).tobytes() if n == 0 else ((b[:-1] << n | b[1:] >> (8 - n)) & 255).astype(np.uint8).tobytes()
+                for b, n in zip(held, bits.tolist())
+            ]
+        )
 
     return shift(frame, bit)
 

@@ -252,11 +252,16 @@ def marker_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _found(spark, folder).select("capture_id", "pos")
 
 
-@plan("bit_slip_scan", "F5 F1")
+@plan(
+    "bit_slip_scan",
+    "F5 F1",
+    oracle("SELECT capture_id, pos, CAST(capture_id % 8 AS INTEGER) AS bit FROM found", found=MARKER_SQL),
+)
 def bit_slip_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Markers at all eight bit offsets of every capture, counted per offset."""
-    found = markers.scan(views.captures(spark, folder), TEXT_MARKER, bit_slip=True)
-    return found.groupBy("bit").agg(F.count(F.lit(1)).alias("markers"))
+    """Captures slipped by none to seven bits: their markers, found again at just that offset."""
+    found = markers.scan(views.slipped_captures(spark, folder), TEXT_MARKER, bit_slip=True)
+    # Texts may hold the marker's bits by chance at another offset; those are not the slipped ones.
+    return found.filter(F.col("bit") == F.pmod("capture_id", F.lit(8))).select("capture_id", "pos", "bit")
 
 
 @plan(
