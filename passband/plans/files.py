@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from passband import schemas
 from passband.operators import limits, store, watch
 from passband.operators.chunks import recut
 from passband.operators.decommutate import explode_samples
-from passband.plans.decoding import PACKET_SQL, decoded, tables
+from passband.plans.decoding import DECOMMUTATED, PACKET_SQL, decoded, tables
 from passband.plans.registry import plan
 from passband.plans.values import LATEST_SQL, STATES_SQL, TABLE_SQL, layout
 from passband.session import pin, shared_folder
@@ -112,28 +113,35 @@ def definition_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _written(spark: SparkSession, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows through a CSV file and back, as text."""
+    place = _place(spark)
+    exports.write_csv(rows, place)
+    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).options(**exports.CSV).csv(place)
+
+
+STAMP = "concat(strftime({0}, '%Y-%m-%dT%H:%M:%S.'), substr(strftime({0}, '%f'), 1, 3), 'Z')"
+
+
 @plan(
     "sample_export",
     "S7 S10 X7 X9",
     oracle(
-        """SELECT concat(strftime(received, '%Y-%m-%dT%H:%M:%S.'), substr(strftime(received, '%f'), 1, 3), 'Z') AS received,
-                  CAST(apid AS VARCHAR) AS apid, CAST(seq_count AS VARCHAR) AS sequence, '/Mission/MODE' AS parameter,
-                  CAST(mode AS VARCHAR) AS raw,
-                  CASE mode WHEN 0 THEN 'VIEW' WHEN 1 THEN 'CLICK' WHEN 2 THEN 'SIGNUP' WHEN 3 THEN 'PURCHASE' ELSE 'ERROR' END AS eng
-           FROM packet WHERE container = 'Low'""",
+        f"""SELECT {STAMP.format("p.received")} AS time, {STAMP.format("p.received")} AS received, CAST(p.apid AS VARCHAR) AS apid,
+                   CAST(p.seq_count AS VARCHAR) AS sequence, d.parameter, CAST(d.raw AS VARCHAR) AS raw, d.eng, d.label
+            FROM samples d JOIN packet p ON p.pkt_no = d.pkt_no""",
         packet=PACKET_SQL,
+        samples=DECOMMUTATED,
     ),
 )
 def sample_export(spark: SparkSession, folder: str) -> DataFrame:
-    """The long CSV, written and read back; the rows of one parameter."""
+    """The long CSV, written and read back; numbers and labels of the last column apart."""
     rows = explode_samples(
         decoded(spark, folder).withColumnRenamed("seq_count", "sequence"), ["received_ns", "apid", "sequence"]
     )
-    place = _place(spark)
-    exports.write_csv(exports.sample_rows(rows), place)
-    schema = ", ".join(f"{c} string" for c in schemas.SAMPLE_EXPORT)
-    back = spark.read.schema(schema).options(**exports.CSV).csv(place)
-    return back.filter(F.col("parameter") == "/Mission/MODE").drop("time")
+    back = _written(spark, exports.sample_rows(rows), schemas.SAMPLE_EXPORT)
+    number = F.col("eng").try_cast("double")
+    return back.withColumns({"eng": number, "label": F.when(number.isNull(), F.col("eng"))})
 
 
 @plan(
@@ -154,32 +162,42 @@ def csv_quoting(spark: SparkSession, folder: str) -> DataFrame:
     "snapshot",
     "S8 A4 A5 J1 J5",
     oracle(
-        """SELECT t.parameter, concat(strftime(t.received, '%Y-%m-%dT%H:%M:%S.'), substr(strftime(t.received, '%f'), 1, 3), 'Z') AS time,
-                  array_to_string(d.units, ' ') AS unit, t.updates,
-                  CASE t.state WHEN 0 THEN '—' WHEN 1 THEN 'ok' WHEN 2 THEN 'WARN' ELSE 'ALARM' END AS "limit"
-           FROM states t JOIN tlm_definition d ON d.parameter = t.parameter""",
+        f"""SELECT t.parameter, {STAMP.format("t.received")} AS time, t.raw, t.eng, array_to_string(d.units, ' ') AS unit,
+                   CAST(t.updates AS BIGINT) AS updates,
+                   CASE t.state WHEN 0 THEN '—' WHEN 1 THEN 'ok' WHEN 2 THEN 'WARN' ELSE 'ALARM' END AS "limit"
+            FROM states t JOIN tlm_definition d ON d.parameter = t.parameter""",
         latest=LATEST_SQL,
         states=TABLE_SQL,
     ),
 )
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshot CSV, written and read back, with its numbers as numbers."""
     latest = limits.with_state(store.latest(views.samples(spark, folder)), views.limits(spark, folder))
-    return exports.snapshot_rows(latest, views.definition(spark, folder)).drop("raw", "eng")
+    back = _written(
+        spark, exports.snapshot_rows(latest, views.definition(spark, folder)), schemas.SNAPSHOT_EXPORT
+    )
+    return back.withColumns(
+        {
+            "raw": F.col("raw").cast("double"),
+            "eng": F.col("eng").cast("double"),
+            "unit": F.coalesce("unit", F.lit("")),
+            "updates": F.col("updates").cast("bigint"),
+        }
+    )
 
 
 @plan(
     "history",
     "S9 W5",
     oracle(
-        """SELECT parameter, count(*) AS points, min(stamp) AS first, max(stamp) AS last FROM (
-               SELECT parameter, concat(strftime(received, '%Y-%m-%dT%H:%M:%S.'), substr(strftime(received, '%f'), 1, 3), 'Z') AS stamp,
-                      row_number() OVER (PARTITION BY parameter ORDER BY pkt_no DESC) AS age
+        f"""SELECT parameter, {STAMP.format("received")} AS time, eng AS value FROM (
+               SELECT parameter, received, eng, row_number() OVER (PARTITION BY parameter ORDER BY pkt_no DESC) AS age
                FROM tlm_sample WHERE parameter IN (SELECT parameter FROM tlm_watched)) h
-           WHERE age <= 4096 GROUP BY parameter"""
+           WHERE age <= 4096"""
     ),
 )
 def history(spark: SparkSession, folder: str) -> DataFrame:
-    """The history CSV, written and read back, per parameter."""
+    """The history CSV, written and read back: every retained point."""
     declared, names, groups = layout(spark, folder)
     points = store.bounded_history(views.samples(spark, folder), watch.resolved(names, groups, declared))
     series = points.select(
@@ -188,13 +206,8 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
         (views.micros("received") / F.lit(1e6)).alias("t"),
         F.col("eng").alias("v"),
     )
-    place = _place(spark)
-    exports.write_csv(exports.history_rows(series), place)
-    schema = ", ".join(f"{c} string" for c in schemas.HISTORY_EXPORT)
-    back = spark.read.schema(schema).options(**exports.CSV).csv(place)
-    return back.groupBy("parameter").agg(
-        F.count(F.lit(1)).alias("points"), F.min("time").alias("first"), F.max("time").alias("last")
-    )
+    back = _written(spark, exports.history_rows(series), schemas.HISTORY_EXPORT)
+    return back.withColumn("value", F.col("value").cast("double"))
 
 
 @plan(
