@@ -31,7 +31,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.option("compression", "zstd").parquet(place)
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(place)

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from passband.llm.common import slices, small, stored, text_key
 
-#: Documents and bytes of a block.  A posting is two octets: ten bits of document, six of count.
+#: Documents and bytes of a block, and the greatest count of one posting.
 ROWS, OCTETS = 1024, 4 << 20
 ROW_BITS = 10
-MOST = (1 << (16 - ROW_BITS)) - 1
+MOST = 255
 #: Symbols beyond Unicode that stand before and after a text.
 BEGIN, END = 0x110000, 0x110001
 #: Octets of document sums a task holds before it passes them on.
@@ -66,6 +66,40 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return first << 42 | second << 21 | third, cells & ((1 << ROW_BITS) - 1), n, sizes
 
 
+def _planes(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First octet of every posting, and how far its next ones lie, for rows of ``sizes`` postings."""
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(starts, sizes) + inside, np.repeat(sizes, sizes)
+
+
+def _packed(row: np.ndarray, n: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Postings per trigram: all counts, then low, then high octets of steps between documents.
+
+    Most counts are one, most steps are short and high octets are zero, so the planes compress well.
+    """
+    step = np.diff(row, prepend=0)
+    step[starts] = row[starts]
+    sizes = np.diff(np.append(starts, len(row)))
+    at, wide = _planes(3 * starts, sizes)
+    out = np.empty(3 * len(row), np.uint8)
+    out[at], out[at + wide], out[at + 2 * wide] = n, step & 255, step >> 8
+    ends = (3 * np.append(starts, len(row))).astype("i4")
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row of the batch, document and count of all postings."""
+    column = batch["postings"]
+    ends = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends) // 3
+    at, wide = _planes(starts, sizes)
+    total = np.cumsum(flat[at + wide].astype(np.int64) | flat[at + 2 * wide].astype(np.int64) << 8)
+    before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+    row = np.repeat(np.arange(len(column)), sizes)
+    return row, total - before[row], flat[at].astype(np.int64)
+
+
 def indexed(docs: DataFrame) -> DataFrame:
     """The inverted index of :data:`INDEX`: postings per (trigram, block), and one head row per block.
 
@@ -77,17 +111,12 @@ def indexed(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", ROWS, OCTETS):
             texts = [t or "" for t in batch["text"].to_pylist()]
             gram, row, n, sizes = trigrams(texts)
-            # a count beyond six bits takes several postings
+            # a count beyond one octet takes several postings
             times = -(-n // MOST)
             gram, row, n = np.repeat(gram, times), np.repeat(row, times), np.repeat(n, times)
             place = np.arange(len(n)) - np.repeat(np.cumsum(times) - times, times)
-            part = np.minimum(n - place * MOST, MOST)
-            posting = (row << (16 - ROW_BITS) | part).astype("<u2")
             starts = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1])
-            ends = np.append(starts, len(gram)).astype("i4") * 2
-            binary = pa.Array.from_buffers(
-                pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(posting.tobytes())]
-            )
+            binary = _packed(row, np.minimum(n - place * MOST, MOST), starts)
             block = batch["_row"][0].as_py()
             head = {
                 "gram": pa.array([None], pa.int64()),
@@ -144,15 +173,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row of the batch, document and count of all postings."""
-    column = batch["postings"]
-    ends = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1]
-    flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2")
-    row = np.repeat(np.arange(len(column)), np.diff(ends) // 2)
-    return row, (flat >> (16 - ROW_BITS)).astype(np.int64), (flat & MOST).astype(np.int64)
-
-
 def trusted_counts(index: DataFrame, documents: DataFrame, trusted: DataFrame) -> DataFrame:
     """gram, n: counts over the trusted documents."""
     places = documents.join(trusted, "doc_id", "left_semi").groupBy("block").agg(
