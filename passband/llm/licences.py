@@ -87,6 +87,11 @@ def best_match(text: str, vectors: Mapping[str, Mapping], n: int) -> tuple[str |
     return best[0], dots[best] / math.sqrt(norm)
 
 
+def telling_pairs(vectors: Mapping[str, Mapping]) -> set[str]:
+    """Pairs of words of templates that prose does not have by chance: one word has six letters or more."""
+    return {t for t in vectors if " " in t and max(map(len, t.split(" "))) >= 6}
+
+
 def notice_lines(text: str) -> list[str]:
     """The first and the last lines of a text, each once; a text of few lines is taken whole."""
     head = text.split("\n", HEADER_LINES)
@@ -102,12 +107,12 @@ def scanned(files: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     whole text decides on licence files.  Null and empty texts match nothing.
     """
     vectors, n = template_vectors(templates), sum(map(len, templates.values()))
-    hints = {t for t in vectors if " " in t}
+    hints = telling_pairs(vectors)
 
     def judge(text: str) -> tuple[str | None, float, bool]:
         best: tuple[str | None, float] = (None, 0.0)
         for line in notice_lines(text):
-            # a matching line shares a pair of words with some template
+            # a matching line shares a telling pair of words with some template
             words = TERM.findall(line.lower())
             if any(f"{a} {b}" in hints for a, b in zip(words, words[1:])):
                 found = best_match(line, vectors, n)

@@ -94,7 +94,7 @@ def licences_of(docs):
     for d in docs:
         lines = d.text.split("\n")
         lines = [x for k, x in enumerate(lines) if k < 5 or k >= len(lines) - 5]
-        pairs = {t for bag in BAGS.values() for t in bag if " " in t}
+        pairs = {t for bag in BAGS.values() for t in bag if " " in t and any(len(w) > 5 for w in t.split())}
         best = (0.0, "")
         for line in lines:
             if pairs & set(licences.terms(line)):
