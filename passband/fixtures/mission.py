@@ -1,4 +1,4 @@
-"""The definition of the packets :mod:`passband.sources.views` builds, as mission XML."""
+"""The definition of the packets :mod:`passband.fixtures.views` builds, as mission XML."""
 
 from __future__ import annotations
 

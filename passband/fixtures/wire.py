@@ -10,18 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.fixtures import views
 from passband.functions.bits import floor_div, to_octets
 from passband.functions.checksum import crc16
+from passband.operators import coding
 from passband.operators.chunks import recut
 from passband.operators.ordered import DEFAULT_WIDTH, carry
 from passband.session import pin
-from passband.sources import views
 
 PACKET = 11
 DATA = 50
 SPACECRAFT = 42
 MARKER = "1ACFFC1D"
 CAPTURE_KEYS = ("capture_id", "epoch")
+#: Octets of a frame (header, data, checksum), and of a frame with its marker.
+FRAME = 6 + DATA + 2
+UNIT = 4 + FRAME
 
 
 def packet_streams(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -80,3 +84,32 @@ def frames(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> Data
             "frame",
         )
     )
+
+
+def recording(spark: SparkSession, folder: str, *, randomised: bool = False) -> DataFrame:
+    """Frames with markers as one stream per capture, in chunks of 256 octets.
+
+    Two markers in forty are wiped out (the flywheel bridges them), and 17 octets of noise are
+    slipped in before every fortieth frame (lock is lost and found again).
+    """
+    recorded = frames(spark, folder)
+    ranked = carry(recorded, CAPTURE_KEYS, "frame_no", sums={"_k": F.lit(1)})
+    rank = F.col("_k") - 1
+    marker = F.when((rank % 40).isin(10, 25), F.unhex(F.lit("00000000"))).otherwise(F.unhex(F.lit(MARKER)))
+    noise = F.when((rank % 40 == 39), F.unhex(F.lit("55" * 17))).otherwise(F.unhex(F.lit("")))
+    frame = coding.derandomise("frame") if randomised else F.col("frame")
+    units = ranked.select(
+        *CAPTURE_KEYS,
+        (rank * UNIT + F.floor(rank / 40) * 17).alias("offset"),
+        F.concat(noise, marker, frame).alias("octets"),
+    )
+    cut = recut(units, CAPTURE_KEYS, 256)
+    return pin(
+        cut.select(
+            *CAPTURE_KEYS,
+            F.col("cell").alias("chunk_no"),
+            F.col("start").alias("offset"),
+            F.timestamp_seconds(F.col("cell")).alias("received"),
+            F.col("octets").alias("bytes"),
+        )
+    )

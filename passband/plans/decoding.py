@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.fixtures import mission, views
+from passband.fixtures.views import micros, oracle
 from passband.functions import timecode
 from passband.functions.bits import big_endian, floor_div, to_octets
 from passband.functions.predicates import is_plottable, number_of
 from passband.operators import decommutate, packets
 from passband.operators.decommutate import Clock, Decommutator
 from passband.plans.registry import plan
-from passband.sources import definition, mission, views
-from passband.sources.views import micros, oracle
+from passband.sources import definition
 
 
 def tables(spark: SparkSession) -> definition.DefinitionTables:

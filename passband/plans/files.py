@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passband import schemas
+from passband.fixtures import mission, views
+from passband.fixtures.views import oracle
 from passband.operators import limits, store, watch
 from passband.operators.chunks import recut
 from passband.operators.decommutate import explode_samples
@@ -17,8 +19,7 @@ from passband.plans.decoding import DECOMMUTATED, PACKET_SQL, decoded, tables
 from passband.plans.registry import plan
 from passband.plans.values import LATEST_SQL, STATES_SQL, TABLE_SQL, layout
 from passband.session import pin, shared_folder
-from passband.sources import definition, documents, exports, mission, recording, views
-from passband.sources.views import oracle
+from passband.sources import definition, documents, exports, recording
 
 
 def _place(spark: SparkSession) -> str:

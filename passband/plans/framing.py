@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.fixtures import views, wire
+from passband.fixtures.views import oracle
 from passband.functions.bits import to_octets
 from passband.functions.checksum import crc16, crc32c
 from passband.operators import chunks, coding, csp, frames, markers, packets, pus, stream_split
 from passband.operators.frames import FrameLayout
-from passband.operators.ordered import carry
 from passband.plans.registry import plan
 from passband.session import pin
-from passband.sources import views, wire
-from passband.sources.views import oracle
 
 LAYOUT = FrameLayout(has_fecf=True)
-FRAME = 6 + wire.DATA + 2
-UNIT = 4 + FRAME
+FRAME, UNIT = wire.FRAME, wire.UNIT
 TEXT_MARKER = b"<p"
 
 # The wire image as SQL: packets of a channel end to end, idle fill, frames of 50 octets.
@@ -139,35 +137,6 @@ def frame_losses(spark: SparkSession, folder: str) -> DataFrame:
 # --------------------------------------------------------------------------------- byte streams
 
 
-def recording(spark: SparkSession, folder: str, *, randomised: bool = False) -> DataFrame:
-    """Frames with markers as one stream per capture, in chunks of 256 octets.
-
-    Two markers in forty are wiped out (the flywheel bridges them), and 17 octets of noise are
-    slipped in before every fortieth frame (lock is lost and found again).
-    """
-    recorded = wire.frames(spark, folder)
-    ranked = carry(recorded, wire.CAPTURE_KEYS, "frame_no", sums={"_k": F.lit(1)})
-    rank = F.col("_k") - 1
-    marker = F.when((rank % 40).isin(10, 25), F.unhex(F.lit("00000000"))).otherwise(F.unhex(F.lit(wire.MARKER)))
-    noise = F.when((rank % 40 == 39), F.unhex(F.lit("55" * 17))).otherwise(F.unhex(F.lit("")))
-    frame = coding.derandomise("frame") if randomised else F.col("frame")
-    units = ranked.select(
-        *wire.CAPTURE_KEYS,
-        (rank * UNIT + F.floor(rank / 40) * 17).alias("offset"),
-        F.concat(noise, marker, frame).alias("octets"),
-    )
-    cut = chunks.recut(units, wire.CAPTURE_KEYS, 256)
-    return pin(
-        cut.select(
-            *wire.CAPTURE_KEYS,
-            F.col("cell").alias("chunk_no"),
-            F.col("start").alias("offset"),
-            F.timestamp_seconds(F.col("cell")).alias("received"),
-            F.col("octets").alias("bytes"),
-        )
-    )
-
-
 def sliced_frames(recorded: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = recorded.groupBy(*wire.CAPTURE_KEYS).agg(
         F.max(F.col("offset") + F.length("bytes")).alias("total")
@@ -197,7 +166,7 @@ STREAM_SQL = {
 )
 def frame_cut(spark: SparkSession, folder: str) -> DataFrame:
     """Frames cut by lock and flywheel, those whose checksum holds."""
-    _, cut = sliced_frames(recording(spark, folder))
+    _, cut = sliced_frames(wire.recording(spark, folder))
     good = frames.parse(cut, LAYOUT).filter(F.col("status") == "ok")
     return good.select(F.col("capture_id").cast("bigint").alias("capture_id"), F.col("frame_no").alias("start"), "found")
 
@@ -212,7 +181,7 @@ def frame_cut(spark: SparkSession, folder: str) -> DataFrame:
 )
 def frames_to_packets(spark: SparkSession, folder: str) -> DataFrame:
     """Sync, derandomise, check: frames that come through per capture of a randomised stream."""
-    _, cut = sliced_frames(recording(spark, folder, randomised=True))
+    _, cut = sliced_frames(wire.recording(spark, folder, randomised=True))
     clear = cut.withColumn("frame", coding.derandomise("frame"))
     parsed = frames.parse(clear, LAYOUT)
     return parsed.filter(F.col("status") == "ok").groupBy(F.col("capture_id").cast("bigint").alias("capture_id")).agg(
@@ -223,7 +192,7 @@ def frames_to_packets(spark: SparkSession, folder: str) -> DataFrame:
 @plan("recovered_packets", "F23")
 def recovered_packets(spark: SparkSession, folder: str) -> DataFrame:
     """The whole chain, down to packets per APID."""
-    _, cut = sliced_frames(recording(spark, folder, randomised=True))
+    _, cut = sliced_frames(wire.recording(spark, folder, randomised=True))
     clear = cut.withColumns(
         {"frame": coding.derandomise("frame"), "received": F.timestamp_seconds(F.col("frame_no"))}
     )

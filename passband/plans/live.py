@@ -8,16 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.fixtures import views, wire
+from passband.fixtures.views import oracle
 from passband.functions.bits import floor_div
 from passband.operators import frames as tm
-from passband.plans.framing import FRAME, LAYOUT, STREAM_SQL, recording, wire_oracle
+from passband.plans.framing import FRAME, LAYOUT, STREAM_SQL, wire_oracle
 from passband.plans.quality import _dropout_sql
 from passband.plans.registry import plan
 from passband.plans.values import LATEST_SQL
 from passband.session import shared_folder
 from passband.sources import recording as files
-from passband.sources import views, wire
-from passband.sources.views import oracle
 from passband.streaming import assembly, gaps, status, sync
 
 
@@ -148,7 +148,7 @@ def stream_losses(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks replayed from the store and cut into frames as they come, checksums holding."""
-    chunks = recording(spark, folder).withColumn("capture_id", F.col("capture_id").cast("bigint"))
+    chunks = wire.recording(spark, folder).withColumn("capture_id", F.col("capture_id").cast("bigint"))
     place = stage(chunks, "chunk_no")
     rows = files.replay(spark, f"{place}/in", files_per_trigger=FILES)
     cut = drain(sync.synchronise(rows, FRAME), place)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.fixtures import views
+from passband.fixtures.views import oracle
 from passband.operators import series, store, watch
 from passband.plans.registry import plan
 from passband.plans.values import layout
-from passband.sources import views
-from passband.sources.views import oracle
 
 LOW, HIGH = 1_704_500_000.0, 1_705_900_000.0
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.fixtures import views
+from passband.fixtures.views import micros, oracle
 from passband.functions.bits import floor_div
 from passband.operators import channels, gaps, link
 from passband.plans.registry import plan
-from passband.sources import views
-from passband.sources.views import micros, oracle
 
 MISSED_SQL = """
     SELECT *, CASE WHEN prev IS NULL OR prev = seq_count THEN 0

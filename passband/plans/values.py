@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passband.fixtures import views
+from passband.fixtures.views import micros, oracle
 from passband.functions import predicates, text
 from passband.operators import events as log
 from passband.operators import gaps, limits, store, watch
 from passband.plans.quality import MISSED_SQL
 from passband.plans.registry import plan
 from passband.session import pin
-from passband.sources import views
-from passband.sources.views import micros, oracle
 
 
 def layout(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

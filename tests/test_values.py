@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from passband.operators import decommutate, series, store
 from passband.session import shared_folder
-from passband.sources import definition, documents, exports, mission
+from passband.fixtures import mission
+from passband.sources import definition, documents, exports
 from passband.streaming import status
 
 def line(*terms):
