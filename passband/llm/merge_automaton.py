@@ -28,11 +28,11 @@ import regex
 #: Pre-split pattern of the byte-level vocabularies (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept per worker with their token ids; later words are encoded each time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: Arcs kept per worker in the transition table.
-CACHED_ARCS = 500_000
+CACHED_ARCS = 300_000
 #: Word endings of up to SHORT bytes kept per worker with the tokens that begin them.
-SHORT, CACHED_ENDS = 7, 200_000
+SHORT, CACHED_ENDS = 7, 100_000
 #: Up to this character the pre-split classes are written out, which the faster engine takes.
 NEAR = 0x24F
 
@@ -63,13 +63,12 @@ class MergeAutomaton:
 
     def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.labels = {i: t for t, i in tokens.items()}
-        self.ids = dict(tokens)
         # state numbers are ids; of each: when it was made, and from which pair
         self.made = dict.fromkeys((tokens[bytes([b])] for b in range(256) if bytes([b]) in tokens), -1)
         self.pair: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.state: dict[bytes, int] = {self.labels[i]: i for i in self.made}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # by both ids in one number
         for k, (left, right) in enumerate(merges):
             u, v, w = tokens[left], tokens[right], tokens[left + right]
             if w in self.made:
@@ -107,11 +106,11 @@ class MergeAutomaton:
                 return True
 
     def arc(self, x: int, y: int) -> bool:
-        found = self.arcs.get((x, y))
+        found = self.arcs.get(x << 32 | y)
         if found is None:
             found = self._has(x, y, float("inf"))
             if len(self.arcs) < CACHED_ARCS:
-                self.arcs[x, y] = found
+                self.arcs[x << 32 | y] = found
         return found
 
     def _ahead(self, word: bytes, start: int) -> list[tuple[int, int]]:
