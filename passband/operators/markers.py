@@ -58,6 +58,26 @@ def find_marker(octets: bytes, marker: bytes, bits: Sequence[int]) -> list[int]:
     return sorted(found)
 
 
+def first_marker(octets: bytes, start: int, marker: bytes, bits: Sequence[int]) -> int | None:
+    """Bit position of the first occurrence from octet ``start`` on; no further octets are searched."""
+    best: int | None = None
+    for bit in bits:
+        value, mask = shifted(marker, bit)
+        low, high = (0, len(value)) if bit == 0 else (1, len(value) - 1)
+        core = value[low:high]
+        stop = len(octets) if best is None else best // 8 + len(value)
+        at = octets.find(core, start + low, stop)
+        while at >= 0:
+            begin = at - low
+            window = octets[begin : begin + len(value)]
+            if len(window) == len(value) and all(w & m == v for w, m, v in zip(window, mask, value)):
+                place = 8 * begin + bit
+                best = place if best is None else min(best, place)
+                break
+            at = octets.find(core, at + 1, stop)
+    return best
+
+
 #: Offsets per cell in which the edges of chunks are brought together.
 SEAM_CELL = 4096
 

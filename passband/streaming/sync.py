@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from passband.operators.markers import FLYWHEEL, MARKER, find_marker, shifted
+from passband.operators.markers import FLYWHEEL, MARKER, first_marker, shifted
 
 OUTPUT = "start bigint, bit int, found boolean, received timestamp, frame binary"
 
@@ -44,12 +44,12 @@ class Synchroniser(StatefulProcessor):
             at = 0
             while True:
                 if not locked:
-                    found = find_marker(buffer[at:], self.marker, self.bits)
-                    if not found:
+                    found = first_marker(buffer, at, self.marker, self.bits)
+                    if found is None:
                         keep = len(self.marker) - (0 if len(self.bits) > 1 else 1)
                         at = max(at, len(buffer) - keep)
                         break
-                    at, bit, locked, misses = at + found[0] // 8, found[0] % 8, True, 0
+                    at, bit, locked, misses = found // 8, found % 8, True, 0
                 size = stride + (1 if bit else 0)
                 if len(buffer) - at < size:
                     break

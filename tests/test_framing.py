@@ -86,6 +86,16 @@ def test_frame_cut(spark, slip):
             assert sorted(got[c]) == sorted(lock_walk(data, slip)), (c, size)
 
 
+def test_first_marker():
+    rng = random.Random(12)
+    for _ in range(300):
+        bits = range(8) if rng.random() < 0.7 else range(1)
+        data = bytes(rng.choice(b"\x3c\x70\x78\xe0\x1e\x38") for _ in range(rng.randint(0, 40)))
+        start = rng.randint(0, 10)
+        want = [p for p in markers.find_marker(data, b"<p", bits) if p // 8 >= start]
+        assert markers.first_marker(data, start, b"<p", bits) == (want[0] if want else None)
+
+
 def test_marker_scan_is_chunk_size_invariant(spark):
     rng = random.Random(8)
     data = b"".join(rng.randbytes(rng.randint(0, 30)) + MARKER for _ in range(40))
