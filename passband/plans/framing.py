@@ -351,7 +351,7 @@ def codeblock_screen(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------------------------- messages
 
 
-def _messages(spark: SparkSession, folder: str) -> DataFrame:
+def messages_of(spark: SparkSession, folder: str) -> DataFrame:
     """Four packets per message by number; some messages are cut, some have a bad length."""
     packed = views.packet_bytes(spark, folder).select(
         F.call_function("div", F.col("pkt_no"), F.lit(4)).alias("msg_id"), "pkt_no", F.col("bytes").alias("octets")
@@ -376,7 +376,7 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def message_packets(spark: SparkSession, folder: str) -> DataFrame:
-    split = packets.walked(_messages(spark, folder), max_length=4096)
+    split = packets.walked(messages_of(spark, folder), max_length=4096)
     whole = packets.message_packets(split, ["msg_id"])
     return whole.groupBy("msg_id").agg(F.count(F.lit(1)).alias("packets"))
 
@@ -391,7 +391,7 @@ def message_packets(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def message_residuals(spark: SparkSession, folder: str) -> DataFrame:
-    split = packets.walked(_messages(spark, folder), max_length=4096)
+    split = packets.walked(messages_of(spark, folder), max_length=4096)
     return packets.message_residuals(split, ["msg_id"])
 
 
@@ -426,7 +426,7 @@ def stream_packets(spark: SparkSession, folder: str) -> DataFrame:
                FROM events) e GROUP BY status"""
     ),
 )
-def csp_messages(spark: SparkSession, folder: str) -> DataFrame:
+def cspmessages_of(spark: SparkSession, folder: str) -> DataFrame:
     """Messages around the event properties: checksums over both ranges, damage and refusals."""
     n = F.col("event_id")
     flags = F.when(n % 11 == 0, csp.HMAC).when(n % 7 == 0, csp.RDP | csp.CRC32).otherwise(csp.CRC32)

@@ -12,7 +12,8 @@ from passband.fixtures import views, wire
 from passband.fixtures.views import oracle
 from passband.functions.bits import floor_div
 from passband.operators import frames as tm
-from passband.plans.framing import FRAME, LAYOUT, STREAM_SQL, wire_oracle
+from passband.operators import packets
+from passband.plans.framing import FRAME, LAYOUT, STREAM_SQL, messages_of, wire_oracle
 from passband.plans.quality import _dropout_sql
 from passband.plans.registry import plan
 from passband.plans.values import LATEST_SQL
@@ -207,3 +208,24 @@ def stream_status(spark: SparkSession, folder: str) -> DataFrame:
     )
     place, rows = _stream_of(spark, packets, "pkt_no")
     return newest(status.status_lines(rows), place, ["capture_id"], ["packets_in", "bytes_in"])
+
+
+@plan(
+    "stream_messages",
+    "S3 F15",
+    oracle(
+        """SELECT pkt_no // 4 AS msg_id, CAST(count(*) - CASE WHEN pkt_no // 4 % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS packets
+           FROM tlm_packet_lossy GROUP BY pkt_no // 4
+           HAVING count(*) - CASE WHEN pkt_no // 4 % 10 = 3 THEN 1 ELSE 0 END > 0"""
+    ),
+)
+def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages as they come, each split by itself; nothing is kept between them."""
+    stored = messages_of(spark, folder).select(
+        F.col("msg_id").cast("bigint").alias("msg_id"), F.timestamp_seconds("msg_id").alias("received"), "bytes"
+    )
+    place = stage(stored, "msg_id")
+    rows = files.messages(spark, f"{place}/in", FILES)
+    whole = packets.message_packets(packets.walked(rows, max_length=4096), ["msg_id"])
+    made = drain(whole.select("msg_id"), place)
+    return made.groupBy("msg_id").agg(F.count(F.lit(1)).alias("packets"))
