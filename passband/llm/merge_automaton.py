@@ -23,7 +23,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import regex
+from tokenizers import Regex, pre_tokenizers
 
 #: Pre-split pattern of the byte-level vocabularies (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -207,7 +207,9 @@ class Codec:
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if special else None
         self.words = _Words(self.automaton)
         self.far = re.compile(f"[^\\x00-{chr(NEAR)}]")
-        self.near_split, self.split = _near_split().findall, regex.compile(SPLIT.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.near_split = _near_split().findall
+        # elsewhere the letters of the library's own Unicode tables count, so it splits these texts
+        self.far_split = pre_tokenizers.Split(Regex(SPLIT), behavior="isolated").pre_tokenize_str
 
     def encode(self, text: str) -> np.ndarray:
         out = []
@@ -215,8 +217,9 @@ class Codec:
             if self.special and part in self.special:
                 out.append(self.special[part])
             else:
-                split = self.split if self.far.search(part) else self.near_split
-                out.extend(map(self.words.__getitem__, split(part)))
+                far = self.far.search(part)
+                words = [w for w, _ in self.far_split(part)] if far else self.near_split(part)
+                out.extend(map(self.words.__getitem__, words))
         return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids) -> str:
