@@ -71,15 +71,21 @@ def idf(n: int, df: int) -> float:
 def best_match(text: str, vectors: Mapping[str, Mapping], n: int) -> tuple[str | None, float]:
     """The licence of the template of greatest cosine among ``n``; the name decides ties.
 
-    A sparse product: only terms of templates are visited beyond the text's own norm, in which
-    terms that no template has weigh as much as one that is in no template.
+    A sparse product: only terms of templates are visited.  All others weigh as much as one that is
+    in no template, so that their part of the norm is a sum over counts.
     """
-    rare, dots, norm = idf(n, 0), Counter(), 0.0
-    for t, k in terms(text).items():
-        held = vectors.get(t)
-        w = k * (idf(n, len(held)) if held else rare)
-        norm += w * w
-        for template, v in (held or {}).items():
+    words = TERM.findall(text.lower())
+    bag, pairs = Counter(words), Counter(zip(words, words[1:]))
+    rare, dots = idf(n, 0), Counter()
+    norm = rare * rare * sum(math.sumprod(x, x) for x in (list(bag.values()), list(pairs.values())))
+    for t, held in vectors.items():
+        a, _, b = t.partition(" ")
+        k = pairs.get((a, b)) if b else bag.get(a)
+        if not k:
+            continue
+        w = k * idf(n, len(held))
+        norm += w * w - k * k * rare * rare
+        for template, v in held.items():
             dots[template] += w * v
     if not dots:
         return None, 0.0
@@ -87,11 +93,6 @@ def best_match(text: str, vectors: Mapping[str, Mapping], n: int) -> tuple[str |
     return best[0], dots[best] / math.sqrt(norm)
 
 
-def telling_pairs(vectors: Mapping[str, Mapping]) -> set[str]:
-    """Pairs of words of templates that prose does not have by chance: one word has six letters or more."""
-    return {t for t in vectors if " " in t and max(map(len, t.split(" "))) >= 6}
-
-
 def notice_lines(text: str) -> list[str]:
     """The first and the last lines of a text, each once; a text of few lines is taken whole."""
     head = text.split("\n", HEADER_LINES)
@@ -103,23 +104,19 @@ def notice_lines(text: str) -> list[str]:
 def scanned(files: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """``path``, own licence and its cosine, and whether the file is a licence file, of every file.
 
-    Lines at the head and the end are scored one by one, so that prose does not dilute a notice; the
-    whole text decides on licence files.  Null and empty texts match nothing.
+    Every line at the head and the end is scored by itself, so that prose does not dilute a notice; the
+    whole text, whatever its lines gave, decides on licence files.  Null and empty texts match nothing.
     """
     vectors, n = template_vectors(templates), sum(map(len, templates.values()))
-    hints = telling_pairs(vectors)
 
     def judge(text: str) -> tuple[str | None, float, bool]:
         best: tuple[str | None, float] = (None, 0.0)
         for line in notice_lines(text):
-            # a matching line shares a telling pair of words with some template
-            words = TERM.findall(line.lower())
-            if any(f"{a} {b}" in hints for a, b in zip(words, words[1:])):
-                found = best_match(line, vectors, n)
-                if found[1] > best[1]:
-                    best = found
+            found = best_match(line, vectors, n)
+            if found[1] > best[1]:
+                best = found
         own = best[0] if best[1] >= LINE_COSINE else None
-        whole = best_match(text, vectors, n) if best[0] else (None, 0.0)
+        whole = best_match(text, vectors, n)
         if whole[1] >= FILE_COSINE:
             return whole[0], whole[1], True
         return own, best[1], False

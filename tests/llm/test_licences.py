@@ -106,3 +106,33 @@ def licences_of(docs):
                 continue
         out[d.doc_id] = (best[1] if -best[0] >= licences.LINE_COSINE else None, -best[0], False)
     return out
+
+
+SHORT = [
+    (1, "a/1", "CC BY 4.0", "CC-BY"), (2, "b/2", "# CC BY-SA 4.0", "CC-BY-SA"), (3, "c/3", "x\n" + LONG + "\nCC BY-NC 4.0", "CC-BY-NC"),
+    (4, "d/4", "License: CC BY-NC 4.0\n" + LONG, "CC-BY-NC"), (5, "e/5", "by the BY", None),
+]
+
+
+def test_short_notices_and_whole_texts_without_a_gate(spark):
+    edge = "Jo Doe\n\n2020\n\n\n"
+    files = [f[:3] for f in SHORT] + [(6, "f/LICENSE", edge + licences.TEMPLATES["BSD"][0] + "\n" + edge), (7, "f/x", "none here")]
+    rows = {r.doc_id: r for r in licences.licences(spark.createDataFrame(files, "doc_id bigint, path string, text string")).collect()}
+    for i, _, text, name in SHORT:
+        assert rows[i].licence == name, text
+        lines = [x for x in text.split("\n") if len(x) < 1000]
+        best = max(cosine(x, n) for x in [*lines, text] for n in licences.TEMPLATES)
+        assert rows[i].cosine == pytest.approx(best)
+    assert (rows[6].licence, rows[7].licence, rows[7].origin) == ("BSD", "BSD", "directory")
+
+
+def test_whole_query_scores_every_line(spark):
+    """Every template against every header line and every whole text, densely and without a gate."""
+    folder = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in queries.op1_license_scan(spark, folder).collect()}
+    best = lambda text: max(cosine(text, n) for n in licences.TEMPLATES) if licences.terms(text) else 0.0
+    for d in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        lines = d.text.split("\n")
+        line, whole = max(best(x) for k, x in enumerate(lines) if k < 5 or k >= len(lines) - 5), best(d.text)
+        assert rows[d.doc_id].cosine == pytest.approx(whole if whole >= licences.FILE_COSINE else line)
+        assert (rows[d.doc_id].origin == "own") == (line >= licences.LINE_COSINE or whole >= licences.FILE_COSINE)
