@@ -3,7 +3,7 @@
 Texts become vectors of hashed character n-grams of their lower-cased letter runs, weighted by
 inverse document frequency and normalised.  Each language of the learning rows is clustered by
 spherical k-means.  A text gets the language of the centroid with the greatest cosine, and is
-rejected if it lies farther from it than any learning text of that language did, and then some.
+rejected if it strays farther from it, for its length, than nearly all learning texts there did.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ FEATURES, ORDERS = 1 << 14, (1, 2, 3)
 #: Learning rows taken per language, about: a row is taken by a hash of its doc_id.
 SAMPLE = 1_500
 CLUSTERS, STEPS = 4, 12
-#: A text may be so much farther from its centroid (by 1 - cosine) than the farthest learning text.
-SLACK = 1.1
+#: A text may stray from its centroid by this multiple of the quantile of the learning texts there,
+#: and by LEAST anyway.  Centroids of fewer than MEMBERS texts have the quantile of their language.
+QUANTILE, SLACK, LEAST, MEMBERS = 0.99, 1.5, 0.25, 50
+#: n-grams at which the chance of a short text adds as much to its stray as a long text has.
+SHORT = 2_400
 #: Rows and characters of a dense block.
 ROWS, OCTETS = 256, 2 << 20
 UNKNOWN = "und"
@@ -97,8 +100,16 @@ class Model:
     idf: np.ndarray
 
 
-def clustered(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means: centroids, and the greatest 1 - cosine of a row from its centroid.
+def stray(cosine: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Squared tangent of the angle to a centroid, as a multiple of what ``grams`` n-grams bring by chance.
+
+    A sample's part across its mean falls as one over its length, to what its topic and words keep.
+    """
+    return (1 / np.maximum(cosine, 1e-6) ** 2 - 1) / (1 + SHORT / np.maximum(grams, 1))
+
+
+def clustered(points: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means: centroids, and the high quantile of :func:`stray` of the rows at each.
 
     It starts from rows spread evenly over the order of likeness to the mean, which puts short and
     long texts, or plain and odd ones, into clusters of their own without chasing outliers.
@@ -111,8 +122,10 @@ def clustered(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sums = np.stack([points[own == k].sum(axis=0) for k in range(len(centroids))])
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centroids)
-    farthest = 1 - (points @ centroids.T).max(axis=1).min()
-    return centroids, np.full(len(centroids), farthest)
+    cosine = points @ centroids.T
+    own, far = cosine.argmax(axis=1), stray(cosine.max(axis=1).astype(float), grams)
+    parts = [far[own == k] for k in range(len(centroids))]
+    return centroids, np.array([np.quantile(p if len(p) >= MEMBERS else far, QUANTILE) for p in parts])
 
 
 def learning(docs: DataFrame) -> Column:
@@ -158,7 +171,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
         n = [len(x) for x in table["feature"]]
         flat = [table[c].combine_chunks().flatten().to_numpy() for c in ("feature", "n")]
         points = vectors(np.repeat(np.arange(len(n)), n), *flat, idf, len(n))
-        centroids, radius = clustered(points)
+        centroids, radius = clustered(points, np.array([sum(x) for x in table["n"].to_pylist()]))
         return pa.table(
             {
                 "lang": pa.array([key[0].as_py()] * len(radius)),
@@ -187,7 +200,8 @@ def predictions(texts: list[str | None], model: Model) -> list[tuple[str, float,
     cosine = vectors(row, feature, n, model.idf, len(texts)) @ model.centroids.T
     best = cosine.argmax(axis=1)
     score = np.clip(cosine[np.arange(len(texts)), best].astype(float), 0.0, 1.0)
-    near = 1 - score <= np.minimum(model.radius[best] * SLACK, 1 - 1e-6)
+    grams = np.bincount(row, weights=n, minlength=len(texts))
+    near = (score > 1e-6) & (stray(score, grams) <= np.maximum(model.radius[best] * SLACK, LEAST))
     return [
         (model.languages[model.owner[b]], s, bool(ok)) if has else (UNKNOWN, 0.0, False)
         for b, s, ok, has in zip(best.tolist(), score.tolist(), near.tolist(), lettered.tolist())

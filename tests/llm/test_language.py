@@ -1,5 +1,6 @@
 """Operator 2: held-out accuracy and odd rows."""
 
+import random
 import zlib
 
 import pytest
@@ -53,3 +54,25 @@ def test_nothing_to_learn_from(spark):
 
 def test_several_centroids_per_language(model):
     assert list(model.owner).count(0) == language.CLUSTERS
+
+
+ITALIAN = (
+    "Gli uomini che vivevano vicino al fiume andavano ogni giorno nei campi e tornavano a casa la sera, quando i bambini "
+    "e gli anziani li aspettavano davanti al fuoco. Durante l'inverno il ghiaccio copriva tutta l'acqua e i mercanti delle "
+    "città lontane arrivavano con le loro merci. Nel mezzo del cammino di nostra vita mi ritrovai per una selva oscura. "
+)
+
+
+def test_rejection_in_latin_script(spark):
+    """Random letters and a language not learnt go, though short junk is among the learning texts; good texts stay."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.fit(docs.filter(language.learning(docs)))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    strange = [" ".join(word() for _ in range(n)) for n in (30, 60, 200, 1000) for _ in range(25)]
+    strange += [ITALIAN, ITALIAN * 5]
+    assert not any(ok for _, _, ok in language.predictions(strange, model))
+    good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1 AND NOT coalesce(CAST(toxic AS boolean), false)")
+    clean = [r.text for r in docs.join(good, "doc_id", "left_semi").collect()]
+    assert sum(ok for _, _, ok in language.predictions(clean, model)) / len(clean) >= 0.99
