@@ -1,7 +1,8 @@
 """Verdicts on page urls by rules, and by trust and distrust spread over host links (operator 8).
 
-Rules decide where one fits.  They also seed the graph: a host most of whose pages are allowed by
-rules is trusted, one most of whose pages are blocked is blocked.  Trust is personalised PageRank
+Rules decide where one fits.  They also seed the graph: a host most of whose urls, those of its pages
+and those that other hosts link to, are allowed by rules is trusted, one most of whose are blocked is
+blocked; it need not have been fetched.  Trust is personalised PageRank
 from the trusted hosts along links; distrust is the same from the blocked hosts against the links,
 for a host that links to bad ones is suspect.  Pages that no rule fits are blocked where their
 host's distrust is beyond a floor and outweighs its trust.
@@ -36,7 +37,7 @@ RULES = (
     Rule("block", "example.com", "/de/"),
     Rule("allow", "org", "/fr/"),
 )
-#: Share of a host's pages under rules of one verdict that makes it a seed.
+#: Share of a host's pages and of links to it under rules of one verdict that makes it a seed.
 SEED_SHARE = 0.5
 DAMPING, STEPS = 0.85, 10
 #: A host is blocked if its distrust, as a multiple of an even share among all hosts, exceeds the
@@ -70,15 +71,20 @@ def ruled(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, n: links between different hosts; pre-aggregated, so a page's html is never moved."""
+def host_links(pages: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """src, dst, n: links between different hosts; pre-aggregated, so a page's html is never moved.
+
+    With ``rules``, also how many of the linked urls they allow and block.
+    """
     links = F.regexp_extract_all("html", F.lit(r"(?i)href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]*)"), 1)
+    linked = pages.select(host_of(F.col("url")).alias("src"), F.explode(links).alias("url"))
+    judged = [F.count_if(F.col("rule_verdict") == v).alias(v) for v in ("allow", "block")]
     return (
-        pages.select(host_of(F.col("url")).alias("src"), F.explode(links).alias("link"))
-        .select("src", host_of(F.col("link")).alias("dst"))
+        ruled(linked, rules or ())
+        .withColumnRenamed("host", "dst")
         .filter("src <> '' AND dst <> '' AND src <> dst")
         .groupBy("src", "dst")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *(judged if rules is not None else []))
     )
 
 
@@ -117,17 +123,25 @@ def spread(hosts: DataFrame, edges: DataFrame, seed: str, steps: int = STEPS) ->
 def host_verdicts(pages: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
     """host, trust, distrust, host_verdict from pages with rules (:func:`ruled`) and host links.
 
+    Links seed together with pages if they were counted with rules, else pages alone do.
     Ranks are multiples of an even share, so that the floor does not hang on the number of hosts.
     """
-    share = lambda v: F.avg((F.coalesce("rule_verdict", F.lit("")) == v).cast("double"))
-    seen = pages.filter("host <> ''").groupBy("host").agg(share("allow").alias("a"), share("block").alias("b"))
-    linked = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host")))
+    told = {"allow": F.col("rule_verdict") == "allow", "block": F.col("rule_verdict") == "block"}
+    seen = (
+        pages.filter("host <> ''")
+        .groupBy("host")
+        .agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(v) for v, c in told.items()))
+    )
+    counted = {*told} <= {*edges.columns}
+    sums = [F.sum(c if counted else F.lit(0)).alias(c) for c in ("n", *told)]
+    into = edges.groupBy(F.col("dst").alias("host")).agg(*sums)
+    outof = edges.select(F.col("src").alias("host"), *(F.lit(0).alias(c) for c in ("n", *told)))
+    most = lambda v: F.sum(v) > SEED_SHARE * F.sum("n")
     hosts = stored(
-        seen.unionByName(
-            linked.distinct().withColumns({"a": F.lit(0.0), "b": F.lit(0.0)})
-        )
+        seen.unionByName(into)
+        .unionByName(outof.distinct())
         .groupBy("host")
-        .agg((F.max("a") > SEED_SHARE).alias("trusted"), (F.max("b") > SEED_SHARE).alias("blocked"))
+        .agg(most("allow").alias("trusted"), most("block").alias("blocked"))
     )
     n = F.lit(float(hosts.count()))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
@@ -147,7 +161,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, steps: int = STEPS)
     joined as a size-checked broadcast, beyond that by a join whose skewed partitions Spark splits.
     """
     rows = ruled(pages.select("page_id", "url"), rules)
-    edges = stored(host_links(pages))
+    edges = stored(host_links(pages, rules))
     hosts = stored(host_verdicts(rows, edges, steps).select("host", "host_verdict"))
     return rows.join(small(hosts, 128), "host", "left").select(
         "page_id",

@@ -91,6 +91,28 @@ def test_rules(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.rule_verdict) == (host, path, rule, verdict)
 
 
+def test_linked_hosts_that_were_not_fetched_are_seeds(spark):
+    html = lambda *urls: "".join(f"<a href='{u}'>t</a>" for u in urls)
+    rows = [
+        (1, "https://lure.biz/", html("http://x.net/a", "http://X.net/b", "http://y.net/")),
+        (2, "https://plain.biz/", html("http://o.org/fr/1", "http://example.com/de/1", "http://example.com/fr/1", "http://example.com/fr/2")),
+        (3, "https://other.biz/", None),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    edges = url_filter.host_links(df, url_filter.RULES)
+    assert {(r.src, r.dst): (r.n, r.allow, r.block) for r in edges.collect()} == {
+        ("lure.biz", "x.net"): (2, 0, 2), ("lure.biz", "y.net"): (1, 0, 1),
+        ("plain.biz", "o.org"): (1, 1, 0), ("plain.biz", "example.com"): (3, 0, 1),
+    }
+    got = {r.host: r for r in url_filter.host_verdicts(url_filter.ruled(df), edges).collect()}
+    hosts, linked = sorted(got), {("lure.biz", "x.net"): 2, ("lure.biz", "y.net"): 1, ("plain.biz", "o.org"): 1, ("plain.biz", "example.com"): 3}
+    trust = ranks(hosts, linked, {"o.org"}, url_filter.STEPS)
+    distrust = ranks(hosts, {(b, a): n for (a, b), n in linked.items()}, {"x.net", "y.net"}, url_filter.STEPS)
+    for h in hosts:
+        assert got[h].trust == pytest.approx(trust[h]) and got[h].distrust == pytest.approx(distrust[h])
+    assert {r.host: r.verdict for r in url_filter.judged(df).collect()} == {"lure.biz": "block", "plain.biz": "allow", "other.biz": "allow"}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert url_filter.judged(empty).count() == 0
