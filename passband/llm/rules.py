@@ -2,7 +2,9 @@
 
 Bands: the whole text and each fixed chunk of it are compressed with zstandard.  A ratio above the
 upper limit of a length class is repetitive text, one below the lower limit is noise.  Short texts
-compress little whatever they hold, so each class has limits of its own.
+compress little whatever they hold, so each class has limits of its own.  Encoded binary is text of
+ASCII alone and compresses to the bits of its alphabet, which clean text of other scripts nearly does
+when short; so texts that are nearly all ASCII have a lower limit of their own, above encoded noise.
 """
 
 from __future__ import annotations
@@ -37,14 +39,26 @@ class Band:
 DOCUMENT_BANDS = (Band(0, 0.0, 2.5), Band(256, 1.05, 2.8), Band(1024, 1.2, 3.4), Band(8192, 1.3, 4.0))
 #: Chunks of ``CHUNK`` bytes; the last one may be shorter and is judged from 512 bytes on.
 CHUNK_BANDS = (Band(0, 0.0, float("inf")), Band(512, 1.05, 3.2), Band(2048, 1.15, 3.8))
-#: Share of a document's judged chunks that must be out of their bands to reject it.
-CHUNK_SHARE = 0.5
+#: Lower limits of documents and chunks with at least the share ASCII of their bytes in ASCII: base64 of
+#: random bytes reaches 1.25 below 1 KB and 1.33 beyond, Latin-script prose 1.4 and 1.7.
+ASCII = 0.9
+ASCII_BANDS = (Band(0, 0.0, float("inf")), Band(512, 1.3, float("inf")), Band(1024, 1.4, float("inf")))
+#: A document is rejected if more than this share of its judged chunks, or so many in a row, are out of their bands.
+CHUNK_SHARE, CHUNK_RUN = 0.2, 2
 
 
 def band(bands: Sequence[Band], length: int) -> Band:
     return [b for b in bands if b.length <= length][-1]
 
 
+def inside(bands: Sequence[Band], octets: bytes, ratio: float) -> bool:
+    """Whether ``ratio`` is within the limits for ``octets``."""
+    limits = band(bands, len(octets))
+    beyond = 0 if octets.isascii() else len(octets.translate(None, bytes(range(128))))
+    low = limits.low if beyond > (1 - ASCII) * len(octets) else max(limits.low, band(ASCII_BANDS, len(octets)).low)
+    return low <= ratio <= limits.high
+
+
 def repeated_words(words: Sequence[bytes], window: int = WINDOW) -> int:
     """Words that lie in a ``window``-word run found twice or more, the first one included."""
     n = len(words)
@@ -82,21 +96,20 @@ def judge(text: str | None) -> tuple:
     octets = text.encode()
     words = WORD.findall(octets)
     n, repeats = len(words), repeated_words(words)
-    inside = len(text) - sum(map(text.count, " \t\n\v\f\r"))
+    solid = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     failed = n < 10 or 100 * repeats > 20 * n
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
     ratio = len(octets) / len(compress(octets)) if octets else 0.0
-    out = judged = 0
+    out = judged = run = longest = 0
     for at in range(0, len(octets), CHUNK):
         part = octets[at : at + CHUNK]
-        limits = band(CHUNK_BANDS, len(part))
-        if limits.high != float("inf"):
-            judged += 1
-            out += not limits.low <= len(part) / len(compress(part)) <= limits.high
+        if band(CHUNK_BANDS, len(part)).high != float("inf"):
+            bad = not inside(CHUNK_BANDS, part, len(part) / len(compress(part)))
+            judged, out, run = judged + 1, out + bad, run + 1 if bad else 0
+            longest = max(longest, run)
     share = out / judged if judged else 0.0
-    limits = band(DOCUMENT_BANDS, len(octets))
-    within = limits.low <= ratio <= limits.high and not (judged and share > CHUNK_SHARE)
-    return n, inside, len(SYMBOLS.findall(text)), duplicate_lines(text), repeats, failed, not failed and within, ratio, share
+    within = inside(DOCUMENT_BANDS, octets, ratio) and share <= CHUNK_SHARE and longest < CHUNK_RUN
+    return n, solid, len(SYMBOLS.findall(text)), duplicate_lines(text), repeats, failed, not failed and within, ratio, share
 
 
 OUT = (

@@ -1,5 +1,6 @@
 """Operator 9: features against plain counting, verdicts on plain cases."""
 
+import base64
 import random
 from collections import Counter
 
@@ -59,6 +60,29 @@ def test_bands():
     assert not rules.judge(rote)[6]
 
 
+def test_encoded_noise_and_half_noise():
+    rng = random.Random(2)
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    lexicon = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
+    prose = lambda n: " ".join(rng.choice(lexicon) for _ in range(n // 5))[:n]
+    encoded = lambda n: base64.encodebytes(rng.randbytes(n)).decode()
+    for n in (700, 1000, 3000, 6000, 60_000):
+        text = encoded(n)
+        assert not rules.judge(text)[5] and not rules.judge(text)[6], n
+    for n in (400, 700, 1500, 4096, 16_384, 81_920):
+        assert rules.judge(prose(n))[6], n
+    other = [chr(c) for c in rng.sample(range(0x4E00, 0x9FA5), 2500)]  # characters as frequent as one over their rank
+    for n in (100, 400, 700, 3000):
+        text = "".join(rng.choices(other, [1 / (k + 10) for k in range(len(other))], k=n))
+        assert rules.judge(" ".join(text[i : i + 8] for i in range(0, n, 8)))[6], n
+    noisy, stale = lambda: encoded(4096)[:4096], "".join(f"the same line, number {i}\n" for i in range(170))[:4096]
+    assert len(stale) == 4096
+    assert not rules.judge("".join(prose(4096) + noisy() for _ in range(10)))[6]
+    assert not rules.judge("".join(prose(4096) for _ in range(16)) + noisy() + noisy())[6]
+    assert rules.judge("".join(prose(4096) for _ in range(8)) + noisy())[6]
+    assert not rules.judge("".join(prose(4096) + stale for _ in range(2)) + prose(4096))[6]
+
+
 def test_whole_query(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
