@@ -18,6 +18,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # transformWithState keeps its state in column families, which only this provider has.
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    # Rows here may be long texts or blocks of megabytes; ten thousand of them are no batch.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
