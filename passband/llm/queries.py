@@ -14,10 +14,13 @@ from passband.llm import (
     neighbours,
     packing,
     perplexity,
+    pivots,
+    quantised,
     revisits,
     rules,
     simhash,
     tokens,
+    turn_tries,
     url_filter,
 )
 from passband.llm.common import table
@@ -191,6 +194,18 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.sequences(packing.pieces(table(spark, folder, "documents"), WORD_BPE))
 
 
+def op11_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return quantised.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_tries.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.clustered(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -204,7 +219,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_verdicts,
         op9_compression_rules,
         op10_best_fit_packing,
+        op11_embedding_duplicates,
+        op12_prefix_trie,
+        op13_centroid_clusters,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_warc_revisits": OP3_SQL, "op8_url_verdicts": op8_sql()}
+ORACLES: dict[str, str] = {
+    "op3_warc_revisits": OP3_SQL,
+    "op8_url_verdicts": op8_sql(),
+    "op11_embedding_duplicates": quantised.SQL,
+    "op12_prefix_trie": turn_tries.sql(),
+    "op13_centroid_clusters": pivots.sql(),
+}
