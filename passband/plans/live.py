@@ -229,3 +229,53 @@ def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
     whole = packets.message_packets(packets.walked(rows, max_length=4096), ["msg_id"])
     made = drain(whole.select("msg_id"), place)
     return made.groupBy("msg_id").agg(F.count(F.lit(1)).alias("packets"))
+
+
+#: Seconds of silence of the replay, a tenth and less of those on a live link.
+LIVE, QUIET, PATIENCE = 0.5, 1.5, 120.0
+
+
+@plan(
+    "stream_silence",
+    "R7 A11",
+    oracle(
+        """SELECT c.capture_id, s.step, s.state FROM (SELECT DISTINCT apid % 4 AS capture_id FROM tlm_packet_lossy) c
+           CROSS JOIN (VALUES (1, 'live'), (2, 'quiet'), (3, 'stopped')) s(step, state)"""
+    ),
+)
+def stream_silence(spark: SparkSession, folder: str) -> DataFrame:
+    """What every stream was from its last packet on: timers tell, for no rows come any more.
+
+    The query runs until each stream has stopped.
+    """
+    arrivals = views.lossy_packets(spark, folder).select((F.col("apid") % 4).alias("capture_id"), "pkt_no")
+    place, rows = _stream_of(spark, arrivals, "pkt_no")
+    streams = arrivals.select("capture_id").distinct().count()
+    schema = "capture_id int, state string, at_ms bigint"
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    def told() -> DataFrame:
+        lines = spark.read.schema(schema).parquet(f"{place}/out/batch=*")
+        last = lines.filter("state = 'live'").groupBy("capture_id").agg(F.max("at_ms").alias("_last"))
+        return lines.join(last, "capture_id").filter(F.col("at_ms") >= F.col("_last")).drop("_last")
+
+    query = (
+        status.silence(rows, live=LIVE, quiet=QUIET)
+        .writeStream.outputMode("update")
+        .foreachBatch(save)
+        .option("checkpointLocation", f"{place}/state")
+        .trigger(processingTime="200 milliseconds")
+        .start()
+    )
+    try:
+        end = time.time() + PATIENCE
+        while time.time() < end and not query.awaitTermination(1):
+            done = query.recentProgress and query.recentProgress[-1].numInputRows == 0
+            if done and told().filter("state = 'stopped'").count() == streams:
+                break
+    finally:
+        query.stop()
+    step = F.when(F.col("state") == "live", 1).when(F.col("state") == "quiet", 2).otherwise(3)
+    return told().select("capture_id", step.alias("step"), "state")

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from passband.operators.gaps import GAP_SUMMARY_INTERVAL, HEALTHY_RUN, SEQUENCE_MODULUS
+from passband.streaming.ordered_input import OrderedInput
 
 STATE = "last int, arrived bigint, last_gap bigint, gaps bigint, missing bigint"
+#: Packets of a key held at once.
+MOST_PACKETS = 1 << 17
 LINES = "rn bigint, kind string, seq_count int, gaps bigint, missing bigint"
 
 
@@ -19,20 +22,29 @@ class GapTracker(StatefulProcessor):
     """Per key: the last count, and the dropout that is open.
 
     A restart of the source is a new epoch in the key, so nothing is ever compared across it.
-    Rows of a micro-batch are put in arrival order first; how many there are is bounded by the
-    admission control of the source.
+    Rows of a micro-batch are put in arrival order first and read piece by piece.
     """
 
-    def __init__(self, keys: Sequence[str], healthy_run: int, summary_interval: int) -> None:
-        self.keys, self.healthy, self.every = list(keys), healthy_run, summary_interval
+    def __init__(self, keys: Sequence[str], healthy_run: int, summary_interval: int, most: int) -> None:
+        self.keys, self.healthy, self.every, self.most = list(keys), healthy_run, summary_interval, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("tracker", STATE)
+        self.input = OrderedInput(handle, "pkt_no", self.most)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values("pkt_no", kind="stable")
         held = self.state.get() if self.state.exists() else (-1, 0, -1, 0, 0)
-        last, arrived, last_gap, gaps, missing = (int(x) for x in held)
+        held = tuple(int(x) for x in held)
+        for batch in self.input.read(rows):
+            held, out = self._advance(held, batch)
+            for name, value in zip(reversed(self.keys), reversed(key)):
+                out.insert(0, name, value)
+            yield out
+        self.state.update(held)
+
+    def _advance(self, held: tuple, batch: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        """State and lines after packets that follow the ones before."""
+        last, arrived, last_gap, gaps, missing = held
         counts = batch["seq_count"].to_numpy(dtype=np.int64) % SEQUENCE_MODULUS
         before = np.concatenate(([last if last >= 0 else counts[0]], counts[:-1]))
         missed = np.where(counts == before, 0, (counts - before - 1) % SEQUENCE_MODULUS)
@@ -56,12 +68,9 @@ class GapTracker(StatefulProcessor):
         arrived += len(counts)
         if close(arrived):
             gaps = missing = 0
-        self.state.update((int(counts[-1]), arrived, last_gap, gaps, missing))
         out = pd.DataFrame(lines, columns=["rn", "kind", "seq_count", "gaps", "missing"])
         out["seq_count"] = out["seq_count"].astype("Int32")
-        for name, value in zip(reversed(self.keys), reversed(key)):
-            out.insert(0, name, value)
-        yield out
+        return (int(counts[-1]), arrived, last_gap, gaps, missing), out
 
     def close(self) -> None:
         pass
@@ -73,11 +82,15 @@ def dropouts(
     *,
     healthy_run: int = HEALTHY_RUN,
     summary_interval: int = GAP_SUMMARY_INTERVAL,
+    most: int = MOST_PACKETS,
 ) -> DataFrame:
-    """The lines of :func:`passband.operators.gaps.dropout_sessions`, as they come about."""
+    """The lines of :func:`passband.operators.gaps.dropout_sessions`, as they come about.
+
+    A task holds at most ``most`` packets of a key at once, whatever a micro-batch brings.
+    """
     key_schema = ", ".join(f"{k} {packets.schema[k].dataType.simpleString()}" for k in keys)
     return packets.select(*keys, "pkt_no", "seq_count").groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=GapTracker(keys, healthy_run, summary_interval),
+        statefulProcessor=GapTracker(keys, healthy_run, summary_interval, most),
         outputStructType=f"{key_schema}, {LINES}",
         outputMode="Append",
         timeMode="None",

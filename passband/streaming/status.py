@@ -57,8 +57,8 @@ def with_epochs(
 class SilenceAlarm(StatefulProcessor):
     """Per stream: live on every arrival, quiet and stopped by timers when nothing arrives."""
 
-    def __init__(self, keys: Sequence[str]) -> None:
-        self.keys = list(keys)
+    def __init__(self, keys: Sequence[str], live: float, quiet: float) -> None:
+        self.keys, self.live_ms, self.quiet_ms = list(keys), int(live * 1000), int(quiet * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -75,24 +75,34 @@ class SilenceAlarm(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.last.update((now,))
-        self.handle.registerTimer(now + int(LIVE_SECONDS * 1000) + 1)
-        self.handle.registerTimer(now + int(QUIET_SECONDS * 1000) + 1)
+        self.handle.registerTimer(now + self.live_ms + 1)
+        self.handle.registerTimer(now + self.quiet_ms + 1)
         yield self._line(key, "live", now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        silent = (at - self.last.get()[0]) / 1000
-        yield self._line(key, "stopped" if silent > QUIET_SECONDS else "quiet", at)
+        silent = at - self.last.get()[0]
+        yield self._line(key, "stopped" if silent > self.quiet_ms else "quiet", at)
 
     def close(self) -> None:
         pass
 
 
-def silence(packets: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
-    """Changes of liveness of every stream, also while no data comes."""
+def silence(
+    packets: DataFrame,
+    keys: Sequence[str] = ("capture_id",),
+    *,
+    live: float = LIVE_SECONDS,
+    quiet: float = QUIET_SECONDS,
+) -> DataFrame:
+    """Changes of liveness of every stream, also while no data comes.
+
+    A stream is live with every arrival, quiet after ``live`` seconds without one, and stopped
+    after ``quiet`` seconds.  The processing clock decides, so the query has to keep running.
+    """
     key_schema = ", ".join(f"{k} {packets.schema[k].dataType.simpleString()}" for k in keys)
     return packets.select(*keys).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=SilenceAlarm(keys),
+        statefulProcessor=SilenceAlarm(keys, live, quiet),
         outputStructType=f"{key_schema}, state string, at_ms bigint",
         outputMode="Update",
         timeMode="ProcessingTime",
