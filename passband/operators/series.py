@@ -1,8 +1,8 @@
 """Long time series reduced for plotting.
 
 A series is (keys, seq_no, t, v) in arrival order.  Everything that looks at all points of a
-series is a grouped aggregation; only points already bounded by a drawing budget, or series
-known to be short, are handed to one group as a whole.
+series is a grouped aggregation; only points already bounded by a drawing budget are handed to one
+group as a whole.  Whole series are reduced in :mod:`passband.operators.simplify`.
 """
 
 from __future__ import annotations
@@ -18,14 +18,11 @@ from pyspark.sql import functions as F
 from passband.functions.bits import floor_div
 from passband.operators.lookup import dimension
 from passband.operators.ordered import DEFAULT_WIDTH, carry
-from passband.session import pin
 
 KEYS = ("parameter",)
 RATIO = 4
 MIN_BUDGET, DEFAULT_BUDGET, MAX_BUDGET = 64, 1024, 16_384
 EMPTY_WINDOW_SECONDS = 60.0
-#: Points one group may hold as a whole; longer series are reduced by aggregation first.
-SHORT_SERIES = 100_000
 
 
 def budget(points: int) -> int:
@@ -199,192 +196,6 @@ def min_max_lttb(
     return _per_series(small.unionByName(large, allowMissingColumns=True), threshold, keys, ["part", "idx"])
 
 
-def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Points that can be furthest from some line: the convex hull, and the first of the group."""
-    pdf = pdf.sort_values("idx", kind="stable")
-    t, v = pdf["t"].to_numpy(), pdf["v"].to_numpy()
-    order = np.lexsort((v, t))
-    keep = {0, len(pdf) - 1, *np.flatnonzero(np.isnan(v))[:1]}
-    for sign in (1.0, -1.0):
-        chain: list[int] = []
-        for i in order:
-            if np.isnan(v[i]):
-                continue
-            while len(chain) > 1:
-                a, b = chain[-2], chain[-1]
-                cross = (t[b] - t[a]) * (v[i] - v[a]) - (v[b] - v[a]) * (t[i] - t[a])
-                if sign * cross >= 0:
-                    break
-                chain.pop()
-            chain.append(int(i))
-        keep |= set(chain)
-    return pdf.iloc[sorted(keep)]
-
-
-def lttb(
-    points: DataFrame,
-    threshold: int,
-    keys: Sequence[str] = KEYS,
-    *,
-    width: int = DEFAULT_WIDTH,
-    short: int = SHORT_SERIES,
-) -> DataFrame:
-    """Largest-triangle-three-buckets over whole series.
-
-    Short series are one group each.  In a long one, bucket averages are an aggregation, and
-    since the area is linear in the candidate, only the convex hull of each bucket can hold the
-    largest triangle: hulls of slices of a bucket are taken in parallel, and the chain of
-    anchors runs over those few points.
-    """
-    placed = indexed(points, keys, width=width)
-    if threshold < 3:
-        return min_max_lttb(points, threshold, RATIO, keys, width=width)
-    brief = _per_series(placed.filter(F.col("n") <= short).drop("n"), threshold, keys, ["idx"])
-    long = placed.filter(F.col("n") > short)
-    every = (F.col("n") - 2) / F.lit(float(threshold - 2))
-    inner = (
-        long.filter((F.col("idx") > 0) & (F.col("idx") < F.col("n") - 1))
-        .withColumn("bucket", bucket_of(F.col("idx") - 1, every))
-        .filter(F.col("bucket") < threshold - 2)
-    )
-    means = inner.groupBy(*keys, "bucket").agg(
-        F.avg("t").alias("mean_t"), F.avg("v").alias("mean_v")
-    )
-    chunked = inner.select(*keys, "bucket", floor_div(F.col("idx"), short).alias("_piece"), "idx", "seq_no", "t", "v")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema)
-    hulls = chunked.groupBy(*keys, "bucket", "_piece").applyInPandas(_hull, schema).drop("_piece")
-    ends = (
-        long.filter((F.col("idx") == 0) | (F.col("idx") == F.col("n") - 1))
-        .withColumn("bucket", F.when(F.col("idx") == 0, -1).otherwise(threshold - 2).cast("bigint"))
-        .select(*keys, "bucket", "idx", "seq_no", "t", "v")
-    )
-    reduced = hulls.unionByName(ends).join(means, [*keys, "bucket"], "left")
-    names = [f.name for f in points.schema if f.name in (*keys, "seq_no", "t", "v")]
-    out_schema = ", ".join(f"`{n}` {points.schema[n].dataType.simpleString()}" for n in names)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bucket", "idx"], kind="stable").reset_index(drop=True)
-        origin = pdf["t"].iloc[0]
-        groups = {b: g for b, g in pdf.groupby("bucket", sort=True)}
-        at = pdf.index[0]
-        kept = [at]
-        for b in range(threshold - 2):
-            here = groups.get(b)
-            if here is None:
-                continue
-            ahead = groups.get(b + 1)
-            if ahead is None or b + 1 == threshold - 2:
-                goal_t, goal_v = pdf["t"].iloc[-1] - origin, pdf["v"].iloc[-1]
-            else:
-                goal_t, goal_v = ahead["mean_t"].iloc[0] - origin, ahead["mean_v"].iloc[0]
-            x0, y0 = pdf["t"].iloc[at] - origin, pdf["v"].iloc[at]
-            area = np.abs(
-                (x0 - goal_t) * (here["v"].to_numpy() - y0)
-                - (x0 - (here["t"].to_numpy() - origin)) * (goal_v - y0)
-            )
-            at = here.index[int(np.argmax(np.where(np.isnan(area), -1.0, area)))]
-            kept.append(at)
-        kept.append(pdf.index[-1])
-        return pdf.loc[kept, names]
-
-    return brief.select(*names).unionByName(reduced.groupBy(*keys).applyInPandas(chain, out_schema))
-
-
-def rdp_mask(t: np.ndarray, v: np.ndarray, epsilon: float) -> np.ndarray:
-    """Points Ramer-Douglas-Peucker keeps; the first of equally distant ones splits."""
-    n = len(t)
-    keep = np.zeros(n, dtype=bool)
-    if n < 3:
-        return ~keep
-    keep[[0, -1]] = True
-    x, stack = t - t[0], [(0, n - 1)]
-    while stack:
-        a, b = stack.pop()
-        if b <= a + 1:
-            continue
-        px, py = x[a + 1 : b], v[a + 1 : b]
-        norm = math.hypot(x[b] - x[a], v[b] - v[a])
-        if norm == 0.0:
-            distance = np.hypot(px - x[a], py - v[a])
-        else:
-            distance = np.abs((x[b] - x[a]) * (v[a] - py) - (x[a] - px) * (v[b] - v[a])) / norm
-        distance = np.where(np.isnan(distance), 0.0, distance)
-        worst = int(np.argmax(distance))
-        if distance[worst] > epsilon:
-            keep[a + 1 + worst] = True
-            stack += [(a, a + 1 + worst), (a + 1 + worst, b)]
-    return keep
-
-
-def rdp(
-    points: DataFrame,
-    epsilon: float,
-    keys: Sequence[str] = KEYS,
-    *,
-    width: int = DEFAULT_WIDTH,
-    short: int = SHORT_SERIES,
-) -> DataFrame:
-    """Simplify every series so that no dropped point is further than ``epsilon`` from the line.
-
-    Short series are one group each.  Long ones are split level by level: all segments of a
-    level find their furthest point in one aggregation, and only points of segments that were
-    split go on to the next level.
-    """
-    names = [*keys, "seq_no", "t", "v"]
-    placed = pin(indexed(points.select(*names), keys, width=width))
-    schema = ", ".join(f"`{n}` {points.schema[n].dataType.simpleString()}" for n in names)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        return pdf[rdp_mask(pdf["t"].to_numpy(), pdf["v"].to_numpy(), epsilon)][names]
-
-    brief = placed.filter(F.col("n") <= short).groupBy(*keys).applyInPandas(one, schema)
-    long = placed.filter(F.col("n") > short)
-    ends = long.filter((F.col("idx") == 0) | (F.col("idx") == F.col("n") - 1))
-    kept = ends.select(*names)
-    if not long.limit(1).count():
-        return brief
-    corner = F.struct("idx", "t", "v")
-    corners = ends.groupBy(*keys).agg(
-        F.min_by(corner, "idx").alias("a"), F.max_by(corner, "idx").alias("b"), F.min_by("t", "idx").alias("origin")
-    )
-    inner = long.filter((F.col("idx") > 0) & (F.col("idx") < F.col("n") - 1))
-    open_points = inner.drop("n").join(dimension(corners), list(keys))
-    ax, ay = F.col("a.t") - F.col("origin"), F.col("a.v")
-    bx, by = F.col("b.t") - F.col("origin"), F.col("b.v")
-    px, py = F.col("t") - F.col("origin"), F.col("v")
-    norm = F.hypot(bx - ax, by - ay)
-    distance = F.when(norm == 0, F.hypot(px - ax, py - ay)).otherwise(
-        F.abs((bx - ax) * (ay - py) - (ax - px) * (by - ay)) / norm
-    )
-    # Spark ranks NaN above every number; a distance that is none splits nothing.
-    distance = F.when(F.isnan(distance), 0.0).otherwise(distance)
-    while True:
-        open_points = pin(open_points)
-        segment = [*keys, F.col("a.idx").alias("_from")]
-        worst = (
-            open_points.withColumn("_d", distance)
-            .filter(F.col("_d") > epsilon)
-            .groupBy(*segment)
-            .agg(F.max_by(F.struct("idx", "t", "v", "seq_no"), F.struct("_d", -F.col("idx"))).alias("w"))
-        )
-        worst = pin(worst)
-        if not worst.limit(1).count():
-            break
-        kept = kept.unionByName(worst.select(*keys, "w.seq_no", "w.t", "w.v"))
-        split = open_points.withColumn("_from", F.col("a.idx")).join(dimension(worst), [*keys, "_from"])
-        left = F.col("idx") < F.col("w.idx")
-        middle = F.struct(F.col("w.idx").alias("idx"), F.col("w.t").alias("t"), F.col("w.v").alias("v"))
-        open_points = split.filter(F.col("idx") != F.col("w.idx")).select(
-            *names,
-            "idx",
-            F.when(left, F.col("a")).otherwise(middle).alias("a"),
-            F.when(left, middle).otherwise(F.col("b")).alias("b"),
-            "origin",
-        )
-    return brief.unionByName(kept)
-
-
 def plot_grid(
     history: DataFrame,
     members: DataFrame,

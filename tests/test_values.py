@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passband.operators import decommutate, series, store
+from passband.operators import decommutate, series, simplify, store
 from passband.session import shared_folder
 from passband.fixtures import mission
 from passband.sources import definition, documents, exports
@@ -183,36 +183,91 @@ def test_window_edges(spark):
     assert picked(base + 5, base + 3) == [] and picked(float("nan"), base) == [] and len(picked(None, None)) == 10
 
 
-def test_lttb_keeps_a_spike_and_long_path_agrees(spark):
+def kept_by_rdp(t, v, epsilon):
+    """Ramer-Douglas-Peucker by recursion over one whole series."""
+    x, keep = t - t[0], {0, len(t) - 1}
+
+    def go(a, b):
+        if b <= a + 1:
+            return
+        far = simplify.off_line(x[a + 1 : b], v[a + 1 : b], x[a], v[a], x[b], v[b])
+        k = int(np.argmax(far))
+        if far[k] > epsilon:
+            keep.add(a + 1 + k)
+            go(a, a + 1 + k)
+            go(a + 1 + k, b)
+
+    go(0, len(t) - 1)
+    return sorted(keep)
+
+
+@pytest.mark.parametrize("threshold,sizes", [(60, {}), (4, {"piece": 7}), (60, {"piece": 7, "slice_points": 1, "width": 64}), (899, {"piece": 50, "slice_points": 40})])
+def test_lttb_equals_the_sequential_rule(spark, threshold, sizes):
     rng = random.Random(4)
     values = [math.sin(i / 30) + rng.random() / 10 for i in range(900)]
     values[417] = 50.0
+    values[500] = values[501] = float("nan")
+    df = points(spark, values)
+    t, v = np.array([1.7e9 + i for i in range(900)]), np.array(values)
+    whole = sorted(r.seq_no for r in simplify.lttb(df, threshold, **sizes).collect())
+    assert whole == series.lttb_indices(t, v, threshold).tolist()
+    if threshold == 4:
+        assert [simplify.lttb(df, n).count() for n in (2, 0, 901)] == [2, 2, 900]
+
+
+def test_lttb_of_a_curved_series(spark):
+    """Every point is on the hull of its bucket; slices hold a few buckets each."""
+    n = 200_000
+    df = spark.range(n).select(
+        F.lit("p").alias("parameter"), F.col("id").alias("seq_no"), F.col("id").cast("double").alias("t"),
+        F.pow(F.col("id") / 1000.0 - 60, 2).alias("v"),
+    )
+    t = np.arange(n, dtype=float)
+    got = sorted(r.seq_no for r in simplify.lttb(df, 100, slice_points=5000).collect())
+    assert got == series.lttb_indices(t, np.square(t / 1000 - 60), 100).tolist()
+
+
+def test_reduction_of_many_series(spark):
+    rng = np.random.default_rng(8)
+    lengths = [1, 2, 3, 5, 40, 41, 300]
+    rows = [(f"s{k}", i, 1.7e9 + i + rng.random() / 2, float(rng.normal())) for k, n in enumerate(lengths) for i in range(n)]
+    df = spark.createDataFrame(rows, "parameter string, seq_no bigint, t double, v double")
+    few = {r.parameter: r["count"] for r in simplify.lttb(df, 40, slice_points=20).groupBy("parameter").count().collect()}
+    assert few == {f"s{k}": min(n, 40) for k, n in enumerate(lengths)}
+    got = {}
+    for r in simplify.rdp(df, 0.8, block=16).collect():
+        got.setdefault(r.parameter, []).append(r.seq_no)
+    for k in range(len(lengths)):
+        own = np.array([(t, v) for name, _, t, v in rows if name == f"s{k}"])
+        assert sorted(got[f"s{k}"]) == kept_by_rdp(own[:, 0], own[:, 1], 0.8)
+    assert simplify.lttb(df.limit(0), 40).count() == simplify.rdp(df.limit(0), 1.0).count() == 0
+
+
+def test_min_max_lttb_keeps_a_spike(spark):
+    values = [math.sin(i / 30) for i in range(900)]
+    values[417] = 50.0
     df = points(spark, values)
-    whole = sorted(r.seq_no for r in series.lttb(df, 60).collect())
-    assert len(whole) == 60 and {0, 417, 899} <= set(whole)
-    split = sorted(r.seq_no for r in series.lttb(df, 60, short=7, width=64).collect())
-    assert split == whole
     reduced = sorted(r.seq_no for r in series.min_max_lttb(df, 60, width=64).collect())
     assert len(reduced) == 60 and 417 in reduced
     assert series.min_max_lttb(df, 2).count() == 2 and series.min_max_lttb(df, 1000).count() == 900
 
 
-def test_rdp_bound_and_long_path_agrees(spark):
+@pytest.mark.parametrize("block", [10, 1 << 16])
+def test_rdp_over_any_blocks(spark, block):
     rng = random.Random(6)
     values = np.cumsum([rng.choice([-1, 0, 0, 2]) for _ in range(300)])
-    df = points(spark, values)
-    whole = sorted(r.seq_no for r in series.rdp(df, 1.5).collect())
-    split = sorted(r.seq_no for r in series.rdp(df, 1.5, short=10, width=32).collect())
-    assert split == whole and len(whole) < 300
-    assert series.rdp(points(spark, [1, 2]), 0.1).count() == 2
+    t = np.array([1.7e9 + i for i in range(300)])
+    got = sorted(r.seq_no for r in simplify.rdp(points(spark, values), 1.5, block=block, width=32).collect())
+    assert got == kept_by_rdp(t, values.astype(float), 1.5) and len(got) < 300
+    assert simplify.rdp(points(spark, [1, 2]), 0.1, block=block).count() == 2
 
 
-def test_rdp_with_a_number_that_is_none(spark):
+@pytest.mark.parametrize("block", [4, 1 << 16])
+def test_rdp_with_a_number_that_is_none(spark, block):
     values = [0, 4, 1, 5, 0, float("nan"), 3, 0, 6, 1, 7, 0, 2, 9, 0]
-    df = points(spark, values)
-    whole = sorted(r.seq_no for r in series.rdp(df, 1.5).collect())
-    split = sorted(r.seq_no for r in series.rdp(df, 1.5, short=2, width=4).collect())
-    assert split == whole and 5 not in whole
+    t = np.array([1.7e9 + i for i in range(15)])
+    got = sorted(r.seq_no for r in simplify.rdp(points(spark, values), 1.5, block=block).collect())
+    assert got == kept_by_rdp(t, np.array(values, float), 1.5) and 5 not in got
 
 
 def test_latest_by_packet_then_place(spark):
