@@ -31,7 +31,9 @@ QUANTILE, SLACK, LEAST, MEMBERS = 0.99, 1.5, 0.25, 50
 #: n-grams at which the chance of a short text adds as much to its stray as a long text has.
 SHORT = 2_400
 #: Rows and characters of a dense block.
-ROWS, OCTETS = 256, 2 << 20
+ROWS, OCTETS = 128, 1 << 20
+#: Characters whose n-grams are made at once.
+PART = 1 << 18
 UNKNOWN = "und"
 
 
@@ -47,37 +49,82 @@ def letters() -> np.ndarray:
     return table
 
 
+def _symbols(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """row, letter (0: a gap) and whether it is new, in parts of about ``PART`` characters.
+
+    Runs of other characters are one gap, and every text is closed by one, so that no n-gram spans two
+    texts.  A long text comes in several parts; each begins with the last two symbols of the one before.
+    """
+
+    def letter(points: np.ndarray) -> np.ndarray:
+        low = letters()[np.minimum(points, 0x10FFFF)]
+        low[points == 0] = 0
+        return low
+
+    def part(rows: list[int], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        points = np.concatenate([x for h in held for x in (h, np.zeros(1, "<u4"))])
+        row = np.repeat(rows, [len(h) + 1 for h in held])
+        low = letter(points)
+        keep = low > 0
+        keep[1:] |= low[:-1] > 0
+        return row[keep], low[keep], np.ones(int(keep.sum()), bool)
+
+    rows: list[int] = []
+    held: list[np.ndarray] = []
+    size = 0
+    for row, text in enumerate(texts):
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
+        if len(points) <= PART:
+            rows.append(row)
+            held.append(points)
+            size += len(points)
+            if size > PART:
+                yield part(rows, held)
+                rows, held, size = [], [], 0
+            continue
+        tail, solid = np.empty(0, np.uint32), False
+        for at in range(0, len(points), PART):
+            more = points[at : at + PART]
+            low = letter(more if at + PART < len(points) else np.append(more, 0))
+            keep = low > 0
+            keep[1:] |= low[:-1] > 0
+            keep[0] |= solid
+            solid = bool(low[-1] > 0)
+            joined = np.concatenate([tail, low[keep]])
+            fresh = np.arange(len(joined)) >= len(tail)
+            yield np.full(len(joined), row), joined, fresh
+            tail = joined[-(max(ORDERS) - 1) :]
+    if held:
+        yield part(rows, held)
+
+
 def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row, feature and count of the n-grams of ``texts``, and which texts have a letter."""
-    encoded = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
-    sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-    # every text is closed by a gap, so that no n-gram spans two texts
-    points = np.frombuffer(b"\0\0\0\0".join([*encoded, b""]), "<u4")
-    row = np.repeat(np.arange(len(texts)), sizes + 1)
-    low = letters()[np.minimum(points, 0x10FFFF)]
-    low[points == 0] = 0
-    solid = low > 0
-    lettered = np.bincount(row[solid], minlength=len(texts)) > 0
-    # runs of other characters shrink to one gap
-    keep = solid.copy()
-    keep[1:] |= solid[:-1]
-    low, row = low[keep].astype(np.uint64), row[keep]
-    found = []
-    code = np.full(len(low), 0x9E3779B97F4A7C15, np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        tail = low[n - 1 :]
-        code = (code[: len(tail)] ^ tail) * np.uint64(0xFF51AFD7ED558CCD)
-        code ^= code >> np.uint64(29)
-        if n in ORDERS:
-            inside = row[: len(tail)] == row[n - 1 :]
-            if n > 1:  # a gap may begin or end an n-gram, not lie within
-                for k in range(1, n - 1):
-                    inside &= low[k : k + len(tail)] > 0
-            else:
-                inside &= low > 0
-            feature = (code * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - 14)
-            found.append(row[: len(tail)][inside] * FEATURES + feature[inside].astype(np.int64))
-    cells, n = np.unique(np.concatenate(found), return_counts=True)
+    lettered = np.zeros(len(texts), bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for row, low, fresh in _symbols(texts):
+        lettered[row[low > 0]] = True
+        code = np.full(len(low), 0x9E3779B97F4A7C15, np.uint64)
+        part = []
+        for n in range(1, max(ORDERS) + 1):
+            tail = low[n - 1 :].astype(np.uint64)
+            code = (code[: len(tail)] ^ tail) * np.uint64(0xFF51AFD7ED558CCD)
+            code ^= code >> np.uint64(29)
+            if n in ORDERS:
+                inside = (row[: len(tail)] == row[n - 1 :]) & fresh[n - 1 :]
+                if n > 1:  # a gap may begin or end an n-gram, not lie within
+                    for k in range(1, n - 1):
+                        inside &= low[k : k + len(tail)] > 0
+                else:
+                    inside &= low > 0
+                feature = (code[inside] * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - 14)
+                part.append(row[: len(tail)][inside] * FEATURES + feature.astype(np.int64))
+        found.append(np.unique(np.concatenate(part), return_counts=True))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none, none, lettered
+    cells, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([n for _, n in found]), len(cells)).astype(np.int64)
     return cells // FEATURES, cells % FEATURES, n, lettered
 
 

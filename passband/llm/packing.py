@@ -30,7 +30,7 @@ GROUP_PIECES = 16_384
 #: Rounds of local search over the bins of a group.
 ROUNDS = 4
 #: Chunks of text kept per worker with their ids.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 200_000
 
 
 class WordTokens(dict):
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, vocabulary: str | Path, size: int = 2048, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_tokens(shipped.value)
-        for batch in slices(batches, "text", 4_000, 16 << 20):
+        for batch in slices(batches, "text", 2_000, 4 << 20):
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = table.ids(text or "") + last

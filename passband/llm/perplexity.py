@@ -31,10 +31,12 @@ from passband.llm.common import slices, small, stored, text_key
 ROWS, OCTETS = 1024, 4 << 20
 ROW_BITS = 10
 MOST = 255
+#: Symbols whose trigrams are made at once.
+PART = 1 << 19
 #: Symbols beyond Unicode that stand before and after a text.
 BEGIN, END = 0x110000, 0x110001
 #: Octets of document sums a task holds before it passes them on.
-HELD = 32 << 20
+HELD = 16 << 20
 #: Steps of the perplexity scale per octave: quantiles are exact to a 500th of an octave.
 STEPS = 500
 #: A language's limit lies above its median by this multiple of the distance to the quantile.
@@ -45,25 +47,57 @@ PRIOR = 120
 INDEX = "gram bigint, block bigint, postings binary, doc_ids array<bigint>, keys array<bigint>, langs array<string>, sizes array<bigint>"
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """row and symbol in parts of about ``PART`` symbols; each text has two beginnings and an end.
+
+    A long text comes in several parts; each begins with the last two symbols of the one before, so
+    every run of three symbols lies in one part.
+    """
+    begin, end = (np.array([s], "<u4") for s in (BEGIN, END))
+    rows: list[int] = []
+    held: list[np.ndarray] = []
+    size = 0
+    for row, text in enumerate(texts):
+        points = np.concatenate([begin, begin, np.frombuffer(text.encode("utf-32-le"), "<u4"), end])
+        if len(points) <= PART:
+            rows.append(row)
+            held.append(points)
+            size += len(points)
+            if size > PART:
+                yield np.repeat(rows, [len(h) for h in held]), np.concatenate(held)
+                rows, held, size = [], [], 0
+            continue
+        for at in range(0, len(points) - 2, PART):
+            more = points[at : at + PART + 2]
+            yield np.full(len(more), row), more
+    if held:
+        yield np.repeat(rows, [len(h) for h in held]), np.concatenate(held)
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (trigram, row) pairs with counts, ordered by trigram, and symbols per row."""
-    encoded = [t.encode("utf-32-le") for t in texts]
-    sizes = np.array([len(e) // 4 + 1 for e in encoded], np.int64)
-    begin, end = (np.array([s], "<u4").tobytes() for s in (BEGIN, END))
-    points = np.frombuffer(b"".join(begin * 2 + e + end for e in encoded), "<u4")
-    row = np.repeat(np.arange(len(texts)), sizes + 2)
-    # the few symbols of a block are numbered, so that a pair fits one machine word
-    present = np.zeros(END + 1, np.int64)
-    present[points] = 1
-    symbols = np.flatnonzero(present)
-    present[symbols] = np.arange(len(symbols))
-    small_ids, base = present[points], len(symbols)
-    code = (small_ids[:-2] * base + small_ids[1:-1]) * base + small_ids[2:]
-    inside = row[:-2] == row[2:]
-    cells, n = np.unique(code[inside] << ROW_BITS | row[2:][inside], return_counts=True)
-    code = cells >> ROW_BITS
-    first, second, third = symbols[code // (base * base)], symbols[code // base % base], symbols[code % base]
-    return first << 42 | second << 21 | third, cells & ((1 << ROW_BITS) - 1), n, sizes
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for row, points in _parts(texts):
+        # the few symbols of a part are numbered, so that a pair fits one machine word
+        present = np.zeros(END + 1, np.int32)
+        present[points] = 1
+        symbols = np.flatnonzero(present)
+        present[symbols] = np.arange(len(symbols))
+        small_ids, base = present[points].astype(np.int64), len(symbols)
+        code = (small_ids[:-2] * base + small_ids[1:-1]) * base + small_ids[2:]
+        inside = row[:-2] == row[2:]
+        cells, n = np.unique(code[inside] << ROW_BITS | row[2:][inside], return_counts=True)
+        code = cells >> ROW_BITS
+        first, second, third = symbols[code // (base * base)], symbols[code // base % base], symbols[code % base]
+        gram = first << 42 | second << 21 | third
+        found.append((gram, (cells & ((1 << ROW_BITS) - 1)).astype(np.int16), n.astype(np.int32)))
+    gram, row, n = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((row, gram))
+    gram, row, n = gram[order], row[order], n[order]
+    new = np.append(True, (np.diff(gram) != 0) | (np.diff(row) != 0))
+    starts = np.flatnonzero(new)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    return gram[starts], row[starts].astype(np.int64), np.add.reduceat(n.astype(np.int64), starts), sizes
 
 
 def _planes(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

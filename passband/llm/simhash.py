@@ -32,6 +32,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Cells of the comparison table that is held at once for a crowded key.
 CELLS = 4 << 20
+#: Octets of text whose shingles are made at once.
+PART = 1 << 18
 
 
 def fingerprint(text: str | None) -> int:
@@ -39,29 +41,42 @@ def fingerprint(text: str | None) -> int:
 
     Shorter texts are one shingle, and texts without words have fingerprint zero.
     """
-    words = WORD.findall((text or "").encode().lower())
-    if not words:
-        return 0
-    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    if len(words) <= SHINGLE:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])]
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+    bits, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, SHINGLE, SEED):
+        part = hashes.view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    majority = np.packbits(2 * bits > len(hashes), bitorder="little")
+        total += len(hashes)
+    majority = np.packbits(2 * bits > total, bitorder="little")
     return int(majority.view("<u8")[0])
 
 
+def shingle_hashes(text: str | None, length: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of ``length`` words of the ASCII-lower-cased text, in parts; the whole
+    sequence is one shingle if it is shorter, and no words have none."""
+    octets = (text or "").encode().lower()
+    digest, held, some, at = xxhash.xxh64_intdigest, [], False, 0
+    while at < len(octets):
+        end = min(len(octets), at + PART)
+        while end < len(octets) and octets[end] not in b" \t\n\v\f\r":  # words stay whole
+            end += 1
+        words = held + WORD.findall(octets[at:end])
+        at = end
+        if len(words) >= length:
+            joined = b" ".join(words)
+            ends = list(accumulate(len(w) + 1 for w in words))
+            yield np.array([digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[length - 1 :])], "<u8")
+            some, held = True, words[len(words) - length + 1 :]
+        else:
+            held = words
+    if held and not some:
+        yield np.array([digest(b" ".join(held), seed)], "<u8")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, fp (the fingerprint's bits as a signed bigint) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 10_000, 64 << 20):
+        for batch in slices(batches, "text", 2_000, 8 << 20):
             values = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_key"], pa.array(values.view(np.int64))],
@@ -236,7 +251,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without a doc_id come after all others.  Where the chosen row is there several times, one
     of them stays.
     """
-    found = stored(near_duplicates(docs))
+    return chosen_ones(docs, near_duplicates(docs))
+
+
+def chosen_ones(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of ``groups`` (doc_id, text_key, root of every row)."""
+    found = stored(groups)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     chosen = found.groupBy("root").agg(F.min(order).alias("row"))
     placed = stored(
