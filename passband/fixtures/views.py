@@ -202,7 +202,12 @@ def packet_bytes(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -
 
 
 def definition(spark: SparkSession, folder: str) -> DataFrame:
-    """Declared parameters: every one the samples carry, and some no packet ever does."""
+    """Declared parameters: every one the samples carry, and some no packet ever does.
+
+    Their order is that of their numbers, and within a number of systems, not of the alphabet.
+    """
+    order = ["/Mission/view", "/Mission/error", "/Mission/signup", "/Mission/click", "/Mission/purchase"]
+    systems = F.array_position(F.array(*map(F.lit, order)), F.col("space_system")) - 1
     seen = (
         samples(spark, folder)
         .select(
@@ -214,6 +219,7 @@ def definition(spark: SparkSession, folder: str) -> DataFrame:
             .otherwise(F.array().cast("array<string>"))
             .alias("units"),
             F.lit(True).alias("plottable"),
+            (F.substring("leaf", 2, 10).cast("bigint") * 10 + systems).alias("declared"),
         )
         .distinct()
     )
@@ -223,6 +229,7 @@ def definition(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("/Mission/spare").alias("space_system"),
         F.array().cast("array<string>").alias("units"),
         (F.col("n_nationkey") % 2 == 0).alias("plottable"),
+        (F.lit(-1) - F.col("n_nationkey")).cast("bigint").alias("declared"),
     )
     return seen.unionByName(spare)
 
@@ -309,10 +316,12 @@ SQL = {
     "tlm_definition": """
         SELECT DISTINCT parameter, leaf, space_system,
                CASE space_system WHEN '/Mission/view' THEN ['m', 's'] WHEN '/Mission/error' THEN ['V'] ELSE [] END AS units,
-               true AS plottable
+               true AS plottable,
+               CAST(substr(leaf, 2, 10) AS BIGINT) * 10 + CASE space_system WHEN '/Mission/view' THEN 0 WHEN '/Mission/error' THEN 1
+                   WHEN '/Mission/signup' THEN 2 WHEN '/Mission/click' THEN 3 ELSE 4 END AS declared
         FROM tlm_sample
         UNION ALL
-        SELECT concat('/Mission/spare/', n_name), n_name, '/Mission/spare', [], n_nationkey % 2 = 0 FROM nation""",
+        SELECT concat('/Mission/spare/', n_name), n_name, '/Mission/spare', [], n_nationkey % 2 = 0, -1 - n_nationkey FROM nation""",
     "tlm_watch": """
         SELECT parameter AS name FROM tlm_definition
         WHERE space_system IN ('/Mission/error', '/Mission/view') AND TRY_CAST(substr(leaf, 2, 10) AS INTEGER) % 10 = 0
@@ -327,7 +336,7 @@ SQL = {
             SELECT n.name, coalesce(q.parameter, l.parameter) AS parameter
             FROM (SELECT name FROM tlm_watch UNION SELECT name FROM tlm_plot) n
             LEFT JOIN tlm_definition q ON q.parameter = n.name
-            LEFT JOIN (SELECT leaf, min(parameter) AS parameter FROM tlm_definition GROUP BY leaf) l ON l.leaf = n.name) r
+            LEFT JOIN (SELECT leaf, min_by(parameter, declared) AS parameter FROM tlm_definition GROUP BY leaf) l ON l.leaf = n.name) r
         WHERE parameter IS NOT NULL""",
     "tlm_watched": """
         SELECT DISTINCT r.parameter FROM tlm_resolved r""",

@@ -260,17 +260,49 @@ class Decommutator:
             {"container": F.when(F.col("_fits") == 1, F.col("container")), "reason": refusal}
         ).drop("_fits")
 
-    def _per_container(self, make) -> Column:
+    def _per_container(self, make, among: Sequence[str] | None = None) -> Column:
         """``make(name)`` for the packet's own container; the other branches are not evaluated."""
         out = None
-        for name in self.concrete:
+        for name in among or self.concrete:
             mine = F.col("container") == name
             out = F.when(mine, make(name)) if out is None else out.when(mine, make(name))
         return out
 
-    def decode(self, packets: DataFrame, clock: Clock | None = None) -> DataFrame:
+    def _needed(self, name: str, wanted: set[str], strict: bool) -> list[tuple[int, Field]]:
+        """Fields of a container to be read, with their places: those wanted, those that contexts of
+        these look at, and with ``strict`` all that may refuse a packet."""
+        fields = self.fields(name)
+        place = {f.name: i for i, f in enumerate(fields)}
+        out: set[str] = set()
+
+        def add(f: Field) -> None:
+            if f.name in out:
+                return
+            out.add(f.name)
+            for match, _ in f.kind.contexts:
+                for test in (*match.every, *match.some):
+                    if place.get(test.parameter, len(fields)) < place[f.name]:
+                        add(fields[place[test.parameter]])
+
+        for f in fields:
+            if f.name in wanted or (strict and (f.kind.kind in ("enumerated", "string") or _is_calibrated(f))):
+                add(f)
+        return [(i, f) for i, f in enumerate(fields) if f.name in out]
+
+    def decode(
+        self,
+        packets: DataFrame,
+        clock: Clock | None = None,
+        wanted: Sequence[str] | None = None,
+        *,
+        strict: bool = True,
+    ) -> DataFrame:
         """Packets with container, reason, trailing_bits, spacecraft time, time and samples.
 
+        ``wanted`` names the parameters to decode (leaf or qualified names; all by default): nothing
+        else is read from a packet but what decides about it.  A packet is refused for any of its
+        fields; without ``strict`` only for those read.
+
         A refused packet keeps its row, with a reason and no samples.  ``time`` is the
         spacecraft's where the clock parameter gives one, else that of receipt, in nanoseconds.
 
@@ -279,7 +311,17 @@ class Decommutator:
         """
         if clock is not None and clock.parameter not in self.definition.types:
             raise ValueError(f"the definition declares no parameter named {clock.parameter!r}")
-        layouts = {name: self.fields(name) for name in self.concrete}
+        prefix = self.definition.qualified("")
+        asked = set(self.definition.types if wanted is None else [w.removeprefix(prefix) for w in wanted])
+        unknown = sorted(asked - set(self.definition.types))
+        if unknown:
+            raise ValueError(f"the definition declares no parameter named {unknown[0]!r}")
+        read = asked | ({clock.parameter} if clock is not None else set())
+        placed = {name: self._needed(name, read, strict) for name in self.concrete}
+        layouts = {name: [f for _, f in fields] for name, fields in placed.items()}
+        bearing = [name for name in self.concrete if any(f.name in asked for f in layouts[name])]
+        if not bearing:
+            raise ValueError("no packet carries any of the parameters asked for")
         wide = any(_is_wide(f) for fields in layouts.values() for f in fields)
         whole_type = "decimal(20,0)" if wide else "bigint"
 
@@ -292,7 +334,7 @@ class Decommutator:
                 self._number(f).cast(to) if _is_number(f) and f.kind.ieee == real else F.lit(None).cast(to)
                 for f in layouts[name]
             ]
-            return F.array(*each)
+            return F.array(*each).cast(f"array<{to}>")
 
         matched = self.match(packets)
         size = F.length(self.octets).cast("bigint") * 8
@@ -319,7 +361,7 @@ class Decommutator:
                     else F.lit(None).cast("double")
                     for i, f in enumerate(fields)
                 ]
-            )
+            ).cast("array<double>")
 
         def labels(name: str) -> Column:
             value = values_of(name)
@@ -328,7 +370,7 @@ class Decommutator:
                     self._label(f, value(f)) if f.kind.kind == "enumerated" else F.lit(None).cast("string")
                     for f in layouts[name]
                 ]
-            )
+            ).cast("array<string>")
 
         stage = staged(
             stage,
@@ -352,10 +394,10 @@ class Decommutator:
             stage, {"reason": F.coalesce(F.col("reason"), self._per_container(refusal))}
         )
 
-        def sample(i: int, f: Field, value: Value) -> Column:
+        def sample(i: int, ordinal: int, f: Field, value: Value) -> Column:
             raw = self._raw_value(f, value)
             return F.struct(
-                F.lit(i).alias("ordinal"),
+                F.lit(ordinal).alias("ordinal"),
                 F.lit(self.definition.qualified(f.name)).alias("parameter"),
                 raw.alias("raw"),
                 self._eng_value(i, f, value, raw).alias("eng"),
@@ -363,7 +405,7 @@ class Decommutator:
 
         def samples(name: str) -> Column:
             value = values_of(name)
-            return F.array(*[sample(i, f, value) for i, f in enumerate(layouts[name])])
+            return F.array(*[sample(i, at, f, value) for i, (at, f) in enumerate(placed[name]) if f.name in asked])
 
         def stamp(name: str) -> Column:
             for i, f in enumerate(layouts[name]):
@@ -381,7 +423,7 @@ class Decommutator:
             stage.withColumns(
                 {
                     "spacecraft": F.when(fine, self._per_container(stamp)),
-                    "samples": F.when(fine, self._per_container(samples)),
+                    "samples": F.when(fine, self._per_container(samples, bearing)),
                     "container": F.when(fine, F.col("container")),
                     "trailing_bits": F.when(fine, F.col("trailing_bits")),
                 }
@@ -438,12 +480,3 @@ def header_observation(packets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("arrived"),
         F.count("apid").alias("with_header"),
     )
-
-
-def export_summary(decoded: DataFrame, cut_off: Column | None = None) -> DataFrame:
-    """Packets, rows, rejected and whether the recording ended inside a packet."""
-    return decoded.agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.coalesce(F.sum(F.size("samples").cast("bigint")).cast("bigint"), F.lit(0)).alias("rows"),
-        F.count("reason").alias("rejected"),
-    ).withColumn("truncated", F.lit(False) if cut_off is None else cut_off)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +18,16 @@ MAX_MATCHES = 512
 DEFAULT_DEPTH = 4096
 
 
+#: More than any position in a packet; a packet number times this still fits 38 digits.
+POSITIONS = Decimal(10**19)
+
+
 def arrival(packet: str = "pkt_no", ordinal: str = "ordinal") -> Column:
-    """Packet, then position in it: the order of arrival, for any number of either."""
-    return F.struct(packet, ordinal)
+    """Packet, then position in it: the order of arrival, for any number of either.
+
+    One decimal and no struct: aggregations keep it in their hash table and need not sort.
+    """
+    return F.col(packet).cast("decimal(19,0)") * F.lit(POSITIONS) + F.col(ordinal).cast("decimal(19,0)")
 
 
 def latest(
@@ -87,11 +95,11 @@ def resolve(names: DataFrame, definition: DataFrame, column: str = "name") -> Da
     """Match names against qualified names, then leaf names; one parameter per name.
 
     Two equi-joins instead of one join on an OR.  A leaf several parameters share names the
-    first of them in definition order.
+    first of them in definition order (``declared``).
     """
     qualified = definition.select(F.col("parameter").alias(column), "parameter")
     leaves = definition.groupBy(F.col("leaf").alias(column)).agg(
-        F.min("parameter").alias("parameter")
+        F.min_by("parameter", "declared").alias("parameter")
     )
     by_leaf = leaves.join(qualified, column, "left_anti")
     return names.join(qualified.unionByName(by_leaf), column)
@@ -125,9 +133,9 @@ def name_search(
     samples: DataFrame,
     limit: int = MAX_MATCHES,
 ) -> DataFrame:
-    """First ``limit`` declared names containing ``needle``, with flags and the overflow count."""
+    """First ``limit`` names containing ``needle`` in definition order, with flags and the overflow count."""
     hits = definition.filter(contains_ascii_fold(F.col("parameter"), needle))
-    kept = hits.orderBy("parameter").limit(limit).select("parameter", "space_system", "plottable")
+    kept = hits.orderBy("declared").limit(limit).select("parameter", "space_system", "plottable")
     total = hits.select(F.count(F.lit(1))).scalar()
     # ``kept`` holds at most ``limit`` rows, so it can be sent to every task of the sample scan.
     last = (

@@ -180,19 +180,6 @@ def header_observation(spark: SparkSession, folder: str) -> DataFrame:
     return decommutate.header_observation(packets.header(wire))
 
 
-@plan(
-    "export_summary",
-    "A10 S12",
-    oracle(
-        """SELECT count(*) AS packets, CAST(sum(CASE WHEN container IS NOT NULL THEN 9 ELSE 0 END) AS BIGINT) AS rows,
-                  count(reason) AS rejected, false AS truncated FROM packet""",
-        packet=PACKET_SQL,
-    ),
-)
-def export_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return decommutate.export_summary(decoded(spark, folder))
-
-
 TIMES_SQL = """
     SELECT event_id, epoch_us(ts) // 1000000 AS s, (epoch_us(ts) % 1000000) AS us, CAST(round(value * 100) AS BIGINT) AS fine, value FROM events"""
 

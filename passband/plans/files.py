@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from passband import schemas
 from passband.fixtures import mission, views
 from passband.fixtures.views import oracle
-from passband.operators import limits, store, watch
+from passband.operators import decommutate, export, limits, store, watch
 from passband.operators.chunks import recut
 from passband.operators.decommutate import explode_samples
+from passband.operators.ordered import carry
 from passband.plans.decoding import DECOMMUTATED, PACKET_SQL, decoded, tables
 from passband.plans.registry import plan
 from passband.plans.values import LATEST_SQL, STATES_SQL, TABLE_SQL, layout
@@ -118,7 +119,7 @@ def _written(spark: SparkSession, rows: DataFrame, columns: Sequence[str]) -> Da
     """Rows through a CSV file and back, as text."""
     place = _place(spark)
     exports.write_csv(rows, place)
-    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).options(**exports.CSV).csv(place)
+    return spark.read.schema(exports.csv_schema(columns)).options(**exports.CSV).csv(place)
 
 
 STAMP = "concat(strftime({0}, '%Y-%m-%dT%H:%M:%S.'), substr(strftime({0}, '%f'), 1, 3), 'Z')"
@@ -145,6 +146,137 @@ def sample_export(spark: SparkSession, folder: str) -> DataFrame:
     return back.withColumns({"eng": number, "label": F.when(number.isNull(), F.col("eng"))})
 
 
+#: Recordings of whole packets by capture, in arrival order; captures 1 and 3 end inside a packet.
+_RECORDED = {
+    "r": """SELECT *, apid % 4 AS capture_id, row_number() OVER (PARTITION BY apid % 4 ORDER BY pkt_no) AS k,
+                   count(*) OVER (PARTITION BY apid % 4) AS n FROM tlm_packet_lossy""",
+    "recorded": """SELECT pkt_no, apid, seq_count, to_timestamp((11 * k - 1) // 64) AT TIME ZONE 'UTC' AS stamp FROM r
+                   WHERE capture_id % 2 = 0 OR k < n""",
+}
+_CHUNK, _CUT = 64, 5
+
+
+def recordings(spark: SparkSession, folder: str) -> DataFrame:
+    wire = views.packet_bytes(spark, folder).select(
+        (F.col("apid") % 4).alias("capture_id"), "epoch", "pkt_no", F.col("bytes").alias("octets")
+    )
+    keys = ["capture_id", "epoch"]
+    size = F.length("octets").cast("bigint")
+    placed = carry(wire, keys, "pkt_no", sums={"_end": size}).withColumn("offset", F.col("_end") - size)
+    ends = placed.groupBy(*keys).agg((F.max("_end") - _CUT).alias("_last"))
+    cut = recut(placed.select(*keys, "offset", "octets"), keys, _CHUNK).join(F.broadcast(ends), keys)
+    # a recorder that stopped: five octets are missing at the end of every other recording
+    room = F.greatest(F.col("_last") - F.col("start"), F.lit(0)).cast("int")
+    held = F.when(F.col("capture_id") % 2 == 1, F.substring(F.col("octets"), F.lit(1), room)).otherwise(F.col("octets"))
+    return cut.select(
+        *keys, F.col("cell").alias("chunk_no"), F.col("start").alias("offset"),
+        F.timestamp_seconds("cell").alias("received"), held.alias("bytes"),
+    )
+
+
+def exported(spark: SparkSession, folder: str) -> tuple[str, export.Summary]:
+    place = _place(spark)
+    decoder = decommutate.Decommutator(definition.compile_definition(tables(spark)))
+    return place, export.export(recordings(spark, folder), decoder, place)
+
+
+@plan(
+    "recording_export",
+    "S12 S7 F15 F16 D1",
+    oracle(
+        f"""SELECT {STAMP.format("q.stamp")} AS time, {STAMP.format("q.stamp")} AS received, CAST(q.apid AS VARCHAR) AS apid,
+                   CAST(q.seq_count AS VARCHAR) AS sequence, d.parameter, CAST(d.raw AS VARCHAR) AS raw, d.eng, d.label
+            FROM samples d JOIN recorded q ON q.pkt_no = d.pkt_no""",
+        packet=PACKET_SQL,
+        samples=DECOMMUTATED,
+        **_RECORDED,
+    ),
+)
+def recording_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole recordings split, decoded, written as CSV and read back."""
+    place, _ = exported(spark, folder)
+    back = spark.read.schema(exports.csv_schema(schemas.SAMPLE_EXPORT)).options(**exports.CSV).csv(place)
+    number = F.col("eng").try_cast("double")
+    return back.withColumns({"eng": number, "label": F.when(number.isNull(), F.col("eng"))})
+
+
+@plan(
+    "export_summary",
+    "A10 S12 F16",
+    oracle(
+        """SELECT count(*) AS packets, CAST(sum(CASE WHEN container IS NOT NULL THEN 9 ELSE 0 END) AS BIGINT) AS rows,
+                  count(reason) AS rejected, (SELECT count(*) FROM packet) > count(*) AS truncated
+           FROM packet p JOIN recorded q ON q.pkt_no = p.pkt_no""",
+        packet=PACKET_SQL,
+        **_RECORDED,
+    ),
+)
+def export_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """What was observed while the same recordings were exported."""
+    _, found = exported(spark, folder)
+    row = (found.packets, found.rows, found.rejected, found.truncated)
+    return spark.createDataFrame([row], "packets bigint, rows bigint, rejected bigint, truncated boolean")
+
+
+@plan(
+    "wanted_samples",
+    "D1 D6",
+    oracle("SELECT pkt_no, ordinal, parameter, raw, label FROM samples WHERE parameter IN ('/Mission/COUNT', '/Mission/MODE')", packet=PACKET_SQL, samples=DECOMMUTATED),
+)
+def wanted_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Two parameters of all: no other field is read but those that may refuse a packet."""
+    decoder = decommutate.Decommutator(definition.compile_definition(tables(spark)))
+    wire = views.packet_bytes(spark, folder).withColumn("received_ns", views.micros("received") * 1000)
+    rows = explode_samples(decoder.decode(wire, wanted=["COUNT", "/Mission/MODE"]), ["pkt_no"])
+    return rows.select("pkt_no", "ordinal", "parameter", F.col("raw.i").cast("bigint").alias("raw"), F.col("eng.s").alias("label"))
+
+
+_LINE = 32
+
+
+def _line_recording(spark: SparkSession, folder: str) -> str:
+    """Files of fixed-length records as another program would leave them: numbers in text."""
+    place = _place(spark)
+    number = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    packets_ = views.lossy_packets(spark, folder)
+    line = F.rpad(F.concat_ws(" ", number("pkt_no", 12), number("apid", 5), number("seq_count", 6)), _LINE - 1, " ")
+    packets_.select(line.alias("value")).repartition(2).write.text(place)
+    return place
+
+
+@plan(
+    "recording_scan",
+    "S1",
+    oracle(f"SELECT CAST(count(*) * {_LINE} AS BIGINT) AS octets, CAST(count(*) AS BIGINT) AS records, true AS contiguous FROM tlm_packet_lossy"),
+)
+def recording_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw files by byte ranges: every octet once, in chunks that follow each other within a file."""
+    read = recording.scan(spark, _line_recording(spark, folder), chunk_octets=1000, range_octets=10_000)
+    breaks = F.length("bytes") - F.length(F.translate(F.decode("bytes", "ISO-8859-1"), "\n", ""))
+    files = read.groupBy("capture_id").agg(
+        F.sum(F.length("bytes").cast("bigint")).alias("octets"),
+        F.sum(breaks.cast("bigint")).alias("records"),
+        F.max(F.col("offset") + F.length("bytes")).alias("end"),
+        F.min("offset").alias("start"),
+        (F.count_distinct("chunk_no") == F.count(F.lit(1))).alias("once"),
+    )
+    fits = F.bool_and((F.col("end") == F.col("octets")) & (F.col("start") == 0) & F.col("once"))
+    return files.agg(F.sum("octets").alias("octets"), F.sum("records").alias("records"), fits.alias("contiguous"))
+
+
+@plan(
+    "fixed_records",
+    "F6 S1",
+    oracle("SELECT pkt_no, CAST(apid AS INTEGER) AS apid, CAST(seq_count AS INTEGER) AS seq_count FROM tlm_packet_lossy"),
+)
+def fixed_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 32 octets of a file are a record, wherever its ranges are cut."""
+    read = recording.fixed_records(spark, _line_recording(spark, folder), _LINE, range_octets=10_000)
+    text = F.decode("frame", "US-ASCII")
+    part = lambda a, n, kind: F.substring(text, a, n).cast(kind)
+    return read.select(part(1, 12, "bigint").alias("pkt_no"), part(14, 5, "int").alias("apid"), part(20, 6, "int").alias("seq_count"))
+
+
 @plan(
     "csv_quoting",
     "S10",

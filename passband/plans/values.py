@@ -243,7 +243,7 @@ def plotted_is_watched(spark: SparkSession, folder: str) -> DataFrame:
         """SELECT m.parameter, m.space_system, m.plottable, m.parameter IN (SELECT parameter FROM tlm_watched) AS watched,
                   l.received IS NOT NULL AS seen, l.received AS last,
                   greatest((SELECT count(*) FROM tlm_definition WHERE contains(lower(parameter), 'r/u1')) - 30, 0) AS overflow
-           FROM (SELECT * FROM tlm_definition WHERE contains(lower(parameter), 'r/u1') ORDER BY parameter LIMIT 30) m
+           FROM (SELECT * FROM tlm_definition WHERE contains(lower(parameter), 'r/u1') ORDER BY declared LIMIT 30) m
            LEFT JOIN latest l ON l.parameter = m.parameter""",
         latest=LATEST_SQL,
     ),

@@ -82,6 +82,8 @@ def scan(spark: SparkSession, path: str) -> DefinitionTables:
         F.col("_name").alias("leaf"),
         F.lit(f"/{system}").alias("space_system"),
         F.col("_parameterTypeRef").alias("type"),
+        # the reader goes through a document from front to back, so row numbers keep its order
+        F.monotonically_increasing_id().alias("declared"),
     )
     types = None
     for tag, kind in TYPE_TAGS.items():
@@ -125,6 +127,7 @@ def parameter_table(tables: DefinitionTables) -> DataFrame:
         "space_system",
         "units",
         F.col("kind").isin("integer", "float", "boolean").alias("plottable"),
+        "declared",
     )
 
 

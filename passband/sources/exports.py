@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ def history_rows(history: DataFrame) -> DataFrame:
     )
 
 
+def csv_schema(columns: Sequence[str]) -> str:
+    """All columns of an export as text, for reading it back."""
+    return ", ".join(f"`{c}` string" for c in columns)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """Partitioned write; nothing passes through the driver."""
     rows.write.mode("overwrite").options(**CSV).csv(path)

@@ -23,6 +23,22 @@ def test_file_scan_keeps_every_octet(spark, place):
     assert [r.offset for r in rows] == [100 * i for i in range(13)] and len(rows[-1].bytes) == 84
 
 
+def test_one_file_by_many_ranges(spark, place):
+    """A file is cut at multiples of the unit; tasks read their ranges alone."""
+    data = bytes(i * 7 % 251 for i in range(10_007))
+    folder = place / "a pass, März"
+    folder.mkdir()
+    (folder / "long one.bin").write_bytes(data)
+    cut = recording.ranges(spark, str(folder), 100, 1000)
+    assert cut.count() == 11 and "content" not in cut._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    rows = sorted(recording.scan(spark, str(folder), 100, range_octets=1000).collect(), key=lambda r: r.chunk_no)
+    assert b"".join(bytes(r.bytes) for r in rows) == data and [r.chunk_no for r in rows] == list(range(101))
+    records = recording.fixed_records(spark, str(folder), 64, range_octets=100).orderBy("frame_no").collect()
+    assert [bytes(r.frame) for r in records] == [data[i : i + 64] for i in range(0, 64 * 156, 64)]
+    with pytest.raises(ValueError):
+        recording.scan(spark, str(folder), 0)
+
+
 def test_fixed_records(spark, place):
     (place / "frames.bin").write_bytes(b"".join(bytes([i]) * 10 for i in range(7)))
     rows = recording.fixed_records(spark, str(place / "frames.bin"), 10).orderBy("frame_no").collect()

@@ -112,6 +112,22 @@ def test_calibration_contexts(spark):
     with pytest.raises(ValueError):
         decoder.decode(df, decommutate.Clock("NOPE", "cuc"))
 
+    # only what is asked for is decoded: the same samples, the same refusals, fewer fields read
+    whole = {r.pkt_no: r for r in out.values()}
+    for wanted in (["VOLTS"], ["/Oven/WARMTH", "DOOR"], ["KIND", "DAMPER"]):
+        names = {w.rsplit("/", 1)[-1] for w in wanted}
+        for r in decoder.decode(df, wanted=wanted).collect():
+            full = whole[r.pkt_no]
+            assert (r.reason, r.container, r.trailing_bits) == (full.reason, full.container, full.trailing_bits)
+            assert (r.samples or []) == [s for s in full.samples or [] if s.parameter.rsplit("/", 1)[1] in names]
+    reads = lambda d: d._jdf.queryExecution().analyzed().toString().count("substring")
+    one = decoder.decode(df, wanted=["VOLTS"], strict=False)
+    assert reads(one) < reads(decoder.decode(df, wanted=["VOLTS"])) < reads(decoder.decode(df))
+    loose = {r.pkt_no: r.reason for r in one.collect()}
+    assert loose[list(rows).index("no such state")] is None
+    with pytest.raises(ValueError):
+        decoder.decode(df, wanted=["NOPE"])
+
 
 def test_text_that_is_none(spark):
     types = (
