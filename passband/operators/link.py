@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from passband.functions.bits import floor_div
 from passband.operators.channels import ONLY_IDLE_DATA
 from passband.operators.ordered import DEFAULT_WIDTH, carry
+from passband.operators.packets import is_idle
 
 #: The counters of one link, in report order.
 COUNTERS = (
@@ -65,10 +66,26 @@ def frame_counters(frames: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def packet_counters(missed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The decode stage's share: packets, gaps, missing, and the instant of the last packet."""
+def assembly_counters(whole: DataFrame, losses: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The packet stage's share: packets handed on, idle ones dropped, partial ones lost.
+
+    ``whole`` are packets with their header, ``losses`` the residual rows beside them.
+    """
+    idle = F.coalesce(is_idle(F.col("apid")), F.lit(False))
+    counted = whole.groupBy(*keys).agg(_count(~idle).alias("packets_in"), _count(idle).alias("idle_packets"))
+    lost = losses.groupBy(*keys).agg(F.sum(F.col("lost").cast("bigint")).alias("packets_lost"))
+    return counted.unionByName(lost, allowMissingColumns=True)
+
+
+def decode_counters(decoded: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Packets the definition describes, and those it refuses."""
+    fine = F.col("reason").isNull()
+    return decoded.groupBy(*keys).agg(_count(fine).alias("packets_decoded"), _count(~fine).alias("packets_rejected"))
+
+
+def gap_counters(missed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Breaks in sequence counts and what they leave out, and the instant of the last packet."""
     return missed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("packets_in"),
         _count(F.col("missed") > 0).alias("sequence_gaps"),
         F.coalesce(F.sum(F.col("missed").cast("bigint")), F.lit(0)).alias("sequence_missing"),
         F.max("received").alias("last_packet"),

@@ -424,8 +424,39 @@ def cut_frames(
     )
 
 
-def sync_counters(starts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Frames cut and markers seen per recording."""
-    return starts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("frames_seen"), F.count(F.when(F.col("found"), 1)).alias("sync_found")
+def sync_counters(
+    starts: DataFrame,
+    totals: DataFrame,
+    frame_length: int,
+    *,
+    marker_bytes: int = len(MARKER),
+    flywheel: int = FLYWHEEL,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """bytes_in, sync_found and sync_lost per recording, from what :func:`frame_starts` found.
+
+    Lock was lost between two markers that are no whole number of frames apart, or more than the
+    flywheel bridges; and at the end of a recording that goes on for longer than that.
+    """
+    stride = marker_bytes + frame_length
+    most = (flywheel + 1) * stride
+    seen = starts.filter("found").select(*keys, ((F.col("start") - marker_bytes) * 8 + F.col("bit")).alias("_mark"))
+    step = F.col("_mark") - F.col("_before")
+    held = (step % (8 * stride) == 0) & (step <= 8 * most)
+    between = (
+        carry(seen, keys, "_mark", previous={"_before": "_mark"})
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("sync_found"),
+            F.count(F.when(F.col("_before").isNotNull() & ~held, 1)).alias("_lost"),
+            F.max("_mark").alias("_last"),
+        )
+    )
+    bridged = F.ceil(F.col("_last") / 8).cast("bigint") + most + stride
+    joined = totals.select(*keys, "total").join(between, list(keys), "left")
+    return joined.select(
+        *keys,
+        F.col("total").alias("bytes_in"),
+        F.coalesce("sync_found", F.lit(0)).alias("sync_found"),
+        (F.coalesce("_lost", F.lit(0)) + F.when(bridged <= F.col("total"), 1).otherwise(0)).alias("sync_lost"),
     )

@@ -6,7 +6,7 @@ import importlib
 
 from passband.plans.registry import PLANS, Plan
 
-SUBJECTS = ("quality", "values", "decoding", "plotting", "framing", "live", "files")
+SUBJECTS = ("quality", "values", "decoding", "plotting", "framing", "statistics", "live", "files")
 
 
 def load() -> dict[str, Plan]:

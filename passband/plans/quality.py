@@ -204,32 +204,6 @@ FRAME_COUNTERS_SQL = """
     count(CASE WHEN status = 'ok' AND sync_flag = 0 AND fhp = 2046 THEN 1 END) AS idle_frames"""
 
 
-@plan(
-    "link_stats",
-    "A1",
-    oracle(
-        """SELECT p.bytes_in, CAST(0 AS BIGINT) AS sync_found, CAST(0 AS BIGINT) AS sync_lost,
-                  f.*, CAST(0 AS BIGINT) AS idle_packets, p.packets_in, CAST(0 AS BIGINT) AS packets_decoded,
-                  CAST(0 AS BIGINT) AS packets_rejected, CAST(0 AS BIGINT) AS packets_lost,
-                  p.sequence_gaps, p.sequence_missing, p.last_packet
-           FROM fc f JOIN pc p ON true""",
-        missed=MISSED_SQL,
-        fc=f"SELECT {FRAME_COUNTERS_SQL} FROM tlm_frame",
-        pc="""SELECT count(*) AS packets_in, count(CASE WHEN missed > 0 THEN 1 END) AS sequence_gaps,
-                     CAST(sum(missed) AS BIGINT) AS sequence_missing, max(received) AS last_packet,
-                     CAST(sum(pkt_len) AS BIGINT) AS bytes_in FROM missed""",
-    ),
-)
-def link_stats(spark: SparkSession, folder: str) -> DataFrame:
-    packets = views.lossy_packets(spark, folder)
-    stages = [
-        packets.agg(F.sum(F.col("pkt_len").cast("bigint")).alias("bytes_in")),
-        link.frame_counters(views.frames(spark, folder)),
-        link.packet_counters(gaps.with_missed(packets)),
-    ]
-    return link.link_stats(stages)
-
-
 @plan(
     "frame_loss",
     "A7",
