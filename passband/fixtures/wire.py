@@ -7,8 +7,12 @@ are written once (``pin``) and read by the jobs like one.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from passband.fixtures import views
 from passband.functions.bits import floor_div, to_octets
@@ -26,6 +30,8 @@ CAPTURE_KEYS = ("capture_id", "epoch")
 #: Octets of a frame (header, data, checksum), and of a frame with its marker.
 FRAME = 6 + DATA + 2
 UNIT = 4 + FRAME
+#: Octets of a code block and its check symbols.
+BLOCK, PARITY = 255, 32
 
 
 def packet_streams(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -86,9 +92,34 @@ def frames(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> Data
     )
 
 
-def recording(spark: SparkSession, folder: str, *, randomised: bool = False) -> DataFrame:
+@pandas_udf(BinaryType())
+def code_block(frames: pd.Series) -> pd.Series:
+    """Frames, filled up with zeros, and their check symbols: remainders by the code's polynomial."""
+    antilog, log, conventional = coding.field()
+    dual = np.argsort(conventional)
+    times = lambda a, b: np.where((a == 0) | (b == 0), 0, antilog[(log[a] + log[b]) % 255])
+    product = np.array([1])
+    for j in range(PARITY):
+        root = antilog[coding.ROOT_SPACING * (coding.FIRST_ROOT[PARITY] + j) % 255]
+        product = np.append(product, 0) ^ np.append(0, times(product, root))
+    held = np.zeros((len(frames), BLOCK - PARITY), np.uint8)
+    for row, frame in enumerate(frames):
+        held[row, : len(frame)] = np.frombuffer(frame, np.uint8)
+    symbols, rest = conventional[held], np.zeros((len(frames), PARITY), np.int64)
+    for k in range(symbols.shape[1]):
+        lead = symbols[:, k] ^ rest[:, 0]
+        rest = np.append(rest[:, 1:], np.zeros((len(frames), 1), np.int64), axis=1) ^ times(lead[:, None], product[1:][None])
+    whole = np.concatenate([held, dual[rest].astype(np.uint8)], axis=1)
+    return pd.Series([row.tobytes() for row in whole])
+
+
+def recording(
+    spark: SparkSession, folder: str, *, randomised: bool = False, coded: bool = False
+) -> DataFrame:
     """Frames with markers as one stream per capture, in chunks of 256 octets.
 
+    With ``coded`` every frame lies in a code block, and one block in twenty-nine is damaged.
+
     Two markers in forty are wiped out (the flywheel bridges them), and 17 octets of noise are
     slipped in before every fortieth frame (lock is lost and found again).
     """
@@ -97,10 +128,15 @@ def recording(spark: SparkSession, folder: str, *, randomised: bool = False) ->
     rank = F.col("_k") - 1
     marker = F.when((rank % 40).isin(10, 25), F.unhex(F.lit("00000000"))).otherwise(F.unhex(F.lit(MARKER)))
     noise = F.when((rank % 40 == 39), F.unhex(F.lit("55" * 17))).otherwise(F.unhex(F.lit("")))
+    unit = 4 + BLOCK if coded else UNIT
+    if coded:
+        damage = F.unhex(F.concat(F.lit("00" * 30 + "5A"), F.repeat(F.lit("00"), F.lit(BLOCK - 31))))
+        hit = F.when(rank % 29 == 5, damage).otherwise(F.unhex(F.lit("00" * BLOCK)))
+        ranked = ranked.withColumn("frame", coding.combine(code_block("frame"), hit))
     frame = coding.derandomise("frame") if randomised else F.col("frame")
     units = ranked.select(
         *CAPTURE_KEYS,
-        (rank * UNIT + F.floor(rank / 40) * 17).alias("offset"),
+        (rank * unit + F.floor(rank / 40) * 17).alias("offset"),
         F.concat(noise, marker, frame).alias("octets"),
     )
     cut = recut(units, CAPTURE_KEYS, 256)

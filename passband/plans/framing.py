@@ -9,7 +9,7 @@ from passband.fixtures import views, wire
 from passband.fixtures.views import oracle
 from passband.functions.bits import to_octets
 from passband.functions.checksum import crc16, crc32c
-from passband.operators import chunks, coding, csp, frames, markers, packets, pus, stream_split
+from passband.operators import chunks, coding, csp, frames, markers, packets, pus, recovery, stream_split
 from passband.operators.frames import FrameLayout
 from passband.plans.registry import plan
 from passband.session import pin
@@ -189,17 +189,62 @@ def frames_to_packets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@plan("recovered_packets", "F23")
+#: The coded recording: what frames come through sync, and of these the undamaged ones.
+CODED_SQL = {
+    **WIRE_SQL,
+    **STREAM_SQL,
+    "tlm_sent": WIRE_SQL["tlm_frames"],
+    "ranked": STREAM_SQL["ranked"].replace("tlm_frames", "tlm_sent"),
+    "tlm_frames": "SELECT * FROM locked WHERE r % 29 <> 5",
+}
+
+
+def coded_frames(spark: SparkSession, folder: str, randomised: bool = True) -> DataFrame:
+    """Frames out of a randomised, coded recording; ``randomised`` false skips the derandomiser."""
+    layer = recovery.CodingLayer(randomised, wire.PARITY)
+    return recovery.recovered_frames(
+        wire.recording(spark, folder, randomised=True, coded=True), FRAME, LAYOUT, layer, chunk_octets=256
+    )
+
+
+@plan(
+    "recovered_packets",
+    "F23 F7 F8",
+    oracle(
+        """SELECT CAST(capture_id AS BIGINT) AS capture_id, apid, count(*) AS packets, CAST(sum(size) AS BIGINT) AS octets
+           FROM tlm_fate WHERE whole AND NOT idle GROUP BY 1, 2""",
+        **CODED_SQL,
+    ),
+)
 def recovered_packets(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole chain, down to packets per APID."""
-    _, cut = sliced_frames(wire.recording(spark, folder, randomised=True))
-    clear = cut.withColumns(
-        {"frame": coding.derandomise("frame"), "received": F.timestamp_seconds(F.col("frame_no"))}
+    """The whole chain, down to packets per APID: frames of damaged blocks break the packets in them."""
+    frames_ = coded_frames(spark, folder).withColumn("received", F.timestamp_seconds(F.col("frame_no")))
+    whole = recovery.recovered_packets(frames_)
+    return whole.groupBy(F.col("capture_id").cast("bigint").alias("capture_id"), "apid").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.length("bytes").cast("bigint")).alias("octets")
     )
-    parsed = pin(frames.parse(clear, LAYOUT).filter(F.col("status") == "ok"))
-    whole = packets.header(packets.segment_packets(packets.segments(parsed)))
-    return whole.filter(~packets.is_idle(F.col("apid"))).groupBy("capture_id", "apid").agg(
-        F.count(F.lit(1)).alias("packets"), F.sum(F.length("bytes")).alias("octets")
+
+
+@plan(
+    "coding_order",
+    "F23 F7 F8 F10",
+    oracle(
+        """SELECT CAST(capture_id AS BIGINT) AS capture_id, derandomised, count(*) AS clean, CASE WHEN derandomised THEN count(*) ELSE 0 END AS ok
+           FROM tlm_frames CROSS JOIN (VALUES (true), (false)) o(derandomised) GROUP BY 1, 2""",
+        **CODED_SQL,
+    ),
+)
+def coding_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks that screen clean, and good frames in them, with the derandomiser and without it.
+
+    Left out, it shows in no block, for its sequence is a code word; but no frame makes sense.
+    """
+    each = [
+        coded_frames(spark, folder, randomised).withColumn("derandomised", F.lit(randomised)) for randomised in (True, False)
+    ]
+    both = each[0].unionByName(each[1])
+    return both.groupBy(F.col("capture_id").cast("bigint").alias("capture_id"), "derandomised").agg(
+        F.count(F.when(~F.col("dirty"), 1)).alias("clean"), F.count(F.when(F.col("status") == "ok", 1)).alias("ok")
     )
 
 

@@ -199,7 +199,7 @@ def restart_epochs(spark: SparkSession, folder: str) -> DataFrame:
 @plan(
     "stream_status",
     "R6",
-    oracle("SELECT apid % 4 AS capture_id, count(*) AS packets_in, CAST(sum(pkt_len) AS BIGINT) AS bytes_in FROM tlm_packet_lossy GROUP BY 1"),
+    oracle("SELECT apid % 4 AS capture_id, count(*) AS packets_in, CAST(sum(pkt_len) AS BIGINT) AS bytes_in, max(received) AS last_packet FROM tlm_packet_lossy GROUP BY 1"),
 )
 def stream_status(spark: SparkSession, folder: str) -> DataFrame:
     """Status lines of the last micro-batch of each stream."""
@@ -207,7 +207,7 @@ def stream_status(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("apid") % 4).alias("capture_id"), "pkt_no", "pkt_len", F.col("received").cast("timestamp").alias("received")
     )
     place, rows = _stream_of(spark, packets, "pkt_no")
-    return newest(status.status_lines(rows), place, ["capture_id"], ["packets_in", "bytes_in"])
+    return newest(status.status_lines(rows), place, ["capture_id"], ["packets_in", "bytes_in", "last_packet"])
 
 
 @plan(
