@@ -187,7 +187,7 @@ FROM j LEFT JOIN t{steps} t ON j.host = t.host LEFT JOIN x{steps} x ON j.host =
 
 
 def op9_compression_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.judged(table(spark, folder, "documents"))
+    return rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,9 @@ upper limit of a length class is repetitive text, one below the lower limit is n
 compress little whatever they hold, so each class has limits of its own.  Encoded binary is text of
 ASCII alone and compresses to the bits of its alphabet, which clean text of other scripts nearly does
 when short; so texts that are nearly all ASCII have a lower limit of their own, above encoded noise.
+
+The ratio of clean prose grows with its length and varies little.  Where there are labels, the ratios
+of trusted texts set much closer limits for whole texts, one pair for every half octave of lengths.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passband.llm.common import WORD, slices
+from passband.llm.common import WORD, slices, small, stored
+from passband.llm.perplexity import trusted_ids
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
@@ -46,6 +50,10 @@ ASCII_BANDS = (Band(0, 0.0, float("inf")), Band(512, 1.3, float("inf")), Band(10
 #: A document is rejected if more than this share of its judged chunks, or so many in a row, are out of their bands.
 CHUNK_SHARE, CHUNK_RUN = 0.2, 2
 
+#: Limits from trusted texts: quantiles of a class and room beyond them, trusted texts that a class
+#: needs, bytes from which texts are judged so, and steps of the scale that quantiles are counted on.
+QUANTILE, MARGIN, MEMBERS, LEAST, STEPS = 0.999, 0.02, 20, 256, 1000
+
 
 def band(bands: Sequence[Band], length: int) -> Band:
     return [b for b in bands if b.length <= length][-1]
@@ -109,7 +117,7 @@ def judge(text: str | None) -> tuple:
             longest = max(longest, run)
     share = out / judged if judged else 0.0
     within = inside(DOCUMENT_BANDS, octets, ratio) and share <= CHUNK_SHARE and longest < CHUNK_RUN
-    return n, solid, len(SYMBOLS.findall(text)), duplicate_lines(text), repeats, failed, not failed and within, ratio, share
+    return n, solid, len(SYMBOLS.findall(text)), duplicate_lines(text), repeats, failed, not failed and within, ratio, share, len(octets)
 
 
 OUT = (
@@ -122,17 +130,18 @@ OUT = (
     ("kept", pa.bool_()),
     ("zstd_ratio", pa.float64()),
     ("chunks_out", pa.float64()),
+    ("n_bytes", pa.int64()),
 )
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Word features, compression ratios and verdict of every document, one row per row.
+def features(docs: DataFrame) -> DataFrame:
+    """Word features, compression ratios and the verdict of the fixed bands, one row per row.
 
     A null or empty text has no words and fails the base rules; repeated rows are judged each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4_000, 16 << 20):
+        for batch in slices(batches, "text", 2_000, 4 << 20):
             columns = list(zip(*map(judge, batch["text"].to_pylist()))) or [()] * len(OUT)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *(pa.array(c, kind) for c, (_, kind) in zip(columns, OUT))],
@@ -142,5 +151,48 @@ def judged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         run,
         "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-        "n_repeat_words bigint, base_failed boolean, kept boolean, zstd_ratio double, chunks_out double",
+        "n_repeat_words bigint, base_failed boolean, kept boolean, zstd_ratio double, chunks_out double, n_bytes bigint",
     )
+
+
+def length_class() -> Column:
+    """Half octaves of the length in bytes."""
+    return F.floor(2 * F.log2("n_bytes")).cast("int")
+
+
+def limits(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """class, low, high: limits of ratios from the trusted texts of each length class.
+
+    Quantiles are counted on a scale of bounded length, so no task holds the texts of a class.
+    Classes with fewer than ``MEMBERS`` trusted texts have no row.
+    """
+    good = found.filter(~F.col("base_failed") & (F.col("n_bytes") >= LEAST)).join(trusted_ids(labels), "doc_id", "left_semi")
+    step = F.floor(F.col("zstd_ratio") * STEPS).cast("bigint")
+    bins = good.groupBy(length_class().alias("class"), step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy("class")
+    seen = F.sum("n").over(of.orderBy("step"))
+    counted = bins.select("class", "step", seen.alias("seen"), F.sum("n").over(of).alias("all"))
+    low = F.min(F.when(F.col("seen") > (1 - QUANTILE) * F.col("all"), F.col("step")))
+    high = F.min(F.when(F.col("seen") >= QUANTILE * F.col("all"), F.col("step")))
+    return (
+        counted.groupBy("class")
+        .agg(low.alias("low"), high.alias("high"), F.max("all").alias("all"))
+        .filter(F.col("all") >= MEMBERS)
+        .select("class", (F.col("low") / STEPS * (1 - MARGIN)).alias("low"), ((F.col("high") + 1) / STEPS * (1 + MARGIN)).alias("high"))
+    )
+
+
+def judged(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """:func:`features` with the limits that trusted texts set, where there are labels.
+
+    A document is kept if it passes the base rules, the fixed bands and the limits of its length
+    class.  Texts below ``LEAST`` bytes and classes without limits are left to the fixed bands.
+    """
+    if labels is None:
+        return features(docs)
+    found = stored(features(docs))
+    known = small(stored(limits(found, labels)), 32)
+    cls = F.when(F.col("n_bytes") >= LEAST, length_class()).alias("class")
+    near = found.withColumn("class", cls).join(known, "class", "left")
+    within = F.coalesce(F.col("zstd_ratio").between(F.col("low"), F.col("high")), F.lit(True))
+    return near.select(*(F.col(c) if c != "kept" else (F.col("kept") & within).alias("kept") for c in found.columns))

@@ -1,6 +1,7 @@
 """Operator 9: features against plain counting, verdicts on plain cases."""
 
 import base64
+import math
 import random
 from collections import Counter
 
@@ -92,5 +93,31 @@ def test_whole_query(spark):
     for i, r in got.items():
         assert features(r) == plain(texts[i])
         assert not (r.kept and r.base_failed)
-        if i in labels and labels[i].quality == 1 and not r.base_failed:
-            assert r.kept
+
+
+def test_limits_of_trusted_texts(spark):
+    """Verdicts against limits computed from all ratios in one place; junk goes, clean texts stay."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    good = {i for i, l in labels.items() if l.quality == 1 and not l.toxic}
+    rows = queries.op9_compression_rules(spark, folder).collect()
+    ratios: dict = {}
+    for r in rows:
+        if r.doc_id in good and not r.base_failed and r.n_bytes >= rules.LEAST:
+            ratios.setdefault(math.floor(2 * math.log2(r.n_bytes)), []).append(math.floor(r.zstd_ratio * 1000))
+    known = {}
+    for c, values in ratios.items():
+        values.sort()
+        if len(values) >= rules.MEMBERS:
+            low = next(v for k, v in enumerate(values) if sum(x <= v for x in values) > 0.001 * len(values))
+            high = next(v for v in values if sum(x <= v for x in values) >= 0.999 * len(values))
+            known[c] = (low / 1000 * 0.98, (high + 1) / 1000 * 1.02)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in rows[::7]:
+        fixed = rules.judge(texts[r.doc_id])[6]
+        low, high = known.get(math.floor(2 * math.log2(r.n_bytes)) if r.n_bytes >= rules.LEAST else None, (0, 99))
+        assert r.kept == (fixed and low <= r.zstd_ratio <= high)
+    passed = [r for r in rows if not r.base_failed]
+    kept = [sum(r.kept for r in passed if r.doc_id in group) / sum(r.doc_id in group for r in passed) for group in (good, {i for i, l in labels.items() if l.quality == 0})]
+    print("kept of good and of junk that pass the base rules:", kept)
+    assert kept[0] >= 0.99 and kept[1] <= 0.4
