@@ -39,11 +39,25 @@ def test_recall_within_larger_blocks(spark):
     rng = np.random.default_rng(2)
     points = rng.standard_normal((6000, 24))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    index, hit = neighbours.Index(points), 0
+    index, hit, verified = neighbours.Index(points), 0, 0
     for q, found in zip(range(0, 6000, 200), index.candidates(points[::200], 11)):
         want = np.argsort(np.square(points - points[q]).sum(axis=1))[1:11]
         hit += len(set(want) & set(found))
-    assert hit / 300 >= 0.9
+        verified += len(found)
+    assert hit / 300 >= 0.9 and verified <= 0.25 * 30 * 6000
+
+
+def test_windows_decide_at_every_size():
+    """Small blocks are not verified whole either, and what is verified grows with the root of a block."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (200, 1000, 5000):
+        points = rng.standard_normal((n, 32))
+        index = neighbours.Index(points)
+        found = index.candidates(points[:20], 11)
+        assert all(index.enough(11) <= len(f) < n for f in found)
+        shares.append(sum(map(len, found)) / (20 * n))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.3
 
 
 def test_odd_vectors(spark):
