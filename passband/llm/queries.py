@@ -145,44 +145,49 @@ def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
 
 
-def op8_sql(steps: int = url_filter.STEPS) -> str:
-    """Rules, seeds and ranks as SQL; the steps of the propagation are written out one by one."""
-    fits = lambda r: (
-        f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+def op8_sql(steps: int = 150) -> str:
+    """Rules, seeds and ranks as SQL; ranks are followed for so many steps, far beyond where they settle."""
+    fits = lambda r, h, p: (
+        f"({h} = '{r.host}' OR ends_with({h}, '.{r.host}')) AND starts_with({p}, '{r.path}')"
     )
     ordered = sorted(url_filter.RULES, key=lambda r: -len(r.name))
-    rule = " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in ordered)
-    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in ordered)
+    case = lambda part, h, p: "CASE " + " ".join(f"WHEN {fits(r, h, p)} THEN '{getattr(r, part)}'" for r in ordered) + " END"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     host = lambda c: f"coalesce(translate(regexp_extract({c}, '^.*?://([^/?#]*)', 1, 's'), '{upper}', '{lower}'), '')"
+    path = lambda c: f"coalesce(regexp_extract({c}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
     parts = [
-        f"u AS MATERIALIZED (SELECT page_id, {host('url')} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages)",
-        f"j AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS rv FROM u)",
+        f"u AS MATERIALIZED (SELECT page_id, {host('url')} AS host, {path('url')} AS path FROM pages)",
+        f"j AS MATERIALIZED (SELECT *, {case('name', 'host', 'path')} AS rule, {case('verdict', 'host', 'path')} AS rv FROM u)",
         "l AS (SELECT url, unnest(regexp_extract_all(html, 'href\\s*=\\s*[\"'']?([a-z][a-z0-9+.-]*://[^\"''\\s>]*)', 1, 'i')) AS link FROM pages)",
-        f"e0 AS (SELECT {host('url')} AS src, {host('link')} AS dst FROM l)",
-        "e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM e0 WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)",
-        f"""h AS MATERIALIZED (SELECT host, max(a) > {url_filter.SEED_SHARE} AS trusted, max(b) > {url_filter.SEED_SHARE} AS blocked FROM (
-              SELECT host, avg((coalesce(rv, '') = 'allow')::INT) AS a, avg((coalesce(rv, '') = 'block')::INT) AS b FROM j WHERE host <> '' GROUP BY host
-              UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e) GROUP BY host)""",
+        f"e0 AS (SELECT {host('url')} AS src, {host('link')} AS dst, {path('link')} AS path FROM l)",
+        f"e1 AS MATERIALIZED (SELECT src, dst, {case('verdict', 'dst', 'path')} AS rv FROM e0 WHERE src <> '' AND dst <> '' AND src <> dst)",
+        "e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM e1 GROUP BY ALL)",
+        # pages of a host and links to it tell together what it is
+        f"""h AS MATERIALIZED (SELECT host, avg((coalesce(rv, '') = 'allow')::INT) FILTER (told) > {url_filter.SEED_SHARE} AS trusted,
+                     avg((coalesce(rv, '') = 'block')::INT) FILTER (told) > {url_filter.SEED_SHARE} AS blocked FROM (
+              SELECT host, rv, true AS told FROM j WHERE host <> '' UNION ALL SELECT dst, rv, true FROM e1 UNION ALL SELECT src, NULL, false FROM e)
+            GROUP BY host)""",
     ]
     d = url_filter.DAMPING
     for name, seed, src, dst in (("t", "trusted", "src", "dst"), ("x", "blocked", "dst", "src")):
         parts += [
             f"{name}s AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM e)",
             f"{name}b AS MATERIALIZED (SELECT host, CASE WHEN {seed} THEN 1.0::DOUBLE / (SELECT count(*) FROM h WHERE {seed}) ELSE 0 END AS start FROM h)",
-            f"{name}0 AS (SELECT host, start AS rank FROM {name}b)",
+            f"""{name}r AS (
+              SELECT 0 AS k, host, start AS rank FROM {name}b WHERE EXISTS (SELECT 1 FROM e)
+              UNION ALL
+              SELECT k, host, start * ({1 - d} + {d} * (1 - coalesce(sum(got) OVER (), 0))) + {d} * coalesce(got, 0)
+              FROM (SELECT (SELECT max(k) + 1 FROM {name}r) AS k, b.host, start, got FROM {name}b b LEFT JOIN (
+                      SELECT dst AS host, sum(rank * share) AS got FROM {name}r JOIN {name}s ON host = src GROUP BY dst) g ON g.host = b.host
+                    WHERE (SELECT max(k) FROM {name}r) < {steps}) i)""",
+            f"{name} AS (SELECT host, rank FROM {name}r WHERE k = {steps} UNION ALL SELECT host, start FROM {name}b WHERE NOT EXISTS (SELECT 1 FROM e))",
         ]
-        for k in range(1, steps + 1):
-            parts += [
-                f"{name}g{k} AS MATERIALIZED (SELECT dst AS host, sum(rank * share) AS got FROM {name}{k - 1} JOIN {name}s ON host = src GROUP BY dst)",
-                f"{name}{k} AS MATERIALIZED (SELECT host, start * ({1 - d} + {d} * (1 - coalesce((SELECT sum(got) FROM {name}g{k}), 0))) + {d} * coalesce(got, 0) AS rank FROM {name}b LEFT JOIN {name}g{k} USING (host))",
-            ]
     n = "(SELECT count(*) FROM h)"
     return (
-        "WITH " + ",\n".join(parts) + f"""
+        "WITH RECURSIVE " + ",\n".join(parts) + f"""
 SELECT page_id, j.host, path, rule,
        coalesce(rv, CASE WHEN x.rank * {n} > {url_filter.FLOOR} AND x.rank > t.rank THEN 'block' END, 'allow') AS verdict
-FROM j LEFT JOIN t{steps} t ON j.host = t.host LEFT JOIN x{steps} x ON j.host = x.host"""
+FROM j LEFT JOIN t ON j.host = t.host LEFT JOIN x ON j.host = x.host"""
     )
 
 

@@ -39,7 +39,9 @@ RULES = (
 )
 #: Share of a host's pages and of links to it under rules of one verdict that makes it a seed.
 SEED_SHARE = 0.5
-DAMPING, STEPS = 0.85, 10
+DAMPING = 0.85
+#: What ranks may still move, all hosts together, as a share of what one host has if all have the same.
+SETTLED = 0.01
 #: A host is blocked if its distrust, as a multiple of an even share among all hosts, exceeds the
 #: floor and its trust.
 FLOOR = 0.5
@@ -88,39 +90,38 @@ def host_links(pages: DataFrame, rules: Sequence[Rule] | None = None) -> DataFra
     )
 
 
-def spread(hosts: DataFrame, edges: DataFrame, seed: str, steps: int = STEPS) -> DataFrame:
+def spread(hosts: DataFrame, edges: DataFrame, seed: str, settled: float = SETTLED) -> DataFrame:
     """host, rank: personalised PageRank from the hosts where ``seed`` holds, along src -> dst.
 
     Edges count by how often they are linked.  What hosts without links hold goes back to the seeds.
-    A fixed number of steps leaves less than ``DAMPING ** steps`` of the mass to settle.  Every step
-    is written out, and a host with very many links only has its shares summed before they move.
+    A step leaves at most ``DAMPING`` of the distance to the final ranks, so what is still to come is
+    bounded by the last change; the steps end when that is below ``settled`` of an even share.  Every
+    step is written out, and a host with very many links only has its shares summed before they move.
     """
-    seeds = hosts.filter(seed).count()
+    size, seeds = hosts.agg(F.count(F.lit(1)), F.count_if(F.col(seed))).first()
     start = F.when(F.col(seed), F.lit(1.0 / seeds) if seeds else F.lit(0.0)).otherwise(F.lit(0.0))
     base = stored(hosts.select("host", start.alias("start")))
     if not seeds or edges.isEmpty():
         return base.select("host", F.col("start").alias("rank"))
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     shares = stored(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")))
-    ranks = base.select("host", F.col("start").alias("rank"))
-    for _ in range(steps):
+    ranks = base.select("host", "start", F.col("start").alias("rank"))
+    while True:
         moved = (
             ranks.join(shares, ranks.host == shares.src)
             .groupBy(F.col("dst").alias("host"))
             .agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
-        held = stored(
-            base.join(moved, "host", "left").select("host", "start", F.coalesce("got", F.lit(0.0)).alias("got"))
-        )
-        lost = F.lit(1.0 - float(held.agg(F.sum("got")).first()[0]))
-        ranks = held.select(
-            "host",
-            (F.col("start") * ((1 - DAMPING) + DAMPING * lost) + DAMPING * F.col("got")).alias("rank"),
-        )
-    return ranks
+        held = stored(ranks.join(moved, "host", "left").select("host", "start", "rank", F.coalesce("got", F.lit(0.0)).alias("got")))
+        lost = 1.0 - float(held.agg(F.sum("got")).first()[0])
+        to = F.col("start") * ((1 - DAMPING) + DAMPING * F.lit(lost)) + DAMPING * F.col("got")
+        change = float(held.agg(F.sum(F.abs(to - F.col("rank")))).first()[0])
+        ranks = held.select("host", "start", to.alias("rank"))
+        if change * DAMPING / (1 - DAMPING) * size <= settled:
+            return ranks.select("host", "rank")
 
 
-def host_verdicts(pages: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
+def host_verdicts(pages: DataFrame, edges: DataFrame, settled: float = SETTLED) -> DataFrame:
     """host, trust, distrust, host_verdict from pages with rules (:func:`ruled`) and host links.
 
     Links seed together with pages if they were counted with rules, else pages alone do.
@@ -145,15 +146,15 @@ def host_verdicts(pages: DataFrame, edges: DataFrame, steps: int = STEPS) -> Dat
     )
     n = F.lit(float(hosts.count()))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = spread(hosts, edges, "trusted", steps).select("host", (F.col("rank") * n).alias("trust"))
-    distrust = spread(hosts, back, "blocked", steps).select("host", (F.col("rank") * n).alias("distrust"))
+    trust = spread(hosts, edges, "trusted", settled).select("host", (F.col("rank") * n).alias("trust"))
+    distrust = spread(hosts, back, "blocked", settled).select("host", (F.col("rank") * n).alias("distrust"))
     bad = (F.col("distrust") > FLOOR) & (F.col("distrust") > F.col("trust"))
     return trust.join(distrust, "host").select(
         "host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("host_verdict")
     )
 
 
-def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, steps: int = STEPS) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, settled: float = SETTLED) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
     A null url, or one without ``://``, has an empty host and is allowed; null html has no links;
@@ -162,7 +163,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, steps: int = STEPS)
     """
     rows = ruled(pages.select("page_id", "url"), rules)
     edges = stored(host_links(pages, rules))
-    hosts = stored(host_verdicts(rows, edges, steps).select("host", "host_verdict"))
+    hosts = stored(host_verdicts(rows, edges, settled).select("host", "host_verdict"))
     return rows.join(small(hosts, 128), "host", "left").select(
         "page_id",
         "host",
