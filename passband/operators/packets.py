@@ -305,3 +305,39 @@ def segment_losses(
     return read.filter((lost > 0) | (discarded > 0)).select(
         *keys, "vcid", "segment", reason.alias("reason"), lost.alias("lost"), discarded.alias("discarded")
     )
+
+
+def loss_events(
+    continuity: DataFrame, read: DataFrame, keys: Sequence[str] = ("capture_id", "epoch"), *, end_of_stream: bool = True
+) -> DataFrame:
+    """The loss log of framing, one row per event: jumps of a channel's frame count, and the residual
+    rows of its segments.
+
+    ``continuity`` are frames with ``missing``, ``read`` the segments of the same frames.  An event
+    stands at the frame it shows in, or at the one whose packet it cost; octets that came before any
+    packet start stand at no frame.
+    """
+    jumps = continuity.filter(F.col("missing") > 0).select(
+        *keys, "vcid", "frame_no", F.lit("frames_missing").alias("kind"),
+        F.lit(0).alias("lost"), F.lit(0).cast("bigint").alias("discarded"), F.col("missing").cast("int").alias("missing"),
+    )
+    losses = segment_losses(read, keys, end_of_stream=end_of_stream).select(
+        *keys, "vcid", F.col("segment").alias("frame_no"), F.col("reason").alias("kind"),
+        F.col("lost").cast("int").alias("lost"), "discarded", F.lit(0).alias("missing"),
+    )
+    return jumps.unionByName(losses)
+
+
+def loss_lines(events: DataFrame, received: str | None = None) -> DataFrame:
+    """Loss events as lines of the event log: severity, source and message, ordered by ``seq_no``."""
+    channel = F.concat(F.lit("virtual channel "), F.col("vcid").cast("string"), F.lit(": "))
+    text = (
+        F.when(F.col("kind") == "frames_missing", F.concat(F.col("missing").cast("string"), F.lit(" frames missing")))
+        .when(F.col("lost") > 0, F.concat(F.col("lost").cast("string"), F.lit(" packet lost, "), F.col("discarded").cast("string"), F.lit(" octets discarded")))
+        .otherwise(F.concat(F.col("discarded").cast("string"), F.lit(" octets without a packet in front of them")))
+    )
+    time = F.col(received) if received else F.lit(None).cast("timestamp")
+    return events.select(
+        F.coalesce("frame_no", F.lit(-1).cast("bigint")).alias("seq_no"), time.alias("event_time"),
+        F.lit(1).alias("severity"), F.lit("frame").alias("source"), F.concat(channel, text).alias("message"),
+    )

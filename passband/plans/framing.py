@@ -9,7 +9,7 @@ from passband.fixtures import views, wire
 from passband.fixtures.views import oracle
 from passband.functions.bits import to_octets
 from passband.functions.checksum import crc16, crc32c
-from passband.operators import chunks, coding, csp, frames, markers, packets, pus, recovery, stream_split
+from passband.operators import channels, chunks, coding, csp, frames, markers, packets, pus, recovery, stream_split
 from passband.operators.frames import FrameLayout
 from passband.plans.registry import plan
 from passband.session import pin
@@ -134,6 +134,46 @@ def frame_losses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: What of broken packets came through, put down to the packet start before it, and jumps of counts.
+LOSS_SQL = {
+    "opened": "SELECT DISTINCT capture_id, epoch, vcid, cell FROM tlm_piece WHERE kept AND cell = place // 50",
+    "broken": """SELECT p.capture_id, p.epoch, p.vcid, p.cell, p.octets, p.cell = p.place // 50 AS begins
+                 FROM tlm_piece p JOIN tlm_fate f ON f.capture_id = p.capture_id AND f.epoch = p.epoch AND f.vcid = p.vcid AND f.place = p.place
+                 WHERE p.kept AND NOT f.whole""",
+    "charged": """SELECT b.*, CASE WHEN begins THEN b.cell ELSE (SELECT max(o.cell) FROM opened o WHERE o.capture_id = b.capture_id
+                      AND o.epoch = b.epoch AND o.vcid = b.vcid AND o.cell < b.cell) END AS home FROM broken b""",
+    "lastly": """SELECT f.capture_id, f.epoch, f.vcid, o.cell AS home, max(f.k) - o.cell = count(*) AND count(*) = count(CASE WHEN f.k > o.cell THEN 1 END) AS unbroken
+                 FROM (SELECT capture_id, epoch, vcid, max(cell) AS cell FROM opened GROUP BY 1, 2, 3) o
+                 JOIN tlm_frames f ON f.capture_id = o.capture_id AND f.epoch = o.epoch AND f.vcid = o.vcid AND f.k > o.cell GROUP BY 1, 2, 3, o.cell""",
+    "ended": """SELECT o.capture_id, o.epoch, o.vcid, o.cell AS home FROM (SELECT capture_id, epoch, vcid, max(cell) AS cell FROM opened GROUP BY 1, 2, 3) o
+                LEFT JOIN lastly l ON l.capture_id = o.capture_id AND l.epoch = o.epoch AND l.vcid = o.vcid WHERE coalesce(l.unbroken, true)""",
+    "told": """SELECT c.capture_id, c.epoch, c.vcid, c.home, count(CASE WHEN begins THEN 1 END) AS lost, sum(octets) AS discarded
+               FROM charged c GROUP BY 1, 2, 3, 4""",
+    "jumped": """SELECT capture_id, epoch, vcid, frame_no, (k - lag(k) OVER (PARTITION BY capture_id, epoch, vcid ORDER BY k) - 1) % 256 AS missing FROM tlm_frames""",
+}
+
+
+@plan(
+    "loss_events",
+    "F24 F12 F14",
+    wire_oracle(
+        """SELECT CAST(t.capture_id AS INTEGER) AS capture_id, t.vcid, t.home * 8 + t.vcid AS frame_no,
+                  CASE WHEN t.home IS NULL THEN 'leading_fragment' WHEN t.lost = 0 THEN 'no_packet_in_front'
+                       WHEN e.home IS NOT NULL THEN 'cut_off' ELSE 'abandoned' END AS kind,
+                  CAST(t.lost AS INTEGER) AS lost, CAST(t.discarded AS BIGINT) AS discarded, 0 AS missing
+           FROM told t LEFT JOIN ended e ON e.capture_id = t.capture_id AND e.epoch = t.epoch AND e.vcid = t.vcid AND e.home = t.home
+           UNION ALL SELECT CAST(capture_id AS INTEGER), vcid, frame_no, 'frames_missing', 0, 0, CAST(missing AS INTEGER) FROM jumped WHERE missing > 0""",
+        **LOSS_SQL,
+    ),
+)
+def loss_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every jump, abandoned packet and fragment of the frames that came through."""
+    parsed = pin(frames.parse(wire.frames(spark, folder), LAYOUT).filter(F.col("status") == "ok"))
+    stepped = channels.with_continuity(parsed, keys=(*wire.CAPTURE_KEYS, "vcid"))
+    events = packets.loss_events(stepped, packets.segments(parsed))
+    return events.select(F.col("capture_id").cast("int").alias("capture_id"), "vcid", "frame_no", "kind", "lost", "discarded", "missing")
+
+
 # --------------------------------------------------------------------------------- byte streams
 
 
@@ -248,9 +288,16 @@ def coding_order(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-MARKER_SQL = """
-    SELECT capture_id, CAST(list_sum(list_transform(parts[1:i], lambda x: strlen(x))) + 2 * (i - 1) AS BIGINT) AS pos
-    FROM (SELECT page_id AS capture_id, string_split(html, '<p') AS parts, unnest(range(1, len(string_split(html, '<p')))) AS i FROM pages) s"""
+def _marker_sql(marker: bytes) -> str:
+    cut = f"string_split(html, '{marker.decode()}')"
+    return f"""
+    SELECT capture_id, CAST(list_sum(list_transform(parts[1:i], lambda x: strlen(x))) + {len(marker)} * (i - 1) AS BIGINT) AS pos
+    FROM (SELECT page_id AS capture_id, {cut} AS parts, unnest(range(1, len({cut}))) AS i FROM pages) s"""
+
+
+MARKER_SQL = _marker_sql(TEXT_MARKER)
+#: Four octets, as long as the marker of recordings: no other place of a capture holds them by chance.
+LONG_MARKER = b"</p>"
 STRIDE_SQL = """
     SELECT capture_id, stride, count(*) AS intervals FROM (
         SELECT capture_id, pos - lag(pos) OVER (PARTITION BY capture_id ORDER BY pos) AS stride FROM found) d
@@ -269,13 +316,12 @@ def marker_scan(spark: SparkSession, folder: str) -> DataFrame:
 @plan(
     "bit_slip_scan",
     "F5 F1",
-    oracle("SELECT capture_id, pos, CAST(capture_id % 8 AS INTEGER) AS bit FROM found", found=MARKER_SQL),
+    oracle("SELECT capture_id, pos, CAST(capture_id % 8 AS INTEGER) AS bit FROM found", found=_marker_sql(LONG_MARKER)),
 )
 def bit_slip_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Captures slipped by none to seven bits: their markers, found again at just that offset."""
-    found = markers.scan(views.slipped_captures(spark, folder), TEXT_MARKER, bit_slip=True)
-    # Texts may hold the marker's bits by chance at another offset; those are not the slipped ones.
-    return found.filter(F.col("bit") == F.pmod("capture_id", F.lit(8))).select("capture_id", "pos", "bit")
+    """Captures slipped by none to seven bits: all places where their markers are found, at any offset."""
+    found = markers.scan(views.slipped_captures(spark, folder), LONG_MARKER, bit_slip=True)
+    return found.select("capture_id", "pos", "bit")
 
 
 @plan(

@@ -255,3 +255,14 @@ def test_messages_stand_alone(spark):
     assert counts == {1: 3, 2: 2, 3: 3}
     left = {r.msg_id: (r.lost, r.discarded, r.reason) for r in packets.message_residuals(split, ["msg_id"]).collect()}
     assert left == {2: (1, 5, "cut_off"), 3: (0, 6, "desync")}
+
+
+def test_loss_lines(spark):
+    rows = [(1, 0, 3, 40, "frames_missing", 0, 0, 2), (1, 0, 3, 39, "abandoned", 1, 17, 0), (1, 0, 3, None, "leading_fragment", 0, 9, 0)]
+    events = spark.createDataFrame(rows, "capture_id int, epoch int, vcid int, frame_no bigint, kind string, lost int, discarded bigint, missing int")
+    lines = [(r.seq_no, r.severity, r.message) for r in packets.loss_lines(events).orderBy("seq_no").collect()]
+    assert lines == [
+        (-1, 1, "virtual channel 3: 9 octets without a packet in front of them"),
+        (39, 1, "virtual channel 3: 1 packet lost, 17 octets discarded"),
+        (40, 1, "virtual channel 3: 2 frames missing"),
+    ]
