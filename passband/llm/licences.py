@@ -1,7 +1,7 @@
 """Licences of files by sparse TF-IDF cosine to templates, inherited along directories (operator 1).
 
-A file's header and whole text are compared with the templates, as sparse vectors joined on their
-terms.  A licence file -- one that as a whole is little but a licence -- stands for its directory.
+A file's edge lines are compared with notices, its whole text with notices and licence texts, and its
+first line with titles, as sparse vectors joined on their terms.  A licence file -- one that as a whole is little but a licence -- stands for its directory.
 Files without a licence of their own take that of the nearest directory above that has one, found by
 joining every directory's ancestors to the licensed ones.
 """
@@ -19,29 +19,138 @@ from pyspark.sql import functions as F
 
 from passband.llm.common import slices, small, stored
 
-#: Per licence its notices and the opening of its text; templates are a parameter, and these are
-#: the ones of the registered query.
+# Notices, titles and texts of licences, as files carry them.
+
+#: Per licence the notices that files bear, each a line or a passage; templates are a parameter, and
+#: these are the ones of the registered query.
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License",
+        "licensed under the MIT License. See LICENSE for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "SPDX-License-Identifier: MIT",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "LGPL": (
+        "Licensed under the GNU Lesser General Public License",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ),
+    "AGPL": (
+        "Licensed under the GNU Affero General Public License",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0",),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted",),
-    "CC-BY": ("Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International"),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    "ISC": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
+    "Zlib": ("Licensed under the zlib License", "SPDX-License-Identifier: Zlib"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
+    "CC-BY": ("Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International", "SPDX-License-Identifier: CC-BY-4.0"),
+    "CC-BY-NC": ("Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "CC0": ("Dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
     "proprietary": ("All rights reserved", "Confidential and proprietary"),
 }
+
+_NO_WARRANTY_BSD = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, '
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+#: Per licence the texts that whole files are compared with.
+TEXTS = {
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
+        "so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT "
+        "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        'that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR '
+        "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+        "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "BSD": (
+        _BSD + _NO_WARRANTY_BSD,
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission. " + _NO_WARRANTY_BSD,
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this "
+        "software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a "
+        "product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must "
+        "be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or "
+        "altered from any source distribution.",
+    ),
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+        'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+}
+#: Lines that a licence's own text begins with.  Long texts are known by them, wherever the rest leads.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "Apache-2.0": ("Apache License", "Apache License Version 2.0, January 2004"),
+    "GPL": ("GNU GENERAL PUBLIC LICENSE",),
+    "LGPL": ("GNU LESSER GENERAL PUBLIC LICENSE",),
+    "AGPL": ("GNU AFFERO GENERAL PUBLIC LICENSE",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "BSD": ("BSD 2-Clause License", "BSD 3-Clause License"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC0": ("CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "CC-BY": ("Creative Commons Attribution 4.0 International Public License", "Attribution 4.0 International"),
+    "CC-BY-NC": ("Creative Commons Attribution-NonCommercial 4.0 International Public License", "Attribution-NonCommercial 4.0 International"),
+    "CC-BY-SA": ("Creative Commons Attribution-ShareAlike 4.0 International Public License", "Attribution-ShareAlike 4.0 International"),
+}
 TERM = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 #: Lines of a header, and as many at a text's end, where some put the notice; and the cosine from
 #: which a line or a whole file matches.
 HEADER_LINES = 5
-LINE_COSINE, FILE_COSINE = 0.6, 0.5
+LINE_COSINE, FILE_COSINE, TITLE_COSINE = 0.6, 0.5, 0.9
 Templates = Mapping[str, Sequence[str]]
 
 
@@ -78,15 +187,20 @@ def best_match(text: str, vectors: Mapping[str, Mapping], n: int) -> tuple[str |
     bag, pairs = Counter(words), Counter(zip(words, words[1:]))
     rare, dots = idf(n, 0), Counter()
     norm = rare * rare * sum(math.sumprod(x, x) for x in (list(bag.values()), list(pairs.values())))
-    for t, held in vectors.items():
-        a, _, b = t.partition(" ")
-        k = pairs.get((a, b)) if b else bag.get(a)
-        if not k:
-            continue
+
+    def visit(t: str, k: int) -> float:
+        held = vectors[t]
         w = k * idf(n, len(held))
-        norm += w * w - k * k * rare * rare
         for template, v in held.items():
             dots[template] += w * v
+        return w * w - k * k * rare * rare
+
+    known = [t for t in bag if t in vectors]
+    if not known:
+        return None, 0.0
+    norm += sum(visit(t, bag[t]) for t in known)
+    # a pair of a template has words of templates
+    norm += sum(visit(t, k) for (a, b), k in pairs.items() if a in vectors and b in vectors and (t := f"{a} {b}") in vectors)
     if not dots:
         return None, 0.0
     best = min(dots, key=lambda x: (-dots[x], x))
@@ -101,13 +215,22 @@ def notice_lines(text: str) -> list[str]:
     return head[:HEADER_LINES] + head[HEADER_LINES].rsplit("\n", HEADER_LINES)[-HEADER_LINES:]
 
 
-def scanned(files: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
+def first_line(text: str) -> str:
+    """The first line that is not blank; a title may be broken in two after the name of a licence."""
+    return next((line for line in text.split("\n") if line.strip()), "")
+
+
+def scanned(
+    files: DataFrame, templates: Templates = TEMPLATES, texts: Templates = TEXTS, titles: Templates = TITLES
+) -> DataFrame:
     """``path``, own licence and its cosine, and whether the file is a licence file, of every file.
 
-    Every line at the head and the end is scored by itself, so that prose does not dilute a notice; the
-    whole text, whatever its lines gave, decides on licence files.  Null and empty texts match nothing.
+    Every line at the head and the end is compared with the notices by itself, so that prose does not
+    dilute one.  A licence file is one whose whole text is near a notice or a licence's text, whatever
+    its lines gave, or whose first line is a licence's title.  Null and empty texts match nothing.
     """
-    vectors, n = template_vectors(templates), sum(map(len, templates.values()))
+    spaces = [(template_vectors(t), sum(map(len, t.values()))) for t in (templates, texts, titles)]
+    (vectors, n), longer, heads = spaces
 
     def judge(text: str) -> tuple[str | None, float, bool]:
         best: tuple[str | None, float] = (None, 0.0)
@@ -116,13 +239,16 @@ def scanned(files: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
             if found[1] > best[1]:
                 best = found
         own = best[0] if best[1] >= LINE_COSINE else None
-        whole = best_match(text, vectors, n)
+        whole = max(best_match(text, vectors, n), best_match(text, *longer), key=lambda x: x[1])
         if whole[1] >= FILE_COSINE:
             return whole[0], whole[1], True
+        title = best_match(first_line(text), *heads)
+        if title[1] >= TITLE_COSINE:
+            return title[0], title[1], True
         return own, best[1], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4_000, 16 << 20):
+        for batch in slices(batches, "text", 2_000, 4 << 20):
             own, score, is_file = zip(*(judge(t or "") for t in batch["text"].to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["path"], pa.array(own, pa.string()), pa.array(score, pa.float64()), pa.array(is_file, pa.bool_())],

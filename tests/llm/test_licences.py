@@ -64,7 +64,7 @@ def test_inheritance(spark):
 
 
 def test_whole_query(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in queries.op1_license_scan(spark, folder).collect()}
     assert rows.keys() == texts.keys()
@@ -85,7 +85,7 @@ def test_whole_query(spark):
         "This work is licensed under the GNU General Public License, version 3.": "GPL",
     }
     told = [(i, notices[x]) for i, t in texts.items() for x in (t.text or "").split("\n")[-1:] if x in notices]
-    assert len(told) > 10 and all(rows[i].licence == name for i, name in told)
+    assert len(told) > 2 and all(rows[i].licence == name for i, name in told)
 
 
 def licences_of(docs):
@@ -94,12 +94,8 @@ def licences_of(docs):
     for d in docs:
         lines = d.text.split("\n")
         lines = [x for k, x in enumerate(lines) if k < 5 or k >= len(lines) - 5]
-        pairs = {t for bag in BAGS.values() for t in bag if " " in t and any(len(w) > 5 for w in t.split())}
-        best = (0.0, "")
-        for line in lines:
-            if pairs & set(licences.terms(line)):
-                best = min([best, *((-cosine(line, n), n) for n in licences.TEMPLATES)])
-        if best[0]:
+        best = min([(0.0, ""), *((-cosine(line, n), n) for line in lines if licences.terms(line) for n in licences.TEMPLATES)])
+        if licences.terms(d.text):
             whole = min((-cosine(d.text, n), n) for n in licences.TEMPLATES)
             if -whole[0] >= licences.FILE_COSINE:
                 out[d.doc_id] = (whole[1], -whole[0], True)
@@ -136,3 +132,36 @@ def test_whole_query_scores_every_line(spark):
         line, whole = max(best(x) for k, x in enumerate(lines) if k < 5 or k >= len(lines) - 5), best(d.text)
         assert rows[d.doc_id].cosine == pytest.approx(whole if whole >= licences.FILE_COSINE else line)
         assert (rows[d.doc_id].origin == "own") == (line >= licences.LINE_COSINE or whole >= licences.FILE_COSINE)
+
+
+MIT_FILE = "MIT License\n\nCopyright (c) 2021 Jo Doe\n\n" + "\n".join(licences.TEXTS["MIT"][0].split(". "))
+GPL_FILE = (
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."
+    " <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+    + "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.\n" * 40
+)
+APACHE_FILE = (
+    "\n                                 Apache License\n                           Version 2.0, January 2004\n"
+    "                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"
+    + '      "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9.\n' * 30
+)
+
+
+def test_licence_files_as_they_are(spark):
+    """Whole texts stand for their directories; tags and notices for their files."""
+    bsd = "Copyright 2020, Jo Doe\n" + licences.TEXTS["BSD"][1]
+    files = [
+        (1, "mit/LICENSE", MIT_FILE), (2, "mit/src/x.c", "int main;"), (3, "gpl/COPYING", GPL_FILE), (4, "gpl/a/b/y.py", "y = 1"),
+        (5, "asf/LICENSE", APACHE_FILE), (6, "asf/z.java", "class Z {}"), (7, "bsd/LICENSE.txt", bsd), (8, "bsd/q", "q"),
+        (9, "mit/src/t.rs", "// SPDX-License-Identifier: Apache-2.0\nfn main() {}\n" + LONG), (10, "n/u.c", "/* SPDX-License-Identifier: GPL-2.0-only */\n" + LONG),
+        (11, "n/v.md", LONG + "\nThis project is licensed under the MIT License. See LICENSE for details."),
+        (12, "isc/LICENSE", "ISC License\n\nCopyright 2019 Jo\n\n" + licences.TEXTS["ISC"][0]), (13, "isc/deep/er/w", "w"),
+        (14, "n/mpl.js", "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.\nlet a"),
+    ]
+    rows = {r.doc_id: r for r in licences.licences(spark.createDataFrame(files, "doc_id bigint, path string, text string")).collect()}
+    want = {
+        1: ("MIT", "own"), 2: ("MIT", "directory"), 3: ("GPL", "own"), 4: ("GPL", "directory"), 5: ("Apache-2.0", "own"), 6: ("Apache-2.0", "directory"),
+        7: ("BSD", "own"), 8: ("BSD", "directory"), 9: ("Apache-2.0", "own"), 10: ("GPL", "own"), 11: ("MIT", "own"), 12: ("ISC", "own"),
+        13: ("ISC", "directory"), 14: ("MPL-2.0", "own"),
+    }
+    assert {i: (r.licence, r.origin) for i, r in rows.items()} == want
