@@ -38,22 +38,50 @@ def _step(octets: bytes, at: int, max_length: int, chunk_ends: np.ndarray) -> in
     return at + declared
 
 
+def _steps(octets: np.ndarray, at: np.ndarray, max_length: int, chunk_ends: np.ndarray) -> np.ndarray:
+    """:func:`_step` of many places at once."""
+    whole = at + HEADER_BYTES <= len(octets)
+    out = np.full(len(at), len(octets) + HEADER_BYTES, dtype=np.int64)
+    read = at[whole]
+    declared = HEADER_BYTES + 1 + (octets[read + 4].astype(np.int64) << 8 | octets[read + 5])
+    after = read + declared
+    long = declared > max_length
+    if long.any():
+        after[long] = chunk_ends[np.searchsorted(chunk_ends, read[long] + HEADER_BYTES - 1, side="right")]
+    out[whole] = after
+    return out
+
+
+#: Ways still apart below which they are walked one by one.
+FEW = 32
+
+
 def ways_out(
     octets: bytes, body: int, entries, max_length: int, chunk_ends: np.ndarray
 ) -> list[int]:
-    """Where each entry leaves a cell of ``body`` octets (``octets`` sees a header further)."""
+    """Where each entry leaves a cell of ``body`` octets (``octets`` sees a header further).
+
+    All ways go on together and those that meet are one from there; the few that are left apart are
+    walked to the end.
+    """
+    flat = np.frombuffer(octets, np.uint8)
+    at, way = np.unique(np.asarray(entries, dtype=np.int64), return_inverse=True)
+    while len(at) > FEW and at[0] < body:
+        inside = at < body
+        at[inside] = _steps(flat, at[inside], max_length, chunk_ends)
+        at, back = np.unique(at, return_inverse=True)
+        way = back[way]
     leads: dict[int, int] = {}
-    out = []
-    for entry in entries:
-        path, at = [], int(entry)
-        while at < body and at not in leads:
-            path.append(at)
-            at = _step(octets, at, max_length, chunk_ends)
-        end = leads.get(at, at)
-        for place in path:
-            leads[place] = end
-        out.append(end)
-    return out
+    ends = []
+    for entry in at.tolist():
+        path, place = [], entry
+        while place < body and place not in leads:
+            path.append(place)
+            place = _step(octets, place, max_length, chunk_ends)
+        end = leads.get(place, place)
+        leads.update(dict.fromkeys(path, end))
+        ends.append(end)
+    return np.array(ends, dtype=np.int64)[way].tolist()
 
 
 def cells_of(chunks: DataFrame, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
