@@ -177,16 +177,28 @@ def idf(n: int, df: int) -> float:
     return math.log((1 + n) / (1 + df)) + 1
 
 
+Profile = tuple[Counter, Counter, float]
+
+
+def profile(text: str) -> Profile:
+    """Words, neighbouring pairs and the sum of their squared counts."""
+    words = TERM.findall(text.lower())
+    bag, pairs = Counter(words), Counter(zip(words, words[1:]))
+    return bag, pairs, sum(math.sumprod(x, x) for x in (list(bag.values()), list(pairs.values())))
+
+
 def best_match(text: str, vectors: Mapping[str, Mapping], n: int) -> tuple[str | None, float]:
+    return nearest(profile(text), vectors, n)
+
+
+def nearest(of: Profile, vectors: Mapping[str, Mapping], n: int) -> tuple[str | None, float]:
     """The licence of the template of greatest cosine among ``n``; the name decides ties.
 
-    A sparse product: only terms of templates are visited.  All others weigh as much as one that is
-    in no template, so that their part of the norm is a sum over counts.
+    A sparse product: only terms that templates have are visited.  All others weigh as much as one
+    that is in no template, so that their part of the norm is a sum over counts.
     """
-    words = TERM.findall(text.lower())
-    bag, pairs = Counter(words), Counter(zip(words, words[1:]))
-    rare, dots = idf(n, 0), Counter()
-    norm = rare * rare * sum(math.sumprod(x, x) for x in (list(bag.values()), list(pairs.values())))
+    (bag, pairs, squares), rare, dots = of, idf(n, 0), Counter()
+    norm = rare * rare * squares
 
     def visit(t: str, k: int) -> float:
         held = vectors[t]
@@ -200,7 +212,8 @@ def best_match(text: str, vectors: Mapping[str, Mapping], n: int) -> tuple[str |
         return None, 0.0
     norm += sum(visit(t, bag[t]) for t in known)
     # a pair of a template has words of templates
-    norm += sum(visit(t, k) for (a, b), k in pairs.items() if a in vectors and b in vectors and (t := f"{a} {b}") in vectors)
+    if len(known) > 1 or bag[known[0]] > 1:
+        norm += sum(visit(t, k) for (a, b), k in pairs.items() if a in vectors and b in vectors and (t := f"{a} {b}") in vectors)
     if not dots:
         return None, 0.0
     best = min(dots, key=lambda x: (-dots[x], x))
@@ -239,7 +252,8 @@ def scanned(
             if found[1] > best[1]:
                 best = found
         own = best[0] if best[1] >= LINE_COSINE else None
-        whole = max(best_match(text, vectors, n), best_match(text, *longer), key=lambda x: x[1])
+        of = profile(text)
+        whole = max(nearest(of, vectors, n), nearest(of, *longer), key=lambda x: x[1])
         if whole[1] >= FILE_COSINE:
             return whole[0], whole[1], True
         title = best_match(first_line(text), *heads)
