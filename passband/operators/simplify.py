@@ -25,6 +25,8 @@ from passband.session import pin
 
 #: Points of one hull, of one slice of the chain and of one block.
 PIECE = SLICE_POINTS = BLOCK_POINTS = 1 << 16
+#: Blocks a segment may touch to be split to the end by one task: a million points, 24 MB.
+SPAN = 16
 #: Areas computed at once.
 CELLS = 1 << 22
 
@@ -214,13 +216,16 @@ def split_marks(x: np.ndarray, v: np.ndarray, epsilon: float) -> np.ndarray:
     return marks
 
 
-def rdp(points: DataFrame, epsilon: float, keys: Sequence[str] = KEYS, *, width: int = DEFAULT_WIDTH, block: int = BLOCK_POINTS) -> DataFrame:
+def rdp(points: DataFrame, epsilon: float, keys: Sequence[str] = KEYS, *, width: int = DEFAULT_WIDTH, block: int = BLOCK_POINTS, span: int = SPAN) -> DataFrame:
     """Simplify every series so that no dropped point is further than ``epsilon`` from the line.
 
-    Points are written once, in blocks of ``block``.  A segment that spans blocks asks each of them
-    for its furthest point, and the furthest of all splits it: per level only segments move.  One that
-    lies within a block is split to the end there.
+    Points are written once, in blocks of ``block``.  A segment over more than ``span`` blocks asks each
+    of them for its furthest point, and the furthest of all splits it: per level only segments move.
+    One over fewer blocks gets its points and is split to the end by one task, for each further level
+    over all blocks would be a round of jobs; one that lies within a block is split to the end there.
     """
+    if span < 1:
+        raise ValueError(f"span must be at least 1, got {span}")
     names = [*keys, "seq_no", "t", "v"]
     placed = indexed(points.select(*names), keys, width=width).withColumn("_block", floor_div(F.col("idx"), block))
     point = F.struct("idx", "t", "v", "seq_no")
@@ -263,12 +268,15 @@ def rdp(points: DataFrame, epsilon: float, keys: Sequence[str] = KEYS, *, width:
             )
 
     local: DataFrame | None = None
+    gathered: DataFrame | None = None
     split_rows: DataFrame | None = None
     open_ones = pin(segments.filter(F.col("b") > F.col("a") + 1))
     while True:
         here = open_ones.filter(low == high)
         local = here if local is None else local.unionByName(here)
-        wide = open_ones.filter(low < high)
+        some = open_ones.filter((low < high) & (high - low < span))
+        gathered = some if gathered is None else gathered.unionByName(some)
+        wide = open_ones.filter((low < high) & (high - low >= span))
         if wide.isEmpty():
             break
         routed = dimension(wide.withColumn("_block", F.explode(F.sequence(low, high))))
@@ -286,14 +294,38 @@ def rdp(points: DataFrame, epsilon: float, keys: Sequence[str] = KEYS, *, width:
         right = halves.select(*keys, *(c.alias(n) for c, n in zip(w, SEGMENT[:3])), "b", "bx", "bv")
         open_ones = pin(left.unionByName(right).filter(F.col("b") > F.col("a") + 1))
 
+    # what lies within a few blocks: their points between the ends of a segment come together
+    held = [*keys, *SEGMENT]
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                idx = batch["idx"][i].values.to_numpy()
+                lo, hi = np.searchsorted(idx, [batch["a"][i].as_py() + 1, batch["b"][i].as_py()])
+                x = batch["t"][i].values.to_numpy()[lo:hi] - batch["_t0"][i].as_py()
+                parts = [pa.array([p]) for p in (x, batch["v"][i].values.to_numpy()[lo:hi])]
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*(row[c] for c in (*held, "_block")), *parts], names=[*held, "_block", "x", "v"])
+
+    def split_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, one = pdf.sort_values("_block"), pdf.iloc[0]
+        x, v = (np.concatenate([[one[f"a{c}"]], *pdf[c], [one[f"b{c}"]]]) for c in ("x", "v"))
+        marks = np.flatnonzero(split_marks(x, v, epsilon)) + one["a"]
+        return pd.DataFrame({**{k: one[k] for k in keys}, "idx": marks})[[*keys, "idx"]]
+
+    routed = dimension(gathered.withColumn("_block", F.explode(F.sequence(low, high))))
+    brought = shifted_blocks.join(routed, [*keys, "_block"]).select(*held, "_block", "idx", "t", "v", "_t0")
+    few = T.StructType([*_fields(brought, [*held, "_block"]), *T.StructType.fromDDL("x array<double>, v array<double>").fields])
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inner = brought.mapInArrow(between, few).repartition(parts, *keys, "a").groupBy(*keys, "a")
+    ends = pin(inner.applyInPandas(split_whole, T.StructType([*_fields(points, keys), T.StructField("idx", T.LongType())])))
+    split_rows = ends if split_rows is None else split_rows.unionByName(ends)
+
     # what lies within one block: at most one segment per two of its points
     grouped = local.withColumn("_block", low).groupBy(*keys, "_block").agg(F.collect_list(F.struct(*SEGMENT)).alias("_s"))
     work = shifted_blocks.join(grouped, [*keys, "_block"], "left")
-    if split_rows is None:
-        work = work.withColumn("_m", F.lit(None).cast("array<bigint>"))
-    else:
-        marks = split_rows.withColumn("_block", floor_div(F.col("idx"), block))
-        work = work.join(marks.groupBy(*keys, "_block").agg(F.collect_list("idx").alias("_m")), [*keys, "_block"], "left")
+    marks = split_rows.withColumn("_block", floor_div(F.col("idx"), block))
+    work = work.join(marks.groupBy(*keys, "_block").agg(F.collect_list("idx").alias("_m")), [*keys, "_block"], "left")
     lengths = corners.select(*keys, F.col("_b.idx").alias("_last"))
     work = work.join(dimension(lengths), list(keys))
     out_schema = T.StructType(_fields(points, names))

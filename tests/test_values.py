@@ -278,6 +278,25 @@ def test_rdp_over_any_blocks(spark, block):
     assert simplify.rdp(points(spark, [1, 2]), 0.1, block=block).count() == 2
 
 
+@pytest.mark.parametrize("span", [1, 3])
+def test_rdp_over_any_span(spark, span):
+    rng = random.Random(7)
+    values = np.cumsum([rng.choice([-1, 0, 0, 2]) for _ in range(100)])
+    t = np.array([1.7e9 + i for i in range(100)])
+    got = sorted(r.seq_no for r in simplify.rdp(points(spark, values), 1.5, block=16, span=span).collect())
+    assert got == kept_by_rdp(t, values.astype(float), 1.5) and len(got) < 100
+
+
+def test_rdp_of_a_segment_over_few_blocks_starts_no_rounds(spark, monkeypatch):
+    """Noise is split dozens of levels deep; over a few blocks that is work of one task."""
+    pins, rng = [], random.Random(8)
+    real = simplify.pin
+    monkeypatch.setattr(simplify, "pin", lambda df: pins.append(1) or real(df))
+    values = [rng.random() * 100 for _ in range(200)]
+    got = sorted(r.seq_no for r in simplify.rdp(points(spark, values), 60.0, block=50).collect())
+    assert got == kept_by_rdp(np.array([1.7e9 + i for i in range(200)]), np.array(values), 60.0) and len(pins) <= 4
+
+
 @pytest.mark.parametrize("block", [4, 1 << 16])
 def test_rdp_with_a_number_that_is_none(spark, block):
     values = [0, 4, 1, 5, 0, float("nan"), 3, 0, 6, 1, 7, 0, 2, 9, 0]
