@@ -33,7 +33,7 @@ _NAMES = ", ".join(
         s="""SELECT capture_id, sum(octets) AS bytes_in, sum(sync_found) AS sync_found, sum(sync_lost) AS sync_lost
              FROM total LEFT JOIN found USING (capture_id, epoch) LEFT JOIN lost USING (capture_id, epoch) GROUP BY capture_id""",
         f=f"SELECT vcid % 4 AS capture_id, {FRAME_COUNTERS_SQL} FROM tlm_frame GROUP BY 1",
-        a="""SELECT capture_id, count(CASE WHEN whole AND NOT idle THEN 1 END) AS packets_in, count(CASE WHEN whole AND idle THEN 1 END) AS idle_packets,
+        a="""SELECT capture_id, count(CASE WHEN whole AND apid <> 2047 THEN 1 END) AS packets_in, count(CASE WHEN whole AND apid = 2047 THEN 1 END) AS idle_packets,
                     count(CASE WHEN begun AND NOT whole THEN 1 END) AS packets_lost FROM tlm_fate GROUP BY capture_id""",
         d="SELECT apid % 4 AS capture_id, count(container) AS packets_decoded, count(reason) AS packets_rejected FROM packet GROUP BY 1",
         g="""SELECT apid % 4 AS capture_id, count(CASE WHEN missed > 0 THEN 1 END) AS sequence_gaps, sum(missed) AS sequence_missing,
