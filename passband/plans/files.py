@@ -186,7 +186,7 @@ def exported(spark: SparkSession, folder: str) -> tuple[str, export.Summary]:
     oracle(
         f"""SELECT {STAMP.format("q.stamp")} AS time, {STAMP.format("q.stamp")} AS received, CAST(q.apid AS VARCHAR) AS apid,
                    CAST(q.seq_count AS VARCHAR) AS sequence, d.parameter, CAST(d.raw AS VARCHAR) AS raw, d.eng, d.label
-            FROM samples d JOIN recorded q ON q.pkt_no = d.pkt_no""",
+            FROM samples d JOIN recorded q ON q.pkt_no = d.pkt_no WHERE q.apid <> 2047""",
         packet=PACKET_SQL,
         samples=DECOMMUTATED,
         **_RECORDED,
