@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that hand on packets.
-NAMES = ("export_summary", "link_stats", "reassembled", "recording_export", "recovered_packets")
+NAMES = ("export_summary", "link_stats", "reassembled", "recording_export", "recovered_packets", "stream_packets")
 
 
 @pytest.fixture(scope="module")
