@@ -45,17 +45,28 @@ def recovered_frames(
     keys: Sequence[str] = KEYS,
     bit_slip: bool = False,
 ) -> DataFrame:
-    """Frames of recordings with their ``status``: the first check that failed, or ``ok``.
+    """Frames of recordings with their ``status``: the first check that failed, or ``ok``."""
+    cut = cut_blocks(chunks, layer.block_octets(frame_octets), chunk_octets=chunk_octets, keys=keys, bit_slip=bit_slip)
+    return block_frames(cut, frame_octets, layout, layer)
+
+
+def cut_blocks(
+    chunks: DataFrame, length: int, *, chunk_octets: int, keys: Sequence[str] = KEYS, bit_slip: bool = False
+) -> DataFrame:
+    """Blocks of ``length`` octets behind the markers of recordings, as ``frame``; nothing in them is read."""
+    totals = chunks.groupBy(*keys).agg(F.max(F.col("offset") + F.length("bytes")).alias("total"))
+    starts = markers.frame_starts(markers.scan(chunks, bit_slip=bit_slip), totals, length, keys=keys)
+    cells = chunks.select(*keys, F.col("chunk_no").alias("cell"), F.col("offset").alias("start"), F.col("bytes").alias("octets"))
+    return markers.cut_frames(cells, starts, length, chunk_octets, keys=keys)
+
+
+def block_frames(cut: DataFrame, frame_octets: int, layout: FrameLayout, layer: CodingLayer) -> DataFrame:
+    """The frames in blocks that were cut, with their ``status``.
 
     The randomiser lies outside the code, so it comes off the whole block, check symbols included,
     before the block is screened.  Its sequence is a code word itself: a block that is not
     derandomised screens clean and only fails as a frame.
     """
-    length = layer.block_octets(frame_octets)
-    totals = chunks.groupBy(*keys).agg(F.max(F.col("offset") + F.length("bytes")).alias("total"))
-    starts = markers.frame_starts(markers.scan(chunks, bit_slip=bit_slip), totals, length, keys=keys)
-    cells = chunks.select(*keys, F.col("chunk_no").alias("cell"), F.col("offset").alias("start"), F.col("bytes").alias("octets"))
-    cut = markers.cut_frames(cells, starts, length, chunk_octets, keys=keys)
     if layer.randomised:
         cut = cut.withColumn("frame", coding.derandomise("frame"))
     if layer.parity is None:

@@ -239,9 +239,9 @@ CODED_SQL = {
 }
 
 
-def coded_frames(spark: SparkSession, folder: str, randomised: bool = True) -> DataFrame:
-    """Frames out of a randomised, coded recording; ``randomised`` false skips the derandomiser."""
-    layer = recovery.CodingLayer(randomised, wire.PARITY)
+def coded_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames out of a randomised, coded recording."""
+    layer = recovery.CodingLayer(True, wire.PARITY)
     return recovery.recovered_frames(
         wire.recording(spark, folder, randomised=True, coded=True), FRAME, LAYOUT, layer, chunk_octets=256
     )
@@ -279,8 +279,12 @@ def coding_order(spark: SparkSession, folder: str) -> DataFrame:
 
     Left out, it shows in no block, for its sequence is a code word; but no frame makes sense.
     """
+    recorded = wire.recording(spark, folder, randomised=True, coded=True)
+    # Where a block lies does not depend on what is done to it: both orders read the same blocks.
+    blocks = pin(recovery.cut_blocks(recorded, wire.BLOCK, chunk_octets=256))
     each = [
-        coded_frames(spark, folder, randomised).withColumn("derandomised", F.lit(randomised)) for randomised in (True, False)
+        recovery.block_frames(blocks, FRAME, LAYOUT, recovery.CodingLayer(randomised, wire.PARITY)).withColumn("derandomised", F.lit(randomised))
+        for randomised in (True, False)
     ]
     both = each[0].unionByName(each[1])
     return both.groupBy(F.col("capture_id").cast("bigint").alias("capture_id"), "derandomised").agg(

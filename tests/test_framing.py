@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passband.operators import chunks, markers, packets, stream_split
+from passband.plans import framing
 
 MARKER, LENGTH = markers.MARKER, 20
 CHUNK = "capture_id bigint, epoch int, chunk_no bigint, offset bigint, received timestamp, bytes binary"
@@ -266,3 +267,14 @@ def test_loss_lines(spark):
         (39, 1, "virtual channel 3: 1 packet lost, 17 octets discarded"),
         (40, 1, "virtual channel 3: 2 frames missing"),
     ]
+
+
+def test_coding_order_synchronises_once(spark, monkeypatch):
+    """Both orders read the blocks of one recording, which is laid out and cut once."""
+    calls = []
+    for module, name in ((framing.wire, "recording"), (framing.recovery.markers, "scan")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _real=real, _name=name, **k: calls.append(_name) or _real(*a, **k))
+    rows = framing.coding_order(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(calls) == ["recording", "scan"]
+    assert all(r.clean > 0 and r.ok == (r.clean if r.derandomised else 0) for r in rows)
