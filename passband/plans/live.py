@@ -13,7 +13,7 @@ from passband.fixtures.views import oracle
 from passband.functions.bits import floor_div
 from passband.operators import frames as tm
 from passband.operators import packets
-from passband.plans.framing import FRAME, LAYOUT, STREAM_SQL, messages_of, wire_oracle
+from passband.plans.framing import CHANCE_SQL, CUT_SQL, FRAME, LAYOUT, STREAM_SQL, messages_of, wire_oracle
 from passband.plans.quality import _dropout_sql
 from passband.plans.registry import plan
 from passband.plans.values import LATEST_SQL
@@ -142,10 +142,7 @@ def stream_losses(spark: SparkSession, folder: str) -> DataFrame:
 @plan(
     "stream_sync",
     "R4 S2 S4",
-    wire_oracle(
-        "SELECT CAST(capture_id AS BIGINT) AS capture_id, CAST(start AS BIGINT) AS start, r % 40 NOT IN (10, 25) AS found FROM locked",
-        **STREAM_SQL,
-    ),
+    wire_oracle(CUT_SQL, **STREAM_SQL, **CHANCE_SQL),
 )
 def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks replayed from the store and cut into frames as they come, checksums holding."""

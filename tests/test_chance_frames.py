@@ -56,7 +56,7 @@ def folder(tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", ["frame_cut"])
+@pytest.mark.parametrize("name", ["frame_cut", "stream_sync"])
 def test_query(spark, folder, name):
     con = check.connect(folder)
     assert con.execute(wire_oracle("SELECT count(*) FROM chance", **STREAM_SQL, **CHANCE_SQL)).fetchone()[0] >= 1
