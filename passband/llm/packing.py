@@ -61,9 +61,21 @@ class WordTokens(dict):
         self.split = None if r"\p" in near or not plain else re.compile(near).findall
         marks = {t["content"][0] for t in parts["added_tokens"] if t["content"]}
         self.odd = re.compile(f"[^\\x00-\\u017f]|[\\u0130\\x1c-\\x1f{re.escape(''.join(marks))}]").search
+        #: The odd characters of ASCII texts, searched for one by one: much faster than by a pattern.
+        self.odd_ascii = [c for c in map(chr, range(128)) if self.odd(c)]
         self.letters = {b: c for c, b in byte_letters().items()}
+        #: Ids of pieces: words recur behind other marks, where their chunks are new.
+        self.known: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
+        found = self.known.get(piece)
+        if found is None:
+            found = self._made(piece)
+            if len(self.known) < CACHED_CHUNKS:
+                self.known[piece] = found
+        return found
+
+    def _made(self, piece: str) -> list[int]:
         if not (piece.isascii() and piece.isalnum()):
             piece = "".join(map(self.letters.__getitem__, piece.encode()))
         return [t.id for t in self.tokenizer.model.tokenize(piece)]
@@ -75,9 +87,14 @@ class WordTokens(dict):
             self[chunk] = found
         return found
 
+    def is_odd(self, text: str) -> bool:
+        if text.isascii():
+            return any(c in text for c in self.odd_ascii)
+        return self.odd(text) is not None
+
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, four little-endian bytes each."""
-        if self.split is None or self.odd(text):
+        if self.split is None or self.is_odd(text):
             whole = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(whole, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))

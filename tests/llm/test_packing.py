@@ -100,3 +100,14 @@ def test_whole_query(spark, library):
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     used, least = check_rows(queries.op10_best_fit_packing(spark, folder).collect(), [(d.doc_id, d.text) for d in docs], library)
     assert used <= least + 1
+
+
+def test_pieces_of_new_chunks_are_looked_up():
+    """A word behind other marks is not tokenized again; odd ASCII characters are found without the pattern."""
+    table = packing.WordTokens(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    text = "alphabetical, alphabetical. (alphabetical) alphabetical;"
+    made, real = [], table._made
+    table._made = lambda piece: made.append(piece) or real(piece)
+    want = table.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(table.ids(text), "<u4").tolist() == want and made.count("alphabetical") == 1
+    assert all(table.is_odd(f"a{chr(c)}b") == (table.odd(f"a{chr(c)}b") is not None) for c in range(0x250))
