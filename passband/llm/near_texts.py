@@ -7,6 +7,9 @@ word touches least.  Each segment is decoded to its nearest Golay codeword, and
 is a key: texts meet if errors leave two of twelve segments with the same codeword (pigeonhole).  Rows
 of a key leave the minimum spanning tree of their distances, edges within ``RADIUS`` only, so that no
 partner within a smaller distance is cut off.  Edges are then checked by the shingles themselves.
+
+Keys miss a tenth of the texts just above the similarity.  So texts of different groups are compared
+once more, by the prefixes of their shingle sets (:mod:`prefix_links`), which leave no link out.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passband.llm import golay
+from passband.llm import golay, prefix_links
 from passband.llm.common import keyed, renamed, slices, small, stored, text_key
 from passband.llm.components import components
 from passband.llm.simhash import SEED, chosen_ones, shingle_hashes
@@ -27,7 +30,7 @@ from passband.llm.simhash import SEED, chosen_ones, shingle_hashes
 SEGMENTS, WIDTH = 12, golay.LENGTH
 #: 64-bit words of a fingerprint, one XXH64 seed each.
 WORDS = -(-SEGMENTS * WIDTH // 64)
-FEATURE, SHINGLE, SIMILAR = 2, 5, 0.8
+FEATURE, SHINGLE = 2, 5
 #: Differing bits of an edge: texts at Jaccard 0.8 differ in 39 at most in 99 of 100 cases, others in a hundred and more.
 RADIUS = 50
 #: Rows of a key that are compared by one task; a crowded key is dealt to blocks of so many, and each
@@ -175,7 +178,7 @@ def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def similar(edges: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges (u, v) whose texts have a Jaccard similarity of ``SIMILAR`` or more.
+    """The edges (u, v) whose texts have a Jaccard similarity of four fifths or more.
 
     Only texts of nodes with an edge are read again, one row of each, and only hashes of their
     shingles move.
@@ -199,7 +202,7 @@ def similar(edges: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for a, b in zip(batch["u_set"], batch["v_set"]):
                 a, b = (np.frombuffer(x.as_py(), "<u8") for x in (a, b))
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(both >= SIMILAR * (len(a) + len(b) - both))
+                ok.append(5 * both >= 4 * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return edges.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u bigint, v bigint")
@@ -216,8 +219,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         prints.filter("fp IS NOT NULL").groupBy("node", "text_key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     )
     edges = stored(candidates(nodes).distinct())
-    roots = components(stored(similar(edges, docs, nodes)))
-    held = small(stored(roots), 16)
+    roots = stored(components(stored(similar(edges, docs, nodes))))
+    rest = stored(prefix_links.candidates(docs, shingle_set, roots))
+    links = stored(similar(rest, docs, nodes))
+    if not links.isEmpty():
+        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = stored(components(known.unionByName(links)))
+    held = small(roots, 16)
     joined = prints.join(held, "node", "left")
     return joined.select("doc_id", "text_key", F.coalesce("root", prints["node"]).alias("root"))
 
