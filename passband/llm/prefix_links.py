@@ -5,7 +5,8 @@ of sizes s <= t are similar, their first common hash is within the first s // 9
 smaller and the first t // 5 + 1 of the larger one, and as many follow it in both as the similarity
 needs.  So rows (hash, set) of these prefixes meet by hash, and a pair is a candidate if some common
 hash meets these bounds.  Any order finds all pairs; the counts it is made from only keep groups small.
-Pairs of the same known group are not asked for.
+Pairs of the same known group are not asked for.  What passes is held against parity bitmaps of the
+whole sets: two sets differ in at least as many hashes as their bitmaps in bits.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CROWDED = 1_000
 BLOCK = 4_096
 #: Pairs that are compared at once, and rows of a group up to which many groups are compared together.
 CELLS, LITTLE = 1 << 19, 64
+#: Binary logarithms of the least and the greatest number of bits of a bitmap.
+LEAST, GREATEST = 6, 16
 
 Sets = Callable[[str | None], np.ndarray]
 
@@ -55,8 +58,21 @@ def frequent(docs: DataFrame, sets: Sets) -> DataFrame:
     return found.orderBy(F.desc("n"), "token").limit(FREQUENT)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Per value of the low bits whether an odd number of hashes has it, two to four bits a hash."""
+    width = min(max((2 * len(found) - 1).bit_length(), LEAST), GREATEST)
+    count = np.bincount((found & np.uint64((1 << width) - 1)).astype(np.int64), minlength=1 << width)
+    return np.packbits(count & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Differing bits of two bitmaps, the longer one folded to the length of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (a, b)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
+
+
 def prefixes(docs: DataFrame, sets: Sets, often: DataFrame) -> DataFrame:
-    """node, size, tokens: the first ``size // 5 + 1`` hashes of every text with words, in order."""
+    """node, size, bits, tokens: the first ``size // 5 + 1`` hashes of every text with words, in order."""
     told = often.toArrow()
     tokens, n = told["token"].to_numpy().view(np.uint64), told["n"].to_numpy()
     by = np.argsort(tokens)
@@ -81,13 +97,14 @@ def prefixes(docs: DataFrame, sets: Sets, often: DataFrame) -> DataFrame:
                 [
                     batch["node"].take(pa.array(some)),
                     pa.array([len(made[i]) for i in some], pa.int32()),
+                    pa.array([parities(made[i]) for i in some], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                names=["node", "size", "tokens"],
+                names=["node", "size", "bits", "tokens"],
             )
 
     return docs.select(text_key(docs["text"]).alias("node"), docs["text"].alias("text")).mapInArrow(
-        run, "node bigint, size int, tokens array<bigint>"
+        run, "node bigint, size int, bits binary, tokens array<bigint>"
     )
 
 
@@ -156,6 +173,22 @@ def _parts(rows: DataFrame, often: DataFrame, crowded: int, block: int) -> DataF
     return stored(found.select("token", F.ceil(F.sqrt(pairs) / block).cast("int").alias("parts")))
 
 
+def _apart(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps differ in no more bits than similar sets do."""
+    ends = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    marks = stored(heads.join(small(ends, 8), "node", "left_semi").select("node", "size", "bits").dropDuplicates(["node"]))
+    side = lambda c: marks.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch["u_size"].to_numpy().astype(np.int64) + batch["v_size"].to_numpy()
+            apart = [differing(a.as_py(), b.as_py()) for a, b in zip(batch["u_bits"], batch["v_bits"])]
+            ok = 9 * np.array(apart, np.int64) <= sizes
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(ok))
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u bigint, v bigint")
+
+
 def candidates(docs: DataFrame, sets: Sets, roots: DataFrame, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
     """u, v: pairs of texts, by their keys, that may have a Jaccard similarity of four fifths or more.
 
@@ -164,7 +197,7 @@ def candidates(docs: DataFrame, sets: Sets, roots: DataFrame, crowded: int = CRO
     """
     often = stored(frequent(docs, sets))
     heads = prefixes(docs, sets, often).join(small(roots, 16), "node", "left")
-    heads = stored(heads.select("node", F.coalesce("root", "node").alias("root"), "size", "tokens"))
+    heads = stored(heads.select("node", F.coalesce("root", "node").alias("root"), "size", "bits", "tokens"))
     rows = heads.select("node", "root", "size", F.posexplode("tokens").alias("place", "token"))
     parts = small(_parts(rows, often, crowded, block), 16)
     rows = rows.join(parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).filter("parts > 0")
@@ -177,4 +210,4 @@ def candidates(docs: DataFrame, sets: Sets, roots: DataFrame, crowded: int = CRO
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.select(pair.alias("group"), "node", "root", "size", "place")
     found = grouped.repartition(count, "group").sortWithinPartitions("group").mapInArrow(_pairs, "u bigint, v bigint")
-    return found.distinct()
+    return _apart(stored(found.distinct()), heads)

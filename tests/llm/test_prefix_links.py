@@ -75,3 +75,13 @@ def test_one_known_group_is_not_compared(spark):
     nodes = [r.node for r in docs.select(prefix_links.text_key(docs["text"]).alias("node")).collect()]
     roots = spark.createDataFrame([(n, min(nodes)) for n in nodes], "node bigint, root bigint")
     assert prefix_links.candidates(docs, numbers, roots, 2, 20).count() == 0
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 40, 500, 40_000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype("<u8"))
+        for share in (0.01, 0.1, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > share], rng.integers(0, 1 << 63, 1 + int(share * n)).astype("<u8")]))
+            bits = prefix_links.differing(prefix_links.parities(a), prefix_links.parities(b))
+            assert bits <= len(np.setxor1d(a, b)) and prefix_links.differing(*[prefix_links.parities(b)] * 2) == 0
