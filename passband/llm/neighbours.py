@@ -24,6 +24,8 @@ WINDOW, GROWTH = 0.4, 1.1
 #: block's rows collide often enough: some 400 of 2000 rows, a sixteenth of 16 384.
 ROOM = 8
 BLOCK_ROWS, QUERY_ROWS = 16_384, 256
+#: Shards that blocks of vectors are dealt to, and so copies of every block of queries that move.
+SHARDS = 64
 SEED = 20
 
 
@@ -172,15 +174,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 )
 
     # Every block of vectors meets every block of queries of its length: the smaller side, a stated
-    # share of the rows, is dealt to all shards of the larger one.
-    spark = vectors.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _packed(usable(vectors), BLOCK_ROWS).withColumn(
-        "shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int")
+    # share of the rows, is dealt to all shards of the larger one.  Spark takes the copies for a table
+    # as small as the queries and would broadcast them through the driver, hence the hint.  Both sides
+    # are dealt out by number: searches take long over few octets, and tasks are not to be merged.
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = min(parts, SHARDS)
+    blocks = (
+        _packed(usable(vectors), BLOCK_ROWS)
+        .withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
+        .repartition(parts, "dim", "shard")
+    )
+    dealt = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(
+        parts, "dim", "shard"
     )
-    dealt = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = (
-        blocks.join(dealt, ["dim", "shard"])
+        blocks.hint("merge")
+        .join(dealt, ["dim", "shard"])
         .select("dim", "ids", "vectors", "query_ids", "query_vectors")
         .mapInArrow(search, "query_id bigint, vec_id bigint, score double")
     )

@@ -81,3 +81,13 @@ def test_one_common_vector(spark):
     got = neighbours.nearest(df, df.filter("vec_id in (0, 9001)"), 5).collect()
     assert sorted(r.vec_id for r in got if r.query_id == 0) == [1, 2, 3, 4, 5]
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 9001][:3] == [9000, 9002, 9003]
+
+
+def test_copies_of_queries_are_not_broadcast(spark):
+    """Queries are as many copies as there are shards: these go to the shards and not through the driver."""
+    df = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 8), k -> CAST(hash(id, k) AS FLOAT)) AS embedding")
+    found = neighbours.nearest(df, df.filter("vec_id % 100 = 0"), 2)
+    assert found.count() == 60
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
