@@ -10,10 +10,11 @@ The result is exactly that of one pass over the recording.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -22,9 +23,13 @@ from passband.functions.bits import floor_div
 from passband.operators.chunks import KEYS, joined_octets
 from passband.operators.packets import HEADER_BYTES, LONGEST_PACKET, check_max_length
 
-#: Octets per cell; longer than any packet, so that a packet ends in its own or the next cell.
-CELL = 1 << 23
-NOWHERE = -1
+#: Octets per cell; longer than any packet, so that a packet ends in its own or the next cell.  A cell
+#: is the least that a task reads: packets may be of seven octets, and what is made of them far more.
+CELL = 1 << 20
+#: Packets handed on at once.
+BATCH_PACKETS = 10_000
+#: What a step of a walk over a cell is.
+WHOLE, TAIL, DROPPED = range(3)
 
 
 def _step(octets: bytes, at: int, max_length: int, chunk_ends: np.ndarray) -> int:
@@ -52,36 +57,42 @@ def _steps(octets: np.ndarray, at: np.ndarray, max_length: int, chunk_ends: np.n
     return out
 
 
-#: Ways still apart below which they are walked one by one.
-FEW = 32
-
-
 def ways_out(
     octets: bytes, body: int, entries, max_length: int, chunk_ends: np.ndarray
 ) -> list[int]:
     """Where each entry leaves a cell of ``body`` octets (``octets`` sees a header further).
 
-    All ways go on together and those that meet are one from there; the few that are left apart are
-    walked to the end.
+    Every place of the cell takes its step, and then twice as many with each round: a cell takes as many
+    rounds as its longest way has binary digits, whether ways meet or stay apart.
     """
-    flat = np.frombuffer(octets, np.uint8)
-    at, way = np.unique(np.asarray(entries, dtype=np.int64), return_inverse=True)
-    while len(at) > FEW and at[0] < body:
-        inside = at < body
-        at[inside] = _steps(flat, at[inside], max_length, chunk_ends)
-        at, back = np.unique(at, return_inverse=True)
-        way = back[way]
-    leads: dict[int, int] = {}
-    ends = []
-    for entry in at.tolist():
-        path, place = [], entry
-        while place < body and place not in leads:
-            path.append(place)
-            place = _step(octets, place, max_length, chunk_ends)
-        end = leads.get(place, place)
-        leads.update(dict.fromkeys(path, end))
-        ends.append(end)
-    return np.array(ends, dtype=np.int64)[way].tolist()
+    flat, entries = np.frombuffer(octets, np.uint8), np.asarray(entries, dtype=np.int64)
+    way = _steps(flat, np.arange(body), max_length, chunk_ends)
+    while len(inside := np.flatnonzero(way < body)):
+        way[inside] = way[way[inside]]
+    out = entries.copy()
+    out[entries < body] = way[entries[entries < body]]
+    return out.tolist()
+
+
+def _walked(
+    octets: bytes, body: int, at: int, max_length: int, chunk_ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and kind of every step from ``at`` through the ``body`` of a cell, as :func:`_step` goes."""
+    places, last = [at], len(octets) - HEADER_BYTES
+    while at < body:
+        if at > last:
+            at = len(octets) + HEADER_BYTES
+        else:
+            declared = HEADER_BYTES + 1 + (octets[at + 4] << 8 | octets[at + 5])
+            at = at + declared if declared <= max_length else _step(octets, at, max_length, chunk_ends)
+        places.append(at)
+    way, flat = np.array(places, dtype=np.int64), np.frombuffer(octets, np.uint8)
+    begin, end = way[:-1], way[1:]
+    read = begin[begin <= last]
+    declared = np.zeros(len(begin), np.int64)
+    declared[begin <= last] = HEADER_BYTES + 1 + (flat[read + 4].astype(np.int64) << 8 | flat[read + 5])
+    kind = np.where(declared > max_length, DROPPED, np.where((declared > 0) & (end <= body), WHOLE, TAIL))
+    return begin, end, kind
 
 
 def cells_of(chunks: DataFrame, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -176,9 +187,8 @@ def split(
     ways = explored.join(wanted, [*keys, "cell"], "left").select(
         *keys, F.inline(pick("entries", "exits", "wanted"))
     )
-    key_schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema if f.name in keys
-    )
+    types = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
     def string(pdf: pd.DataFrame) -> pd.DataFrame:
         leads = dict(zip(pdf["entry"], pdf["exit"]))
@@ -191,57 +201,72 @@ def split(
 
     entries = (
         ways.groupBy(*keys)
-        .applyInPandas(string, f"{key_schema}, entry bigint")
+        .applyInPandas(string, f"{head}, entry bigint")
         .withColumn("cell", floor_div(F.col("entry"), cell))
     )
 
-    @pandas_udf(
-        "struct<whole:array<struct<at:bigint,bytes:binary,received:timestamp>>,"
-        "tail_at:bigint,tail:binary,dropped:array<struct<at:bigint,size:bigint>>>"
+    # Cells that Spark takes for few are not broadcast: their octets would pass the driver.  They are
+    # dealt out by number: few octets are many packets, and cells are not to be merged into few tasks.
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stamps = F.col("stamps").cast("array<timestamp>").alias("stamps")
+    entered = (
+        cells.hint("merge")
+        .join(entries, [*keys, "cell"])
+        .select(*keys, "cell", "octets", "ends", stamps, "entry")
+        .repartition(parts, *keys, "cell")
     )
-    def read(
-        numbers: pd.Series, octets: pd.Series, ends: pd.Series, stamps: pd.Series,
-        starts: pd.Series,
-    ) -> pd.DataFrame:
-        rows = []
-        for number, b, e, s, entry in zip(numbers, octets, ends, stamps, starts):
-            b, body, e = local(number, b, e)
-            base, at = number * cell, int(entry) - number * cell
-            whole, dropped, tail_at, tail = [], [], NOWHERE, None
-            while at < body:
-                after = _step(b, at, max_length, e)
-                cut_header = at + HEADER_BYTES > len(b)
-                if not cut_header and HEADER_BYTES + 1 + (b[at + 4] << 8 | b[at + 5]) > max_length:
-                    dropped.append({"at": base + at, "size": after - at})
-                elif not cut_header and after <= body:
-                    stamp = s[int(np.searchsorted(e, after - 1, side="right"))]
-                    whole.append({"at": base + at, "bytes": b[at:after], "received": stamp})
-                else:
-                    tail_at, tail = base + at, b[at:body]
-                at = after
-            rows.append((whole, tail_at, tail, dropped))
-        return pd.DataFrame(rows, columns=["whole", "tail_at", "tail", "dropped"])
-
-    # ``cells`` is already partitioned by (keys, cell): adding the way in moves no octets again.
-    entered = cells.join(entries, [*keys, "cell"])
-    done = entered.select(
-        *keys,
-        "cell",
-        read("cell", "octets", "ends", "stamps", "entry").alias("_r"),
-    ).select(*keys, "cell", "_r.*")
-    return _collect(done, cells, totals, keys, cell)
+
+    def told(columns: str, make) -> DataFrame:
+        """``make`` of every cell as it is walked; each kind of rows walks for itself and moves nothing else."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    number = batch["cell"][i].as_py()
+                    octets = batch["octets"][i].as_py()
+                    ends = batch["ends"][i].values.to_numpy() - number * cell
+                    body = min(cell, len(octets))
+                    at = _walked(octets, body, batch["entry"][i].as_py() - number * cell, max_length, ends)
+                    for values in make(number * cell, octets, body, ends, batch["stamps"][i].values, *at):
+                        own = pa.array(np.full(len(next(iter(values.values()))), i))
+                        mine = {k: batch[k].take(own) for k in keys}
+                        yield pa.RecordBatch.from_pydict({**mine, **values})
+
+        return entered.mapInArrow(run, f"{head}, {columns}")
+
+    def whole(base, octets, body, ends, stamps, begin, end, kind):
+        held, buffer = np.flatnonzero(kind == WHOLE), pa.py_buffer(octets)
+        # packets that follow each other are one run of offsets into the octets of the cell
+        for run in np.split(held, np.flatnonzero(np.diff(held) > 1) + 1):
+            for part in (run[n : n + BATCH_PACKETS] for n in range(0, len(run), BATCH_PACKETS)):
+                offsets = np.append(begin[part], end[part[-1]]).astype(np.int32)
+                done_by = np.searchsorted(ends, end[part] - 1, side="right")
+                yield {
+                    "offset": pa.array(base + begin[part]),
+                    "received": stamps.take(pa.array(done_by)),
+                    "bytes": pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), buffer]),
+                }
+
+    def tail(base, octets, body, ends, stamps, begin, end, kind):
+        for n in np.flatnonzero(kind == TAIL).tolist():
+            at = int(begin[n])
+            after = pa.array([base // cell + 1])
+            yield {"offset": pa.array([base + at]), "_head": pa.array([octets[at:body]], pa.binary()), "cell": after}
+
+    def dropped(base, octets, body, ends, stamps, begin, end, kind):
+        lost = kind == DROPPED
+        if lost.any():
+            yield {"offset": pa.array(base + begin[lost]), "discarded": pa.array((end - begin)[lost])}
+
+    inside = told("offset bigint, received timestamp, bytes binary", whole)
+    heads = told("offset bigint, _head binary, cell bigint", tail)
+    return _collect(inside, heads, told("offset bigint, discarded bigint", dropped), cells, totals, keys)
 
 
 def _collect(
-    done: DataFrame, cells: DataFrame, totals: DataFrame, keys: Sequence[str], cell: int
+    inside: DataFrame, heads: DataFrame, dropped: DataFrame, cells: DataFrame, totals: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    inside = done.select(*keys, F.inline("whole")).select(
-        *keys, F.col("at").alias("offset"), "received", "bytes"
-    )
     # A packet over a cell boundary: its head here, the rest at the front of the next cell.
-    heads = done.filter(F.col("tail_at") >= 0).select(
-        *keys, F.col("tail_at").alias("offset"), F.col("tail").alias("_head"), (F.col("cell") + 1).alias("cell")
-    )
     following = cells.select(
         *keys,
         "cell",
@@ -249,7 +274,7 @@ def _collect(
         "ends",
         "stamps",
     )
-    met = heads.join(following, [*keys, "cell"], "left")
+    met = heads.join(following.hint("merge"), [*keys, "cell"], "left")
     joined = F.concat("_head", F.coalesce("_next", F.unhex(F.lit(""))))
     size = F.when(
         F.length(joined) >= HEADER_BYTES,
@@ -275,11 +300,7 @@ def _collect(
             F.lit("cut_off").alias("reason"),
         )
     )
-    desync = done.select(*keys, F.inline("dropped")).select(
-        *keys,
-        F.col("at").alias("offset"),
-        F.lit(0).alias("lost"),
-        F.col("size").alias("discarded"),
-        F.lit("desync").alias("reason"),
+    desync = dropped.select(
+        *keys, "offset", F.lit(0).alias("lost"), "discarded", F.lit("desync").alias("reason")
     )
     return inside.unionByName(over), cut_off.unionByName(desync)

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +280,28 @@ def test_coding_order_synchronises_once(spark, monkeypatch):
     rows = framing.coding_order(spark, "/root/testdata/sf0.001").collect()
     assert sorted(calls) == ["recording", "scan"]
     assert all(r.clean > 0 and r.ok == (r.clean if r.derandomised else 0) for r in rows)
+
+
+def test_ways_that_stay_apart_are_followed_all_at_once():
+    """Short packets alike: ways into a cell that start between them run side by side for long."""
+    rng = random.Random(3)
+    packet = lambda: bytes([8, rng.randrange(256), 192 + rng.randrange(3), rng.randrange(256), 0, 4, rng.randrange(5), 0, 0, rng.randrange(100), rng.randrange(256)])
+    body = 1 << 20
+    octets = b"".join(packet() for _ in range(100_000))[: body + 5]
+    ends, began = np.array([body]), time.process_time()
+    out = stream_split.ways_out(octets, body, range(65_542), 65_542, ends)
+    assert time.process_time() - began < 20  # over a minute where ways are walked packet by packet
+    for at in rng.sample(range(65_542), 20):
+        entry = at
+        while at < body:
+            at = stream_split._step(octets, at, 65_542, ends)
+        assert out[entry] == at
+
+
+def test_cells_of_a_recording_are_read_by_tasks_of_their_own(spark):
+    """One recording of short packets is several cells, and they are not merged into one task."""
+    octets = bytes.fromhex("0801c00000040000000000") * 20_000
+    rows = [(0, 0, n, n * 22_000, dt.datetime(2024, 1, 1), bytearray(octets[n * 22_000 : (n + 1) * 22_000])) for n in range(10)]
+    whole, _ = stream_split.split(spark.createDataFrame(rows, CHUNK), cell=70_000)
+    assert whole.count() == 20_000
+    assert whole.select(F.spark_partition_id()).distinct().count() > 1
