@@ -49,9 +49,28 @@ def unsigned(b: Column, offset: int, bits: int) -> Column:
     return F.when(F.length(b) > last, value)
 
 
+#: Bits of a word: what one read of octets gives as a BIGINT.
+WORD = 56
+
+
+def word(b: Column, number: int) -> Column:
+    """The ``number``th word of a value; octets past its end count as zero."""
+    octets = F.rpad(F.hex(F.substring(b, number * WORD // 8 + 1, WORD // 8)), WORD // 4, "0")
+    return F.conv(octets, 16, 10).cast("bigint")
+
+
+def of_word(words: Column, at: int, bits: int) -> Column:
+    """``bits`` bits at bit ``at`` of a word."""
+    return F.shiftright(words, WORD - at - bits).bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def signed(b: Column, offset: int, bits: int) -> Column:
     """Two's complement field as BIGINT."""
-    raw = unsigned(b, offset, bits)
+    return as_signed(unsigned(b, offset, bits), bits)
+
+
+def as_signed(raw: Column, bits: int) -> Column:
+    """The two's complement reading of an unsigned field."""
     half = 1 << (bits - 1)
     if bits == 64:
         wide = F.when(raw >= F.lit(half).cast("decimal(20,0)"), raw - F.lit(1 << 64).cast("decimal(21,0)")).otherwise(raw)

@@ -127,6 +127,19 @@ def value_text(value: Column, preview: int = EXPORT_PREVIEW) -> Column:
     )
 
 
+def value_parts(value: Column, preview: int = EXPORT_PREVIEW) -> Column:
+    """A tagged value as its text, or the number whose text is still to be written: see :func:`parts_text`."""
+    plain = F.coalesce(
+        value["i"].cast("string"), value["b"].cast("string"), value["s"], hex_preview(value["x"], preview)
+    )
+    return F.struct(plain.alias("text"), value["f"].alias("number"))
+
+
+def parts_text(parts: Column) -> Column:
+    """:func:`value_text` of the value that was taken apart."""
+    return F.coalesce(parts["text"], float_text(parts["number"]))
+
+
 def value_with_unit(value: Column, unit: Column, preview: int = CELL_PREVIEW) -> Column:
     """The value's text, then a space and the unit where there is one."""
     text = value_text(value, preview)

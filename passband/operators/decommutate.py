@@ -155,9 +155,22 @@ class Decommutator:
     def _number(self, f: Field) -> Column:
         if f.kind.ieee:
             return bits.ieee754(self.octets, f.offset, f.kind.size)
-        if f.kind.encoding in ("twosComplement", "signed"):
-            return bits.signed(self.octets, f.offset, f.kind.size)
-        return bits.unsigned(self.octets, f.offset, f.kind.size)
+        if f.kind.size and self._in_word(f):
+            last, (number, at) = (f.offset + f.kind.size - 1) // 8, divmod(f.offset, bits.WORD)
+            raw = F.when(F.length(self.octets) > last, bits.of_word(F.col(f"_w{number}"), at, f.kind.size))
+        else:
+            raw = bits.unsigned(self.octets, f.offset, f.kind.size)
+        return bits.as_signed(raw, f.kind.size) if f.kind.encoding in ("twosComplement", "signed") else raw
+
+    @staticmethod
+    def _in_word(f: Field) -> bool:
+        return _is_number(f) and not f.kind.ieee and f.offset % bits.WORD + f.kind.size <= bits.WORD
+
+    def _words(self) -> dict[str, Column]:
+        """The words that fields lie in: octets are read once for all fields of a word."""
+        fields = [f for name in self.concrete for f in self.fields(name)]
+        numbers = sorted({f.offset // bits.WORD for f in fields if self._in_word(f)})
+        return {f"_w{n}": bits.word(self.octets, n) for n in numbers}
 
     def _octets(self, f: Field) -> Column:
         if f.offset % 8 or f.kind.size % 8:
@@ -219,6 +232,10 @@ class Decommutator:
 
     def match(self, packets: DataFrame) -> DataFrame:
         """Add ``container`` and ``reason``: exactly one description has to fit."""
+        return self._matched(packets).drop(*self._words())
+
+    def _matched(self, packets: DataFrame) -> DataFrame:
+        """:meth:`match`, with the words of the packets."""
         # Fields criteria look at are read once per packet, however many containers ask.
         columns: dict[tuple, str] = {}
 
@@ -251,7 +268,9 @@ class Decommutator:
             "_fits": reduce(lambda a, b: a + b, counts),
             "container": F.coalesce(*[F.when(test, F.lit(name)) for name, test in chosen.items()]),
         }
-        read = staged(packets, reads) if reads else packets
+        words = self._words()
+        worded = staged(packets, words) if words else packets
+        read = staged(worded, reads) if reads else worded
         refusal = F.when(F.col("_fits") == 0, REFUSALS["unrecognized"]).when(
             F.col("_fits") > 1, REFUSALS["ambiguous"]
         )
@@ -296,12 +315,14 @@ class Decommutator:
         wanted: Sequence[str] | None = None,
         *,
         strict: bool = True,
+        form: Callable[[Column], Column] | None = None,
     ) -> DataFrame:
         """Packets with container, reason, trailing_bits, spacecraft time, time and samples.
 
         ``wanted`` names the parameters to decode (leaf or qualified names; all by default): nothing
         else is read from a packet but what decides about it.  A packet is refused for any of its
-        fields; without ``strict`` only for those read.
+        fields; without ``strict`` only for those read.  ``form`` is what samples hold of a value, raw
+        or not; by default they hold the tagged value itself.
 
         A refused packet keeps its row, with a reason and no samples.  ``time`` is the
         spacecraft's where the clock parameter gives one, else that of receipt, in nanoseconds.
@@ -336,7 +357,7 @@ class Decommutator:
             ]
             return F.array(*each).cast(f"array<{to}>")
 
-        matched = self.match(packets)
+        matched = self._matched(packets)
         size = F.length(self.octets).cast("bigint") * 8
         described = self._per_container(lambda n: F.lit(self.described_bits(n)))
         short = size < described
@@ -396,11 +417,12 @@ class Decommutator:
 
         def sample(i: int, ordinal: int, f: Field, value: Value) -> Column:
             raw = self._raw_value(f, value)
+            formed = form or (lambda v: v)
             return F.struct(
                 F.lit(ordinal).alias("ordinal"),
                 F.lit(self.definition.qualified(f.name)).alias("parameter"),
-                raw.alias("raw"),
-                self._eng_value(i, f, value, raw).alias("eng"),
+                formed(raw).alias("raw"),
+                formed(self._eng_value(i, f, value, raw)).alias("eng"),
             )
 
         def samples(name: str) -> Column:
@@ -428,7 +450,7 @@ class Decommutator:
                     "trailing_bits": F.when(fine, F.col("trailing_bits")),
                 }
             )
-            .drop("_wholes", "_reals", "_eng", "_labels")
+            .drop("_wholes", "_reals", "_eng", "_labels", *self._words())
             .withColumn("time", F.coalesce("spacecraft", "received_ns"))
         )
 

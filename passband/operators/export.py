@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from passband.functions import text
 from passband.operators import packets, stream_split
 from passband.operators.chunks import KEYS
-from passband.operators.decommutate import Clock, Decommutator, explode_samples
+from passband.operators.decommutate import Clock, Decommutator
+from passband.session import small_methods
 from passband.sources import exports
 
 
@@ -52,7 +54,7 @@ def export(
     """
     rows = packet_rows(chunks, keys, max_length=max_length)
     stamped = rows.withColumn("received_ns", F.unix_micros(F.col("received").cast("timestamp")) * 1000)
-    decoded = decoder.decode(stamped, clock, wanted)
+    decoded = decoder.decode(stamped, clock, wanted, form=text.value_parts)
     whole = ~F.col("cut_off")
     seen = Observation()
     observed = decoded.observe(
@@ -62,7 +64,8 @@ def export(
         F.count(F.when(whole & F.col("reason").isNotNull(), 1)).alias("rejected"),
         F.count(F.when(~whole, 1)).alias("cut_off"),
     )
-    samples = explode_samples(observed.filter(whole), ["received_ns", "apid", "sequence"])
-    exports.write_csv(exports.sample_rows(samples), path)
+    lines = exports.packet_lines(observed.filter(whole & F.col("reason").isNull()))
+    with small_methods(chunks.sparkSession):
+        exports.write_csv(lines, path)
     found = seen.get
     return Summary(found["packets"], found["rows"], found["rejected"], found["cut_off"] > 0)

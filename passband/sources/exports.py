@@ -35,6 +35,23 @@ def sample_rows(samples: DataFrame) -> DataFrame:
     ).select(*schemas.SAMPLE_EXPORT)
 
 
+def packet_lines(packets: DataFrame) -> DataFrame:
+    """:func:`sample_rows` of packets whose samples were decoded with ``form=text.value_parts``.
+
+    What all samples of a packet share is written once.
+    """
+    stamped = packets.select(
+        text.iso(F.col("time")).alias("time"),
+        text.iso(F.col("received_ns")).alias("received"),
+        "apid",
+        "sequence",
+        "samples",
+    )
+    samples = stamped.select("time", "received", "apid", "sequence", F.inline("samples"))
+    written = {c: text.parts_text(F.col(c)) for c in ("raw", "eng")}
+    return samples.withColumns(written).select(*schemas.SAMPLE_EXPORT)
+
+
 def snapshot_rows(latest: DataFrame, definition: DataFrame) -> DataFrame:
     """One row per parameter ever seen: latest values with ``state``, ``updates`` and names."""
     named = definition.select("parameter", F.array_join("units", " ").alias("unit"))
